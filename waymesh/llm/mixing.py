@@ -132,7 +132,7 @@ def mix(items: DataFrame, targets: DataFrame, total_tokens: int | None = None, b
     have = {r[0]: (r[1], r[2]) for r in chains.groupBy("source").agg(F.sum("tokens"), F.sum("blocks")).collect()}
     plan = plan_sources(goal, have, block_tokens, total_tokens)
     drawn = [p.drawn for p in plan]
-    shards = max(1, min(max_shards, sum(drawn) // shard_blocks))
+    shards = max(1, min(max_shards, 1_000_000 // max(1, len(plan)), sum(drawn) // shard_blocks))
     per_shard = draw_counts(drawn, shards, seed)
     before = np.cumsum(per_shard, axis=0) - per_shard
     rows = [(s, p.source, p.blocks, int(before[s, i]), int(per_shard[s, i])) for s in range(shards) for i, p in enumerate(plan) if per_shard[s, i]]
