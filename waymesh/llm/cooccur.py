@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from waymesh.session import cut
+
 #: Baskets of a block and entries of one expansion; both bound memory, not results.
 BLOCK, CHUNK = 65_536, 2_000_000
 PARTIAL = "group_id string, a int, b int, n long"
@@ -136,9 +138,10 @@ def pair_counts(baskets: DataFrame) -> DataFrame:
 def lifted_pairs(counts: DataFrame, min_together: int, min_lift: float) -> DataFrame:
     """Pairs of pair_counts() in at least min_together baskets and with lift n_ab * B / (n_a * n_b) >= min_lift.
 
-    The lift test is done in whole numbers (min_lift * n_a * n_b in decimals), so ties at the limit are exact.
+    What can still count is written once, so the baskets are counted once. The lift test is done in whole numbers (min_lift * n_a * n_b in decimals), so ties at the limit are exact.
     """
-    pairs = counts.where(F.col("b").isNotNull() & (F.col("n") >= min_together)).withColumnRenamed("n", "n_ab")
+    counts = cut(counts.where(F.col("b").isNull() | (F.col("n") >= min_together)))
+    pairs = counts.where(F.col("b").isNotNull()).withColumnRenamed("n", "n_ab")
     items = counts.where(F.col("a").isNotNull() & F.col("b").isNull())
     sizes = counts.where(F.col("a").isNull()).select("group_id", F.col("n").alias("n_baskets"))
     joined = pairs.join(items.select("group_id", "a", F.col("n").alias("n_a")), ["group_id", "a"]).join(items.select("group_id", F.col("a").alias("b"), F.col("n").alias("n_b")), ["group_id", "b"]).join(sizes, "group_id")
