@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from waymesh.functions import geo, scalars
 from waymesh.operators import geometry, graph, nearest, roads, sampling, schedules, solutions, traffic
 from waymesh.plans import pipeline
+from waymesh.plans.network_sql import ORACLES  # noqa: F401
 from waymesh.session import cut, table
 from waymesh.sources import acquire, instances, osm
 
@@ -54,7 +55,7 @@ def road_full_edges(spark: SparkSession, sf: str) -> DataFrame:
 
 def road_class_stats(spark: SparkSession, sf: str) -> DataFrame:
     """Edges and kilometres per city and class."""
-    return roads.class_statistics(roads.full_edges(_paths(spark, sf))).select("city", "class", "n_edges", F.round("km", 2).alias("km"))
+    return roads.class_statistics(roads.full_edges(_paths(spark, sf)))
 
 
 def road_vertices(spark: SparkSession, sf: str) -> DataFrame:
@@ -433,7 +434,7 @@ def solution_recent(spark: SparkSession, sf: str) -> DataFrame:
 def fetch_tiles_plan(spark: SparkSession, sf: str) -> DataFrame:
     """The tiles that cover each city's box."""
     b = roads.city_bounds(_nodes(spark, sf)).where("max_lon - min_lon < 180")
-    return acquire.tiles(b, acquire.ROAD_TILE).select("city", "tile", *(F.round(c, 6).alias(c) for c in ("south", "west", "north", "east")))
+    return acquire.tiles(b, acquire.ROAD_TILE).select("city", "tile", *(F.round(c, 9).alias(c) for c in ("south", "west", "north", "east")))
 
 
 def dedup_last_wins(spark: SparkSession, sf: str) -> DataFrame:
@@ -496,4 +497,3 @@ QUERIES = {
         dedup_first_wins, upsert_nodes, bridge_files, instance_files, bulk_slices, zone_features,
     )
 }
-ORACLES: dict[str, str] = {}
