@@ -253,3 +253,38 @@ SELECT id, lat, lon, NOT EXISTS (SELECT 1 FROM b WHERE b.id = c.id) AS added FRO
     "bridge_files": f"WITH {BRIDGE} SELECT city, len(edges)::INT AS n_edges, len(vertices)::INT AS n_vertices, CASE WHEN len(list_filter(edges, lambda e: NOT list_contains(list_transform(vertices, lambda v: v.osm_id), e.osm_u) OR NOT list_contains(list_transform(vertices, lambda v: v.osm_id), e.osm_v))) > 0 THEN 'unknown vertex' END AS problem FROM bg",
     "instance_files": f"WITH {STOPS} SELECT s.city AS name, s.k::INT AS dimension, CAST(40 AS BIGINT) AS capacity, c.c AS cost_sum, CAST(s.d AS BIGINT) AS demand_sum FROM (SELECT city, count(*) AS k, sum(demand) AS d FROM stop GROUP BY city) s JOIN (SELECT city, CAST(sum(cost) AS DOUBLE) AS c FROM cost GROUP BY city) c ON c.city = s.city",
 }
+
+_TOUR = """tour AS (SELECT DISTINCT city, CAST(0 AS BIGINT) AS pos, CAST([] AS BIGINT[]) AS route FROM stop UNION ALL
+  SELECT t.city, arg_min(c.j, (c.cost, c.j)), list_append(any_value(t.route), arg_min(c.j, (c.cost, c.j))) FROM tour t JOIN cost c ON c.city = t.city AND c.i = t.pos AND c.j <> 0 AND NOT list_contains(t.route, c.j) GROUP BY t.city),
+nn AS (SELECT city, route FROM tour QUALIFY row_number() OVER (PARTITION BY city ORDER BY len(route) DESC) = 1)"""
+_COMMUTERS = f"""{BRIDGE}, v AS (SELECT city, node_id, row_number() OVER (PARTITION BY city ORDER BY node_id) - 1 AS k, count(*) OVER (PARTITION BY city) AS n FROM spot),
+com AS (SELECT city, n, unnest(range(1, greatest(1, CAST(round_even(2.5 * n, 0) AS BIGINT)) + 1)) AS commuter FROM (SELECT DISTINCT city, n FROM v)),
+who AS (SELECT c.city, c.commuter, h.node_id AS home, w.node_id AS work FROM (SELECT *, floor({u('home', 'city', 'commuter')} * n) AS hk, floor({u('work', 'city', 'commuter')} * n) AS wk FROM com) c JOIN v h ON h.city = c.city AND h.k = hk JOIN v w ON w.city = c.city AND w.k = wk WHERE h.node_id <> w.node_id)"""
+
+
+def _hour(label: str, mean: float, std: float) -> str:
+    return f"round(least(greatest({mean} + {std} * {g(label, 'city', 'commuter')}, 0.25), 23.75) * 3600.0, 2)"
+
+
+_SLICES = " UNION ALL ".join(f"SELECT city, i, demand, {n} AS n, 'n{n}-d{k}-r2-s7' AS slice FROM d{k}" for n in (5, 10) for k in (1, 2))
+
+ORACLES |= {
+    "giant_component": f"""WITH RECURSIVE {EDGES}, ends AS (SELECT DISTINCT city, u, v FROM edge), reach AS (SELECT city, u AS src, u AS node FROM ends UNION SELECT city, v, v FROM ends UNION SELECT r.city, r.src, e.v FROM reach r JOIN ends e ON e.city = r.city AND e.u = r.node),
+comp AS (SELECT a.city, a.src AS node_id, min(a.node) AS label FROM reach a JOIN reach b ON b.city = a.city AND b.src = a.node AND b.node = a.src GROUP BY a.city, a.src), size AS (SELECT city, label, count(*) AS k FROM comp GROUP BY ALL), best AS (SELECT city, arg_min(label, (-k, label)) AS label FROM size GROUP BY city)
+SELECT comp.city, comp.node_id FROM comp JOIN best ON best.city = comp.city AND best.label = comp.label""",
+    "nearest_tours": f"WITH RECURSIVE {STOPS}, {_TOUR} SELECT city, route FROM nn",
+    "windows_route_centered": f"""WITH RECURSIVE {STOPS}, {_TOUR}, {SERVICE}, seq AS (SELECT city, unnest(route) AS node, generate_subscripts(route, 1) AS p FROM nn), arr_ AS (SELECT q.city, q.node, sum(c.cost) OVER w + coalesce(sum(tb.srv) OVER (PARTITION BY q.city ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS reach
+  FROM (SELECT *, lag(node, 1, 0) OVER (PARTITION BY city ORDER BY p) AS f FROM seq) q JOIN cost c ON c.city = q.city AND c.i = q.f AND c.j = q.node JOIN tb ON tb.city = q.city AND tb.node = q.node WINDOW w AS (PARTITION BY q.city ORDER BY p)),
+c AS (SELECT *, round_even(reach - w / 2, 0) AS s, round_even(reach + w / 2, 0) AS z FROM (SELECT tb.*, {width('route_centered').replace('city', 'tb.city').replace('node', 'tb.node')} AS w, tb.t AS lo, 86400 - srv - k AS hi, reach FROM tb LEFT JOIN arr_ ON arr_.city = tb.city AND arr_.node = tb.node)),
+o AS (SELECT city, node, srv, {REPAIR.format(a='s', z='z', one='lo', two='greatest(s, lo)')} AS e, {REPAIR.format(a='s', z='z', one='hi', two='least(z, hi)')} AS l FROM c)
+SELECT city, node, srv AS service, CASE WHEN node = 0 THEN 0 ELSE CAST(e AS BIGINT) END AS earliest, CASE WHEN node = 0 THEN 86400 ELSE CAST(l AS BIGINT) END AS latest, false AS repaired FROM o""",
+    "commuter_trips": f"""WITH {_COMMUTERS}, t AS (SELECT *, {_hour('morning', 8.0, 0.75)} AS departure_s, true AS to_work FROM who UNION ALL SELECT *, {_hour('evening', 17.5, 1.0)}, false FROM who
+UNION ALL SELECT *, {_hour('noon_out', 12.25, 0.5)}, false FROM who WHERE {u('lunch', 'city', 'commuter')} < 0.25 UNION ALL SELECT *, {_hour('noon_back', 13.5, 0.5)}, true FROM who WHERE {u('lunch', 'city', 'commuter')} < 0.25) SELECT * FROM t""",
+    "bulk_slices": f"""WITH {STOPS}, c15 AS (SELECT city, i FROM cust WHERE i <= 15), d1 AS (SELECT city, i, {between(*DEMAND_BANDS[1], u('demand1', 'city', 'i'))} AS demand FROM c15), d2 AS (SELECT city, i, {between(*DEMAND_BANDS[2], u('demand2', 'city', 'i'))} AS demand FROM c15),
+sl AS ({_SLICES}), nd AS (SELECT city, slice, i, demand FROM sl WHERE i <= n UNION ALL SELECT DISTINCT city, slice, 0, 0 FROM sl),
+a AS (SELECT city, slice, count(*) AS n_nodes, CAST(sum(demand) AS BIGINT) AS demand FROM nd GROUP BY ALL), b AS (SELECT x.city, x.slice, count(*) AS n_arcs, CAST(sum(c.cost) AS BIGINT) AS cost FROM nd x JOIN nd y ON y.city = x.city AND y.slice = x.slice JOIN cost c ON c.city = x.city AND c.i = x.i AND c.j = y.i GROUP BY ALL)
+SELECT a.city, a.slice, n_nodes, demand, n_arcs, cost FROM a JOIN b USING (city, slice)""",
+    "customers_mixed": f"""WITH {N}, p1 AS (SELECT city, node_id FROM n QUALIFY row_number() OVER (PARTITION BY city ORDER BY {u('random', 'node_id')}, node_id) <= 4), m AS (SELECT * FROM n ANTI JOIN p1 USING (city, node_id)),
+{_SEEDS(3).replace('FROM n ', 'FROM m ').replace('n.', 'm.').replace('FROM n', 'FROM m')}, p2 AS (SELECT city, node_id FROM (SELECT w.*, s.node_id IS NOT NULL AS is_seed FROM wgt w LEFT JOIN seed s ON s.city = w.city AND s.node_id = w.node_id) QUALIFY row_number() OVER (PARTITION BY city ORDER BY is_seed DESC, round(-ln({u('cluster', 'node_id')}) / greatest(weight, 1e-300), 9), node_id) <= 4),
+al AS (SELECT * FROM p1 UNION ALL SELECT * FROM p2) SELECT city, node_id, row_number() OVER (PARTITION BY city ORDER BY {u('mix', 'node_id')}, node_id) AS place FROM al QUALIFY place <= 8""",
+}
