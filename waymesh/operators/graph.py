@@ -93,7 +93,8 @@ def _reach(edges: DataFrame, seeds: DataFrame, tail: str, head: str) -> DataFram
     """Everything reachable from seeds (city, node_id), by frontier rounds."""
     seen = frontier = seeds
     while True:
-        step = frontier.join(edges, (frontier.city == edges.city) & (frontier.node_id == edges[tail])).select(edges.city, edges[head].alias("node_id")).distinct()
+        moves = edges.select("city", F.col(tail).alias("node_id"), F.col(head).alias("_next"))
+        step = frontier.join(moves, ["city", "node_id"]).select("city", F.col("_next").alias("node_id")).distinct()
         frontier = cut(step.join(seen, ["city", "node_id"], "left_anti"))
         if frontier.isEmpty():
             return seen
@@ -204,7 +205,8 @@ def distances_by_rounds(edges: DataFrame, sources: DataFrame, weight: str, max_r
     best = cut(sources.distinct().select("city", "source", F.col("source").alias("node_id"), F.lit(0.0).alias("cost")))
     front = best
     for _ in range(max_rounds):
-        step = front.join(light, (front.city == light.city) & (front.node_id == light.u)).select(front.city, "source", F.col("v").alias("node_id"), (F.col("cost") + F.col("w")).alias("new"))
+        moves = light.select("city", F.col("u").alias("node_id"), "v", "w")
+        step = front.join(moves, ["city", "node_id"]).select("city", "source", F.col("v").alias("node_id"), (F.col("cost") + F.col("w")).alias("new"))
         step = step.groupBy("city", "source", "node_id").agg(F.min("new").alias("new"))
         front = cut(step.join(best, ["city", "source", "node_id"], "left").where(F.col("cost").isNull() | (F.col("new") < F.col("cost"))).select("city", "source", "node_id", F.col("new").alias("cost")))
         if front.isEmpty():

@@ -54,7 +54,8 @@ def parsed(texts: DataFrame, strict: bool = True) -> DataFrame:
                     if strict:
                         raise ValueError(f"{path}: {e}") from None
                     out.append({"path": path, "error": str(e)})
-            yield type(f)(out, columns=[c.split()[0] for c in _columns()])
+            names = [c.split()[0] for c in _columns()]
+            yield type(f)([[r.get(n) for n in names] for r in out], columns=names, dtype=object)
 
     return texts.select("path", "value").mapInPandas(run, INSTANCE)
 
@@ -118,7 +119,7 @@ def gathered(customers: DataFrame, costs: DataFrame, capacities: DataFrame) -> D
 
 def write_texts(texts: DataFrame, path: str) -> None:
     """One folder per instance below path, each with its text; the name never repeats the text's columns."""
-    texts.select("name", "value").write.mode("overwrite").partitionBy("name").option("lineSep", "").text(path)
+    texts.select("name", F.regexp_replace("value", "\n$", "").alias("value")).write.mode("overwrite").partitionBy("name").text(path)
 
 
 def metadata_json(nodes: DataFrame, attributes: list[str]) -> DataFrame:
