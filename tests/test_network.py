@@ -143,6 +143,8 @@ def test_shortest_paths(spark):
         assert (x.cost is None and np.isinf(want)) or x.cost == pytest.approx(want)
         if x.cost is not None:
             assert x.path[0] == x.source and x.path[-1] == x.target and sum(least[x.city, a, b] for a, b in pairwise(x.path)) == pytest.approx(want)
+    again = graph.shortest_paths(edges, pairs, "w", with_paths=True, max_edges=0).collect()
+    assert {(x.city, x.source, x.target): x.cost for x in again} == {(x.city, x.source, x.target): x.cost for x in got} and all(x.cost is None or sum(least[x.city, a, b] for a, b in pairwise(x.path)) == pytest.approx(x.cost) for x in again)
     far = {(x.city, x.source, x.node_id): x.cost for x in graph.distances_by_rounds(edges, spark.createDataFrame([("a", 0), ("b", 5)], "city string, source long"), "w").collect()}
     assert far == {(c, s, t): d[c][s, t] for c, s in (("a", 0), ("b", 5)) for t in range(15) if np.isfinite(d[c][s, t])}
 
@@ -325,6 +327,24 @@ def test_flows_follow_fastest_paths(spark):
     assert sum(got.values()) == sum(want.values()) and sum(got.get(k, 0) == n for k, n in want.items()) > 0.95 * len(want)
 
 
+    by_joins = {(x.u, x.v, x.bin): x.n for x in traffic.hourly_flows(edges, day, max_edges=0).collect()}
+    assert sum(by_joins.values()) == sum(want.values()) and sum(by_joins.get(k, 0) == n for k, n in want.items()) > 0.95 * len(want)
+
+
+def test_arrival_functions(spark):
+    r = random.Random(12)
+    steps = [{"pos": k, "length_m": 4000.0, "profile": [r.uniform(2, 20) for _ in range(24)]} for k in range(3)]
+    arcs = spark.createDataFrame([("t", 0, 1, steps)], "city string, i int, j int, steps array<struct<pos: int, length_m: double, profile: array<double>>>")
+    f = traffic.arrival_functions(arcs, tolerance_s=1.0).cache()
+    assert len(f.first().departures) < 1441
+    for at in (0.0, 12345.0, 60001.0, 86400.0):
+        clock = at
+        for s in steps:
+            clock = ride(clock, s["length_m"], s["profile"])
+        assert traffic.evaluated(f, F.lit(at)).first().arrival == pytest.approx(clock, abs=8.0)
+    f.unpersist()
+
+
 def test_trips(spark):
     v = spark.createDataFrame([("t", k) for k in range(40)], "city string, node_id long")
     got = traffic.trips(v, v, "moderate", 4).collect()

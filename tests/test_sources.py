@@ -160,8 +160,14 @@ def test_fetch_tiles(spark):
     nodes, ways = acquire.elements_of(bodies)
     assert {r.id: r.lat for r in nodes.collect()}[1] == 51.0 and {r.id: r.tags["highway"] for r in ways.collect()}[7] == "primary"
     with pytest.raises(acquire.FetchError):
-        acquire.padded_box(50, 4, (40, 0, 60, 10), None)
-    assert acquire.padded_box(50, 4, (49, 3, 51, 5), 11.1)[0] == pytest.approx(49.88)
+        acquire.area_box((40, 0, 60, 10))
+    assert acquire.area_box((49, 3, 51, 5), (50, 4), 11.1, 1.11)[0] == pytest.approx(49.89)
+    assert acquire.geocode("x", lambda _: (200, '[{"boundingbox": ["1", "2", "3", "4"], "lat": "1.5", "lon": "3.5"}]')) == ((1.0, 3.0, 2.0, 4.0), (1.5, 3.5))
+    assert acquire.file_name(" a/b  c ") == "a_b c"
+    what = acquire.profile("generation")
+    nodes, ways, mode = acquire.fetch_area(spark, (50.0, 4.0, 50.1, 4.1), lambda q: CITY, what)
+    assert mode == "direct" and nodes.count() == 3 and ways.count() == 2
+    assert acquire.fetch_area(spark, (50.0, 4.0, 50.5, 4.1), lambda q: CITY, acquire.profile("road_cache"))[2] == "tiled"
 
 
 def test_streams(spark, tmp_path):

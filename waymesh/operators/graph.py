@@ -180,38 +180,49 @@ def _routes(with_paths: bool):
     return run
 
 
-def shortest_paths(edges: DataFrame, pairs: DataFrame, weight: str, with_paths: bool = False, sources_per_task: int = 64) -> DataFrame:
+def shortest_paths(edges: DataFrame, pairs: DataFrame, weight: str, with_paths: bool = False, sources_per_task: int = 64, max_edges: int = MAX_EDGES) -> DataFrame:
     """(city, source, target, cost, path): the least cost of each distinct pair, null if unreachable; path on request.
 
     edges: city, u, v and the weight (null or negative weights are left out); pairs: city, source, target. Pairs are chunked by
-    source and every chunk gets its city's edges, in one cogrouped task. Parallel edges count with the lightest.
+    source and every chunk gets its city's edges, in one cogrouped task. Parallel edges count with the lightest. Graphs of more
+    than max_edges edges are solved by rounds of joins instead.
     """
     light = edges.where(F.col(weight) >= 0).groupBy("city", "u", "v").agg(F.min(weight).alias("weight"))
     wanted = pairs.select("city", "source", "target").dropna().distinct()
+    kind = f"city {edges.schema['city'].dataType.simpleString()}, source bigint, target bigint, cost double, path array<bigint>"
+    large = [r.city for r in light.groupBy("city").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > max_edges).limit(10_000).collect()]
+    if large:
+        big = wanted.where(F.col("city").isin(large))
+        far = distances_by_rounds(light.where(F.col("city").isin(large)), big.select("city", "source"), "weight", with_paths=with_paths)
+        far = big.join(far.withColumnRenamed("node_id", "target"), ["city", "source", "target"], "left")
+        far = far.select("city", "source", "target", "cost", *(["path"] if with_paths else []))
+        light, wanted = (df.where(~F.col("city").isin(large)) for df in (light, wanted))
     chunks = wanted.groupBy("city").agg(F.ceil(F.countDistinct("source") / sources_per_task).cast("int").alias("chunks"))
     cut_pairs = wanted.join(chunks, "city").select("city", F.pmod(F.xxhash64("source"), F.col("chunks")).cast("int").alias("chunk"), "source", "target")
     copies = light.join(chunks, "city").select("city", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "u", "v", "weight")
-    kind = f"city {edges.schema['city'].dataType.simpleString()}, source bigint, target bigint, cost double, path array<bigint>"
     out = copies.groupBy("city", "chunk").cogroup(cut_pairs.toDF(*cut_pairs.columns).groupBy("city", "chunk")).applyInPandas(_routes(with_paths), kind)
-    return out if with_paths else out.drop("path")
+    out = out if with_paths else out.drop("path")
+    return out.unionByName(far) if large else out
 
 
-def distances_by_rounds(edges: DataFrame, sources: DataFrame, weight: str, max_rounds: int = 10_000) -> DataFrame:
-    """(city, source, node_id, cost) from every source (city, source) to all it reaches, for graphs of any size.
+def distances_by_rounds(edges: DataFrame, sources: DataFrame, weight: str, max_rounds: int = 10_000, with_paths: bool = False) -> DataFrame:
+    """(city, source, node_id, cost[, path]) from every source (city, source) to all it reaches, for graphs of any size.
 
     All sources advance together; each round joins the improved rows with the edges, and the loop ends when none improves.
     """
+    path = ["path"] if with_paths else []
     light = cut(edges.where(F.col(weight) >= 0).groupBy("city", "u", "v").agg(F.min(weight).alias("w")))
-    best = cut(sources.distinct().select("city", "source", F.col("source").alias("node_id"), F.lit(0.0).alias("cost")))
+    best = cut(sources.distinct().select("city", "source", F.col("source").alias("node_id"), F.lit(0.0).alias("cost"), *([F.array("source").alias("path")] if with_paths else [])))
     front = best
     for _ in range(max_rounds):
         moves = light.select("city", F.col("u").alias("node_id"), "v", "w")
-        step = front.join(moves, ["city", "node_id"]).select("city", "source", F.col("v").alias("node_id"), (F.col("cost") + F.col("w")).alias("new"))
+        step = front.join(moves, ["city", "node_id"]).select("city", "source", F.col("v").alias("node_id"), F.struct((F.col("cost") + F.col("w")).alias("cost"), *([F.concat("path", F.array("v")).alias("path")] if with_paths else [])).alias("new"))
         step = step.groupBy("city", "source", "node_id").agg(F.min("new").alias("new"))
-        front = cut(step.join(best, ["city", "source", "node_id"], "left").where(F.col("cost").isNull() | (F.col("new") < F.col("cost"))).select("city", "source", "node_id", F.col("new").alias("cost")))
+        known = best.select("city", "source", "node_id", F.col("cost").alias("old"))
+        front = cut(step.join(known, ["city", "source", "node_id"], "left").where(F.col("old").isNull() | (F.col("new.cost") < F.col("old"))).select("city", "source", "node_id", "new.*"))
         if front.isEmpty():
             return best
-        best = cut(best.unionByName(front).groupBy("city", "source", "node_id").agg(F.min("cost").alias("cost")))
+        best = cut(best.unionByName(front).groupBy("city", "source", "node_id").agg(F.min(F.struct("cost", *path)).alias("b")).select("city", "source", "node_id", "b.*"))
     raise RuntimeError("no fixed point within max_rounds")
 
 

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from waymesh.functions import geo
+from waymesh.functions.arrays import neighbours
 from waymesh.functions.scalars import CAPACITY_VEH_H, FREE_KMH, clamp, gauss, lookup, rounded_speed, uniform
-from waymesh.operators.graph import tree, walk_back
+from waymesh.operators.graph import MAX_EDGES, shortest_paths, tree, walk_back
 
 # Fixed values of the traffic models.
 BINS, BIN_S = 24, 3600.0
@@ -71,8 +72,6 @@ def trips(homes: DataFrame, works: DataFrame, intensity: str, seed: int) -> Data
     Each city has round(trips per vertex * vertices) commuters. Each goes to work in the morning and back in the evening, every
     fourth also home and back at noon. Home and work are drawn by number from the city's ascending lists; who lives at work stays.
     """
-    from pyspark.sql import Window
-
     def ranked(df: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
         w = df.select("city", "node_id").distinct().withColumn("_k", F.row_number().over(Window.partitionBy("city").orderBy("node_id")) - 1)
         return w.select("city", F.col("_k").alias(f"_{name}"), F.col("node_id").alias(name)), w.groupBy("city").agg(F.count(F.lit(1)).alias(f"_n_{name}"))
@@ -132,13 +131,30 @@ def _flow_kernel(key, edges: pd.DataFrame, trips_: pd.DataFrame) -> pd.DataFrame
     return pd.DataFrame({"city": key[0], "u": out[0], "v": out[1], "bin": out[2], "n": out[3]})
 
 
-def hourly_flows(edges: DataFrame, day: DataFrame, works_per_task: int = 64) -> DataFrame:
+def flows_by_joins(edges: DataFrame, day: DataFrame) -> DataFrame:
+    """hourly_flows for graphs of any size: paths by rounds of joins, entry times by a running sum, counts by a hash aggregate."""
+    one = day.groupBy("city", "home", "work", "departure_s", "to_work").agg(F.count(F.lit(1)).alias("k"))
+    ends = one.select("*", F.when(F.col("to_work"), F.col("home")).otherwise(F.col("work")).alias("source"), F.when(F.col("to_work"), F.col("work")).otherwise(F.col("home")).alias("target"))
+    paths = shortest_paths(edges, ends.select("city", "source", "target"), "time", with_paths=True, max_edges=0).where("path IS NOT NULL")
+    steps = ends.join(paths.select("city", "source", "target", "path"), ["city", "source", "target"]).select("city", "source", "target", "departure_s", "k", F.posexplode(neighbours(F.col("path"), "u", "v")).alias("pos", "e"))
+    timed = steps.select("city", "source", "target", "departure_s", "k", "pos", "e.u", "e.v").join(edges.groupBy("city", "u", "v").agg(F.min("time").alias("time")), ["city", "u", "v"])
+    w = Window.partitionBy("city", "source", "target", "departure_s", "k").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    entered = timed.withColumn("bin", clock_bin(F.col("departure_s") + F.coalesce(F.sum("time").over(w), F.lit(0.0))))
+    return entered.groupBy("city", "u", "v", "bin").agg(F.sum("k").alias("n"))
+
+
+def hourly_flows(edges: DataFrame, day: DataFrame, works_per_task: int = 64, max_edges: int = MAX_EDGES) -> DataFrame:
     """(city, u, v, bin, n): how many trips enter each edge in each hour, on fastest free-flow paths; edges: city, u, v, time.
 
     Trips are grouped by workplace, of which there are few: one tree per workplace and direction. Workplaces are chunked, so a large
-    city is many tasks; each counts its own trips and a final sum adds the counts. Trips without a path count nowhere.
+    city is many tasks; each counts its own trips and a final sum adds the counts. Trips without a path count nowhere. Graphs of
+    more than max_edges edges are routed by flows_by_joins.
     """
     light = edges.groupBy("city", "u", "v").agg(F.min("time").alias("time"))
+    large = [r.city for r in light.groupBy("city").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > max_edges).limit(10_000).collect()]
+    if large:
+        pick = lambda df, yes: df.where(F.col("city").isin(large) if yes else ~F.col("city").isin(large))
+        return flows_by_joins(pick(light, True), pick(day, True)).unionByName(hourly_flows(pick(light, False), pick(day, False), works_per_task))
     chunks = day.groupBy("city").agg(F.ceil(F.countDistinct("work") / works_per_task).cast("int").alias("chunks"))
     cut = day.join(chunks, "city").select("city", F.pmod(F.xxhash64("work"), F.col("chunks")).cast("int").alias("chunk"), "home", "work", "departure_s", "to_work")
     copies = light.join(chunks, "city").select("city", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "u", "v", "time")
@@ -148,8 +164,6 @@ def hourly_flows(edges: DataFrame, day: DataFrame, works_per_task: int = 64) ->
 
 def known_prefix(steps: DataFrame, edges: DataFrame) -> DataFrame:
     """The steps (keys..., pos, u, v) of each path up to, not including, the first that is no edge; with the edge's columns."""
-    from pyspark.sql import Window
-
     keys = [c for c in steps.columns if c not in ("pos", "u", "v")]
     joined = steps.join(edges.withColumn("_is", F.lit(True)), [c for c in ("city", "u", "v") if c in edges.columns and c in steps.columns], "left")
     broken = F.max(F.col("_is").isNull().cast("int")).over(Window.partitionBy(*keys).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
@@ -158,8 +172,6 @@ def known_prefix(steps: DataFrame, edges: DataFrame) -> DataFrame:
 
 def entry_bins(steps: DataFrame) -> DataFrame:
     """steps (trip keys..., pos, time, departure_s) with entry_s and bin: when each edge is entered at free flow."""
-    from pyspark.sql import Window
-
     keys = [c for c in steps.columns if c not in ("pos", "time", "departure_s", "u", "v")]
     before = F.sum("time").over(Window.partitionBy(*keys).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1))
     return steps.withColumn("entry_s", F.col("departure_s") + F.coalesce(before, F.lit(0.0))).withColumn("bin", clock_bin(F.col("entry_s")))
@@ -202,3 +214,66 @@ def arrival_after_path(paths: DataFrame, departures: Column) -> DataFrame:
     """paths (keys..., steps ARRAY<STRUCT<pos, length_m, profile>>) with departure and arrival for each of the departures."""
     ride = F.aggregate("steps", F.col("departure").cast("double"), lambda t, s: through(t, s["length_m"], s["profile"]))
     return paths.withColumn("departure", F.explode(departures)).withColumn("arrival", ride)
+
+
+def simplified(x: np.ndarray, y: np.ndarray, tolerance: float) -> np.ndarray:
+    """Places of the points to keep so that straight lines between them are within the tolerance of all others."""
+    keep, todo = {0, len(x) - 1}, [(0, len(x) - 1)]
+    while todo:
+        a, z = todo.pop()
+        if z - a < 2:
+            continue
+        off = np.abs(np.interp(x[a : z + 1], [x[a], x[z]], [y[a], y[z]]) - y[a : z + 1])
+        k = int(off.argmax())
+        if off[k] > tolerance:
+            keep.add(a + k)
+            todo += [(a, a + k), (a + k, z)]
+    return np.array(sorted(keep))
+
+
+def tolerance_for(n: int) -> float:
+    """Seconds of tolerance for instances of n customers."""
+    return 1.0 if n <= 100 else 2.0
+
+
+def arrival_functions(arcs: DataFrame, step_s: float = 60.0, tolerance_s: float = 1.0, horizon_s: float = 86400.0) -> DataFrame:
+    """arcs (city, i, j, steps) to (city, i, j, departures, arrivals): the arrival-time function as breakpoints of straight pieces.
+
+    The exact ride is sampled every step_s over the day, all departures of an arc at once, and thinned within the tolerance.
+    """
+    def run(frames):
+        for f in frames:
+            out = []
+            for r in f.itertuples(index=False):
+                x = np.arange(0.0, horizon_s + step_s / 2, step_s)
+                t = x.copy()
+                for s in sorted(r.steps, key=lambda s: s["pos"]):
+                    t = ride_through(t, float(s["length_m"]), np.asarray(s["profile"], float))
+                k = simplified(x, t, tolerance_s)
+                out.append((r.city, r.i, r.j, x[k], t[k]))
+            yield pd.DataFrame(out, columns=["city", "i", "j", "departures", "arrivals"])
+
+    return arcs.select("city", "i", "j", "steps").mapInPandas(run, "city string, i int, j int, departures array<double>, arrivals array<double>")
+
+
+def ride_through(t: np.ndarray, length: float, profile: np.ndarray) -> np.ndarray:
+    """Clocks after a stretch for many entry clocks; the array form of through."""
+    t, rest = t.copy(), np.full(len(t), length)
+    while (on := rest > 1e-9).any():
+        k = np.floor(t[on] / BIN_S)
+        speed = profile[k.astype(int) % BINS]
+        room = ((k + 1) * BIN_S - t[on]) * speed
+        done = rest[on] <= room
+        t[on] = np.where(done, t[on] + rest[on] / speed, (k + 1) * BIN_S)
+        rest[on] = np.where(done, 0.0, rest[on] - room)
+    return t
+
+
+def evaluated(function: DataFrame, at: Column) -> DataFrame:
+    """Rows of arrival functions with arrival at the departure at, straight between breakpoints, flat travel time outside."""
+    n = F.size("departures")
+    k = F.least(F.greatest(F.size(F.filter("departures", lambda d: d <= at)), F.lit(1)), n - 1)
+    x0, x1, y0, y1 = (F.get(F.col(c), k - s) for c, s in (("departures", 1), ("departures", 0), ("arrivals", 1), ("arrivals", 0)))
+    inner = y0 + (y1 - y0) * (at - x0) / (x1 - x0)
+    last_x, last_y = F.element_at("departures", -1), F.element_at("arrivals", -1)
+    return function.withColumn("arrival", F.when(at >= last_x, at + last_y - last_x).otherwise(inner))
