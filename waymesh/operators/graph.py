@@ -211,18 +211,17 @@ def distances_by_rounds(edges: DataFrame, sources: DataFrame, weight: str, max_r
     All sources advance together; each round joins the improved rows with the edges, and the loop ends when none improves.
     """
     path = ["path"] if with_paths else []
-    light = cut(edges.where(F.col(weight) >= 0).groupBy("city", "u", "v").agg(F.min(weight).alias("w")))
-    best = cut(sources.distinct().select("city", "source", F.col("source").alias("node_id"), F.lit(0.0).alias("cost"), *([F.array("source").alias("path")] if with_paths else [])))
-    front = best
+    moves = cut(edges.where(F.col(weight) >= 0).groupBy("city", F.col("u").alias("node_id"), "v").agg(F.min(weight).alias("w")))
+    first = sources.distinct().select("city", "source", F.col("source").alias("node_id"), F.lit(0.0).alias("cost"), *([F.array("source").alias("path")] if with_paths else []))
+    state = cut(first.withColumn("fresh", F.lit(True)))
+    key = ["city", "source", "node_id"]
     for _ in range(max_rounds):
-        moves = light.select("city", F.col("u").alias("node_id"), "v", "w")
-        step = front.join(moves, ["city", "node_id"]).select("city", "source", F.col("v").alias("node_id"), F.struct((F.col("cost") + F.col("w")).alias("cost"), *([F.concat("path", F.array("v")).alias("path")] if with_paths else [])).alias("new"))
-        step = step.groupBy("city", "source", "node_id").agg(F.min("new").alias("new"))
-        known = best.select("city", "source", "node_id", F.col("cost").alias("old"))
-        front = cut(step.join(known, ["city", "source", "node_id"], "left").where(F.col("old").isNull() | (F.col("new.cost") < F.col("old"))).select("city", "source", "node_id", "new.*"))
-        if front.isEmpty():
-            return best
-        best = cut(best.unionByName(front).groupBy("city", "source", "node_id").agg(F.min(F.struct("cost", *path)).alias("b")).select("city", "source", "node_id", "b.*"))
+        if state.where("fresh").isEmpty():
+            return state.drop("fresh")
+        step = state.where("fresh").join(moves, ["city", "node_id"]).select("city", "source", F.col("v").alias("node_id"), (F.col("cost") + F.col("w")).alias("cost"), *([F.concat("path", F.array("v")).alias("path")] if with_paths else []), F.lit(None).cast("double").alias("old"))
+        both = state.select(*key, "cost", *path, F.col("cost").alias("old")).unionByName(step)
+        best = both.groupBy(*key).agg(F.min(F.struct("cost", *path)).alias("b"), F.min("old").alias("old"))
+        state = cut(best.select(*key, "b.*", (F.col("old").isNull() | (F.col("b.cost") < F.col("old"))).alias("fresh")))
     raise RuntimeError("no fixed point within max_rounds")
 
 
