@@ -37,7 +37,7 @@ def xml_elements(text: str | None, name: str = "node") -> list[tuple[dict, list[
     parser = expat.ParserCreate()
     parser.StartElementHandler, parser.EndElementHandler = start, lambda _: path.pop()
     try:
-        parser.Parse(text.strip().encode() if "encoding" not in text[:100] else text.strip(), True)
+        parser.Parse(text, True)
     except (expat.ExpatError, ValueError, UnicodeError, LookupError):
         return []
     return found
