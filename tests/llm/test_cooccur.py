@@ -45,6 +45,8 @@ def test_pair_counts_with_a_hot_group(spark, monkeypatch):
             continue
         want.update([(g, None, None), *((g, x, None) for x in s), *((g, *p) for p in combinations(s, 2))])
     assert {(x.group_id, x.a, x.b): x.n for x in got.collect()} == want
+    few = {(x.group_id, x.a, x.b): x.n for x in cooccur.pair_counts(spark.createDataFrame(rows, "group_id string, basket_id long, items array<int>, n string"), 3).collect()}
+    assert {k: n for k, n in few.items() if k[2] is None or n >= 3} == {k: n for k, n in want.items() if k[2] is None or n >= 3} and len(few) < len(want)
     lifted = {(x.group_id, x.a, x.b) for x in cooccur.lifted_pairs(got, 2, 1.5).collect()}
     assert lifted == {k for k, n in want.items() if k[2] is not None and n >= 2 and n * want[(k[0], None, None)] >= 1.5 * want[(k[0], k[1], None)] * want[(k[0], k[2], None)]}
 

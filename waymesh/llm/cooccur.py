@@ -89,50 +89,61 @@ def count_block(offsets: np.ndarray, items: np.ndarray) -> tuple[np.ndarray, np.
     return names, seen, names[key // max(k, 1)], names[key % max(k, 1)], total
 
 
-def _block_kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (group_id, items) sorted by group to partial counts; a null b counts the item a, two nulls count baskets."""
+def _block_kernel(min_together: int):
+    """Rows (group_id, items) of one range of groups, sorted, to partial counts; a null b counts the item a, two nulls baskets.
 
-    def flush(group: str, held: list[pa.ListArray]) -> pa.RecordBatch:
+    Only the first and the last group of a range can go on in another one. Of the groups between, counted in one block, the counts
+    are final, so their pairs below min_together end here.
+    """
+
+    def flush(group: str, held: list[pa.ListArray], final: bool) -> pa.RecordBatch:
         lists = pa.concat_arrays(held)
         items = lists.flatten().to_numpy(zero_copy_only=False)
         offsets = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))])
         names, seen, a, b, n = count_block(offsets, items)
+        if final and min_together > 1:
+            a, b, n = (x[keep] for keep in (n >= min_together,) for x in (a, b, n))
         k = len(names)
         left = pa.concat_arrays([pa.nulls(1, pa.int32()), pa.array(names, pa.int32()), pa.array(a, pa.int32())])
         right = pa.concat_arrays([pa.nulls(1 + k, pa.int32()), pa.array(b, pa.int32())])
         return pa.RecordBatch.from_arrays([pa.array([group], pa.string()).take(pa.array(np.zeros(len(left), np.int64))), left, right, pa.array(np.concatenate([[len(lists)], seen, n]), pa.int64())], ["group_id", "a", "b", "n"])
 
-    group, held, size = None, [], 0
-    for batch in batches:
-        ids = batch["group_id"].to_numpy(zero_copy_only=False)
-        starts = np.r_[0, np.flatnonzero(ids[1:] != ids[:-1]) + 1, len(ids)] if len(ids) else [0]
-        for s, e in zip(starts[:-1], starts[1:]):
-            if ids[s] != group and held:
-                yield flush(group, held)
-                held, size = [], 0
-            group = ids[s]
-            while s < e:
-                take = min(e - s, BLOCK - size)
-                held.append(batch["items"].slice(s, take))
-                s, size = s + take, size + take
-                if size == BLOCK:
-                    yield flush(group, held)
-                    held, size = [], 0
-    if held:
-        yield flush(group, held)
-
-
-def pair_counts(baskets: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, held, size, inner, whole = None, [], 0, False, True
+        for batch in batches:
+            ids = batch["group_id"].to_numpy(zero_copy_only=False)
+            starts = np.r_[0, np.flatnonzero(ids[1:] != ids[:-1]) + 1, len(ids)] if len(ids) else [0]
+            for s, e in zip(starts[:-1], starts[1:]):
+                if ids[s] != group:
+                    if held:
+                        yield flush(group, held, inner and whole)
+                    held, size, inner, whole = [], 0, group is not None, True
+                group = ids[s]
+                while s < e:
+                    take = min(e - s, BLOCK - size)
+                    held.append(batch["items"].slice(s, take))
+                    s, size = s + take, size + take
+                    if size == BLOCK:
+                        yield flush(group, held, False)
+                        held, size, whole = [], 0, False
+        if held:
+            yield flush(group, held, False)
+
+    return run
+
+
+def pair_counts(baskets: DataFrame, min_together: int = 1) -> DataFrame:
     """Rows (group_id, a, b, n) summed over all baskets (group_id STRING, basket_id, items ARRAY<INT>).
 
     a < b: n baskets hold both; b null: n baskets hold a; a and b null: the group has n baskets. Baskets without group or
     items are ignored; null items are dropped and repeated items count once. Baskets are range-partitioned by (group, hash of
-    the basket), so a group with a third of all rows is spread over many tasks while small groups stay whole.
+    the basket), so a group with a third of all rows is spread over many tasks while small groups stay whole. Pairs in fewer than
+    min_together baskets may be left out; all others are there with their full counts.
     """
     clean = baskets.select(F.col("group_id").cast("string").alias("group_id"), "basket_id", F.array_distinct(F.filter("items", lambda x: x.isNotNull())).alias("items"))
     clean = clean.where(F.col("group_id").isNotNull() & (F.size("items") > 0)).withColumn("salt", F.xxhash64("basket_id"))
     spread = clean.repartitionByRange("group_id", "salt").sortWithinPartitions("group_id").select("group_id", "items")
-    return spread.mapInArrow(_block_kernel, PARTIAL).groupBy("group_id", "a", "b").agg(F.sum("n").alias("n"))
+    return spread.mapInArrow(_block_kernel(min_together), PARTIAL).groupBy("group_id", "a", "b").agg(F.sum("n").alias("n"))
 
 
 def lifted_pairs(counts: DataFrame, min_together: int, min_lift: float) -> DataFrame:

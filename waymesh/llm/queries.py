@@ -24,7 +24,7 @@ def _p1(spark: SparkSession, sf: str) -> DataFrame:
 
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
     """Customers who ride together in at least six routes and three times as often as by chance."""
-    found = cooccur.lifted_pairs(cooccur.pair_counts(_p1(spark, sf)), 6, 3.0)
+    found = cooccur.lifted_pairs(cooccur.pair_counts(_p1(spark, sf), 6), 6, 3.0)
     return found.select(F.col("group_id").alias("instance_id"), F.col("a").alias("node_a"), F.col("b").alias("node_b"))
 
 
