@@ -12,7 +12,7 @@ from waymesh.plans.network_sql import ORACLES  # noqa: F401
 from waymesh.session import cut, table
 from waymesh.sources import acquire, instances, osm
 
-SEED, CUSTOMERS, PLACES = 7, 8, 5
+SEED, CUSTOMERS, PLACES, STOPS = 7, 8, 5, 15
 
 
 def _nodes(spark: SparkSession, sf: str) -> DataFrame:
@@ -242,8 +242,13 @@ def instance_nodes(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _stops(spark: SparkSession, sf: str) -> DataFrame:
-    """Nodes 0..15 of each nation's instance with demand, capacity and made-up windows."""
-    c = sampling.demands(_customers(spark, sf), 2, 3, SEED).where("i <= 15").select("city", F.col("i").cast("long").alias("node"), "demand")
+    """Instances of a depot and up to 15 customers, with demand, capacity and made-up windows.
+
+    Every customer is dealt: a nation's customers 1..15 are instance `nation`, the next 15 `nation-1` and so on.
+    """
+    k = F.floor((F.col("i") - 1) / STOPS).cast("long")
+    name = F.when(k == 0, F.col("city")).otherwise(F.concat_ws("-", "city", k.cast("string")))
+    c = sampling.demands(_customers(spark, sf), 2, 3, SEED).where("city IS NOT NULL").select(name.alias("city"), (F.col("i") - k * STOPS).cast("long").alias("node"), "demand")
     depot = c.select("city").distinct().select("city", F.lit(0).cast("long").alias("node"), F.lit(0).cast("long").alias("demand"))
     n = F.col("node")
     return depot.unionByName(c).withColumns({"service": F.when(n == 0, 0).otherwise(60 + n * 37 % 300).cast("long"), "earliest": F.when(n == 0, 0).otherwise(n * 613 % 9000).cast("long"), "latest": F.when(n == 0, 86400).otherwise(n * 613 % 9000 + 7200).cast("long"), "capacity": F.lit(40).cast("long")})
