@@ -69,13 +69,17 @@ def p7_fill(spark: SparkSession, sf: str) -> DataFrame:
     return slim.withColumn("used_share", F.round(F.col("tokens") / (F.col("n_containers") * F.col("capacity_tokens")), 6))
 
 
-def _p8(spark: SparkSession, sf: str, total: int | None = None) -> DataFrame:
+def _p8(spark: SparkSession, sf: str) -> DataFrame:
+    """As many tokens drawn as the sources with a target have, so a source whose repeats don't reach its share shows it."""
     sizes = _sizes(spark, sf).select(mixing.proper_source(F.col("source")).alias("source"), F.col("doc_id").alias("item_id"), "n_tokens")
-    return mixing.mix(sizes, table(spark, sf, "mix_target"), total)
+    targets = table(spark, sf, "mix_target")
+    wanted = targets.where("target_share > 0 AND max_repeats > 0").select("source").distinct()
+    total = sizes.where("n_tokens > 0").join(F.broadcast(wanted), "source", "left_semi").agg(F.sum("n_tokens")).first()[0]
+    return mixing.mix(sizes, targets, total or 0)
 
 
 def p8_mix(spark: SparkSession, sf: str) -> DataFrame:
-    """The drawn parts of documents, with every source at its target share as far as its texts and repeats allow."""
+    """The drawn parts of documents, as many tokens as all target sources have, each source at its target share as far as its texts and repeats allow."""
     return _p8(spark, sf).withColumnRenamed("item_id", "doc_id")
 
 
