@@ -1,7 +1,12 @@
 """Registered queries over small tables: nothing is left out."""
 
+import math
+import random
 from collections import Counter
+from datetime import datetime
+from itertools import product
 
+from waymesh.functions.scalars import FREE_KMH
 from waymesh.plans import network
 
 
@@ -18,3 +23,37 @@ def test_every_customer_has_a_stop(spark, tmp_path):
     assert sum(len(x.route) for x in network.nearest_tours(spark, sf).collect()) == len(rows)
     assert network.QUERIES["windows_tight"](spark, sf).where("node > 0").count() == len(rows)
     assert {x.name: x.dimension for x in network.instance_files(spark, sf).collect()} == {c: n + 1 for c, n in want.items()}
+
+
+def test_costs_and_paths_of_all_vertices(spark, tmp_path):
+    r, sf, free = random.Random(5), str(tmp_path), list(FREE_KMH)
+    kind = "bridge_id long, published_at timestamp, osm_file string, num_bins int, bin_seconds double, edges array<struct<osm_u: long, osm_v: long, length_m: double, road_class: int>>, vertices array<struct<osm_id: long, lon: double, lat: double>>"
+    graphs, want, fast = [], {}, {}
+    for b in (1, 2):
+        ids = r.sample(range(100, 999), 9)
+        ends = [*zip(ids, ids[1:]), *(tuple(r.sample(ids, 2)) for _ in range(8))]
+        edges = [(u, v, float(r.randint(50, 900)), r.choice(free)) for u, v in dict.fromkeys(ends)]
+        graphs.append((b, datetime(2024, 1, 1), "f", 24, 3600.0, edges, [(i, 4 + i / 1e5, 45 + i % 7 / 1e4) for i in ids]))
+        for out, weigh in ((want, lambda m, c: m), (fast, lambda m, c: m * 3.6 / FREE_KMH[c])):
+            d = {(x, y): 0.0 if x == y else math.inf for x in ids for y in ids}
+            d |= {(u, v): weigh(m, c) for u, v, m, c in edges}
+            for k, x, y in product(ids, ids, ids):
+                d[x, y] = min(d[x, y], d[x, k] + d[k, y])
+            out.update({(str(b), x, y): c for (x, y), c in d.items()})
+    spark.createDataFrame(graphs, kind).write.parquet(f"{sf}/bridge_graph.parquet")
+    b = network._bridges(spark, sf)
+    ids = {(x.city, x.i): x.node_id for x in network._places(network._bridge_spots(b)).collect()}
+    got = {(x.city, x.metric, ids[x.city, x.i], ids[x.city, x.j]): x.cost for x in network.cost_matrices(spark, sf).collect()}
+    up = lambda c: None if c == math.inf else math.ceil(round(c, 6))
+    assert got == {(b, m, x, y): up(c) for m, d in (("shortest", want), ("fastest", fast)) for (b, x, y), c in d.items() if x != y}
+    rounds = {(x.city, x.source, x.node_id): x.cost for x in network.cost_rounds(spark, sf).collect()}
+    assert rounds == {k: round(c, 3) for k, c in want.items() if c < math.inf}
+    assert network.euclid_matrices(spark, sf).count() == 2 * 9 * 8
+    reach = {(b, x, y) for (b, x, y), c in fast.items() if x != y and c < math.inf}
+    arrivals = {(x.city, ids[x.city, x.i], ids[x.city, x.j]) for x in network.path_arrivals(spark, sf).collect()}
+    assert arrivals == reach
+    tight = {(str(g[0]), u, v) for g in graphs for u, v, m, c in g[5] if fast[str(g[0]), u, v] >= m * 3.6 / FREE_KMH[c] - 1e-9}
+    assert {(x.city, x.osm_u, x.osm_v) for x in network.trimmed_sidecar(spark, sf).collect()} == tight
+    assert network.deadline_lift(spark, sf).count() == 18
+    points = sum(x.points for x in network.route_polylines(spark, sf).collect())
+    assert points >= 2 * 9

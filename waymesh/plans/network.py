@@ -12,7 +12,7 @@ from waymesh.plans.network_sql import ORACLES  # noqa: F401
 from waymesh.session import cut, table
 from waymesh.sources import acquire, instances, osm
 
-SEED, CUSTOMERS, PLACES, STOPS = 7, 8, 5, 15
+SEED, CUSTOMERS, STOPS = 7, 8, 15
 
 
 def _nodes(spark: SparkSession, sf: str) -> DataFrame:
@@ -117,9 +117,16 @@ def _bridge_spots(b: DataFrame) -> DataFrame:
     return v.groupBy("city", F.col("osm_id").alias("node_id")).agg(F.min("lat").alias("lat"), F.min("lon").alias("lon"))
 
 
-def _places(spots: DataFrame, n: int = PLACES) -> DataFrame:
-    """Some nodes of each bridge graph as places 0..n-1."""
-    return sampling.first_n(spots, ["city"], [scalars.uniform(SEED, "place", F.col("node_id")), "node_id"], n).select("city", (F.col("place") - 1).alias("i"), "node_id", "lat", "lon")
+def _places(spots: DataFrame) -> DataFrame:
+    """All vertices of each bridge graph as places 0..n-1, in an order given by hash."""
+    w = Window.partitionBy("city").orderBy(scalars.uniform(SEED, "place", F.col("node_id")), "node_id")
+    return spots.select("city", (F.row_number().over(w) - 1).alias("i"), "node_id", "lat", "lon")
+
+
+def _leg_ends(legs: DataFrame, places: DataFrame) -> DataFrame:
+    """The distinct legs with source and target, the ids of their ends."""
+    ids = lambda k, n: places.select("city", F.col("i").cast("long").alias(k), F.col("node_id").alias(n))
+    return geometry.required_legs(legs).join(ids("from_node", "source"), ["city", "from_node"]).join(ids("to_node", "target"), ["city", "to_node"])
 
 
 def collected_edges(spark: SparkSession, sf: str) -> DataFrame:
@@ -135,9 +142,9 @@ def cost_matrices(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def cost_rounds(spark: SparkSession, sf: str) -> DataFrame:
-    """Distances from the first place of each bridge graph to everything it reaches, by rounds of joins."""
+    """Distances from every vertex of each bridge graph to everything it reaches, by rounds of joins."""
     b = _bridges(spark, sf)
-    found = graph.distances_by_rounds(_bridge_edges(b), _places(_bridge_spots(b), 1).select("city", F.col("node_id").alias("source")), "length_m")
+    found = graph.distances_by_rounds(_bridge_edges(b), _bridge_spots(b).select("city", F.col("node_id").alias("source")), "length_m")
     return found.select("city", "source", "node_id", F.round("cost", 3).alias("cost"))
 
 
@@ -391,9 +398,10 @@ def deadline_lift(spark: SparkSession, sf: str) -> DataFrame:
     places = _places(spots)
     tour = places.where("i > 0").groupBy("city").agg(F.array_sort(F.collect_list("i")).alias("route")).select("city", F.lit("t").alias("run"), F.lit(0).alias("route_idx"), "route")
     stops = places.select("city", F.col("i").alias("node"), F.lit(120).alias("service"), F.lit(0).alias("earliest"), (F.col("i") * 60).cast("long").alias("latest"))
+    need = _leg_ends(schedules.legs(tour), places)
     needs = None
     for k, intensity in enumerate(("light", "heavy")):
-        driven = pipeline.audit(tour, pipeline.timed_paths(e, traffic.wave_profiles(e, spots, intensity, SEED), places), stops)
+        driven = pipeline.audit(tour, pipeline.timed_paths(e, traffic.wave_profiles(e, spots, intensity, SEED), places, need), stops)
         part = driven.select("city", "node", "begin", F.lit(intensity).alias("sub"), F.lit(k).alias("sub_pos"))
         needs = part if needs is None else needs.unionByName(part)
     return schedules.lifted_windows(needs, stops).select("city", "node", "latest", "lift", "worst")
@@ -405,8 +413,7 @@ def route_polylines(spark: SparkSession, sf: str) -> DataFrame:
     spots, places = _bridge_spots(b), _places(_bridge_spots(b))
     tour = places.where("i > 0").groupBy("city").agg(F.array_sort(F.collect_list("i")).alias("route")).select("city", F.lit("t").alias("run"), F.lit(0).alias("route_idx"), "route")
     legs = schedules.legs(tour)
-    ids = lambda k, n: places.select("city", F.col("i").cast("long").alias(k), F.col("node_id").alias(n))
-    need = geometry.required_legs(legs).join(ids("from_node", "source"), ["city", "from_node"]).join(ids("to_node", "target"), ["city", "to_node"])
+    need = _leg_ends(legs, places)
     found = graph.shortest_paths(_bridge_edges(b), need, "length_m", with_paths=True)
     lines = geometry.polylines(found, spots).join(need, ["city", "source", "target"]).select("city", "from_node", "to_node", F.lit(1).alias("rank"), "line")
     done = geometry.materialized(need.select("city", "from_node", "to_node"), lines, places.select("city", F.col("i").cast("long").alias("node"), "lon", "lat"))

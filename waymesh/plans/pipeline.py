@@ -176,9 +176,12 @@ def trimmed_graph(edges: DataFrame, places: DataFrame) -> DataFrame:
     return edges.join(graph.used_edges(paths), ["city", "u", "v"], "left_semi")
 
 
-def timed_paths(edges: DataFrame, profiles: DataFrame, places: DataFrame) -> DataFrame:
-    """(city, i, j, steps): the fastest free-flow path of each pair with every edge's length and speeds, in order."""
-    paths = graph.shortest_paths(with_time(edges), graph.all_pairs(places), "time", with_paths=True).where("path IS NOT NULL")
+def timed_paths(edges: DataFrame, profiles: DataFrame, places: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
+    """(city, i, j, steps): the fastest free-flow path of each pair with every edge's length and speeds, in order.
+
+    pairs (city, source, target) are those wanted, else all pairs of places.
+    """
+    paths = graph.shortest_paths(with_time(edges), graph.all_pairs(places) if pairs is None else pairs, "time", with_paths=True).where("path IS NOT NULL")
     pair = neighbours(F.col("path"), "u", "v")
     steps = paths.select("city", "source", "target", F.posexplode(pair).alias("pos", "e")).select("city", "source", "target", "pos", "e.u", "e.v")
     known = steps.join(edges.select("city", "u", "v", "length_m"), ["city", "u", "v"]).join(profiles.select("city", "u", "v", "profile"), ["city", "u", "v"])
