@@ -6,8 +6,13 @@ from collections import Counter
 from datetime import datetime
 from itertools import product
 
+from pyspark.sql import functions as F
+
+from waymesh.functions import geo
 from waymesh.functions.scalars import FREE_KMH
+from waymesh.operators import nearest, roads
 from waymesh.plans import network
+from waymesh.sources import acquire
 
 
 def test_every_customer_has_a_stop(spark, tmp_path):
@@ -57,3 +62,21 @@ def test_costs_and_paths_of_all_vertices(spark, tmp_path):
     assert network.deadline_lift(spark, sf).count() == 18
     points = sum(x.points for x in network.route_polylines(spark, sf).collect())
     assert points >= 2 * 9
+
+
+def test_city_across_the_antimeridian(spark):
+    rows = [("a", 1, 0.0, 179.0), ("a", 2, 1.0, 179.9), ("a", 3, 1.0, -179.9), ("a", 4, 2.0, -178.0), ("b", 5, 0.0, 10.0), ("b", 6, 1.0, 11.0)]
+    n = spark.createDataFrame(rows, "city string, node_id long, lat double, lon double")
+    bounds = roads.city_bounds(n)
+    assert {x.city: (x.min_lat, x.min_lon, x.max_lat, x.max_lon) for x in bounds.collect()} == {"a": (0.0, 179.0, 2.0, -178.0), "b": (0.0, 10.0, 1.0, 11.0)}
+    half = roads.middle_half(bounds)
+    assert {x.city: (x.min_lon, x.max_lon) for x in half.collect()} == {"a": (179.75, -178.75), "b": (10.25, 10.75)}
+    w = spark.createDataFrame([("a", 1, [1, 2, 3, 4])], "city string, way_id long, nodes array<long>")
+    got = [(x.synthetic, round(x.lon, 6)) for x in roads.cropped(w, n, half).orderBy("seq").collect()]
+    assert got == [(True, 179.75), (False, 179.9), (False, -179.9), (True, -178.95)]
+    cells = [x for x in acquire.tiles(bounds, (5.0, 0.7)).collect() if x.city == "a"]
+    assert sorted(round(x.west, 6) for x in cells) == [-180.0, round(-180 + 2 / 3, 6), round(-180 + 4 / 3, 6), 179.0, 179.5] and len({x.tile for x in cells}) == 5
+    assert all(-180 <= x.west < x.east <= 180 for x in cells)
+    east = {x.node_id: x.east for x in nearest.in_city_frame(n, bounds).collect()}
+    assert east[1] < east[2] < east[3] < east[4]
+    assert spark.range(1).select(geo.flat_metres(F.lit(179.9), F.lit(0.0), F.lit(-179.9), F.lit(0.0))).first()[0] < 23_000

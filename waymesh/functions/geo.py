@@ -67,7 +67,12 @@ def is_lonlat(x: Column, y: Column) -> Column:
 def flat_metres(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
     """Equirectangular metres between lon/lat points, plain distance between others."""
     wide = FLAT_M_PER_DEG * F.cos(F.radians((y1 + y2) / 2))
-    return F.when(is_lonlat(x1, y1) & is_lonlat(x2, y2), F.hypot((x1 - x2) * wide, (y1 - y2) * FLAT_M_PER_DEG)).otherwise(F.hypot(x1 - x2, y1 - y2))
+    return F.when(is_lonlat(x1, y1) & is_lonlat(x2, y2), F.hypot(wrapped_lon(x1 - x2) * wide, (y1 - y2) * FLAT_M_PER_DEG)).otherwise(F.hypot(x1 - x2, y1 - y2))
+
+
+def wrapped_lon(lon: Column) -> Column:
+    """A longitude up to one turn off, in -180..180."""
+    return F.when(lon > 180, lon - 360).when(lon < -180, lon + 360).otherwise(lon)
 
 
 def bounds_center(min_lat: Column, min_lon: Column, max_lat: Column, max_lon: Column) -> tuple[Column, Column]:

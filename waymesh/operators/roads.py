@@ -155,10 +155,13 @@ def cropped(ways: DataFrame, nodes: DataFrame, boxes: DataFrame) -> DataFrame:
 
     A way without a node inside drops out. An outside node next to an inside one becomes a point on the box, unless that
     neighbour lies on the box already; the step before counts first. Other outside nodes drop out. Synthetic points have
-    negative ids that depend on way and place alone.
+    negative ids that depend on way and place alone. Longitudes are taken around the box, which may cross the antimeridian.
     """
     box = [F.col(c) for c in ("min_lat", "min_lon", "max_lat", "max_lon")]
+    boxes = boxes.withColumn("max_lon", F.col("max_lon") + F.when(F.col("min_lon") > F.col("max_lon"), 360.0).otherwise(0.0))
     steps = ways.select("city", "way_id", F.posexplode("nodes").alias("seq", "node_id")).where("node_id IS NOT NULL").join(nodes.select("node_id", "lat", "lon"), "node_id").join(boxes, "city")
+    off = F.col("lon") - (F.col("min_lon") + F.col("max_lon")) / 2
+    steps = steps.withColumn("lon", F.col("lon") + F.when(off < -180, 360.0).when(off > 180, -360.0).otherwise(0.0))
     s, w, n, e = box
     inside = F.col("lat").between(s, n) & F.col("lon").between(w, e)
     edge = F.col("lat").isin(s, n) | F.col("lon").isin(w, e)
@@ -172,9 +175,21 @@ def cropped(ways: DataFrame, nodes: DataFrame, boxes: DataFrame) -> DataFrame:
     spot = F.when(F.col("inside"), F.struct("lat", "lon")).when(use_before, from_before).when(use_after, from_after)
     kept = seen.where("any").withColumn("spot", spot).where("spot IS NOT NULL")
     made = -1 - F.pmod(F.xxhash64("way_id", "seq"), F.lit(1 << 62))
-    return kept.select("city", "way_id", "seq", F.when(F.col("inside"), F.col("node_id")).otherwise(made).alias("node_id"), "spot.lat", "spot.lon", (~F.col("inside")).alias("synthetic"))
+    return kept.select("city", "way_id", "seq", F.when(F.col("inside"), F.col("node_id")).otherwise(made).alias("node_id"), "spot.lat", geo.wrapped_lon(F.col("spot.lon")).alias("lon"), (~F.col("inside")).alias("synthetic"))
 
 
 def city_bounds(nodes: DataFrame) -> DataFrame:
-    """The box of each city's nodes."""
-    return nodes.groupBy("city").agg(F.min("lat").alias("min_lat"), F.min("lon").alias("min_lon"), F.max("lat").alias("max_lat"), F.max("lon").alias("max_lon"))
+    """The box of each city's nodes; one across the antimeridian has min_lon > max_lon."""
+    b = nodes.groupBy("city").agg(F.min("lat").alias("min_lat"), F.min("lon").alias("_w"), F.max("lat").alias("max_lat"), F.max("lon").alias("_e"), F.min(F.when(F.col("lon") >= 0, F.col("lon"))).alias("_w2"), F.max(F.when(F.col("lon") < 0, F.col("lon"))).alias("_e2"))
+    turned = (F.col("_e") - F.col("_w") > 180) & (F.col("_e2") + 360 - F.col("_w2") < 180)
+    pick = lambda far, plain: F.when(turned, F.col(far)).otherwise(F.col(plain))
+    return b.select("city", "min_lat", pick("_w2", "_w").alias("min_lon"), "max_lat", pick("_e2", "_e").alias("max_lon"))
+
+
+def middle_half(bounds: DataFrame) -> DataFrame:
+    """The middle half of each city's box, in both directions."""
+    east = F.col("max_lon") + F.when(F.col("min_lon") > F.col("max_lon"), 360.0).otherwise(0.0)
+    part = lambda lo, hi, k: F.round(lo + (hi - lo) * k, 7)
+    y = lambda k: part(F.col("min_lat"), F.col("max_lat"), k)
+    x = lambda k: geo.wrapped_lon(part(F.col("min_lon"), east, k))
+    return bounds.select("city", y(0.25).alias("min_lat"), x(0.25).alias("min_lon"), y(0.75).alias("max_lat"), x(0.75).alias("max_lon"))

@@ -83,9 +83,7 @@ def road_parallel_min(spark: SparkSession, sf: str) -> DataFrame:
 def road_crop(spark: SparkSession, sf: str) -> DataFrame:
     """Roads cut to the middle half of their city's box."""
     n = _nodes(spark, sf)
-    b = roads.city_bounds(n).where("max_lon - min_lon < 180")
-    shrink = lambda lo, hi, k: F.round(F.col(lo) + (F.col(hi) - F.col(lo)) * k, 7)
-    box = b.select("city", shrink("min_lat", "max_lat", 0.25).alias("min_lat"), shrink("min_lon", "max_lon", 0.25).alias("min_lon"), shrink("min_lat", "max_lat", 0.75).alias("max_lat"), shrink("min_lon", "max_lon", 0.75).alias("max_lon"))
+    box = roads.middle_half(roads.city_bounds(n))
     return roads.cropped(_roads(spark, sf), n, box).select("city", "way_id", F.col("seq").cast("long").alias("seq"), F.when(F.col("synthetic"), F.lit(-1)).otherwise(F.col("node_id")).cast("long").alias("node_id"), F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"))
 
 
@@ -445,7 +443,7 @@ def solution_recent(spark: SparkSession, sf: str) -> DataFrame:
 
 def fetch_tiles_plan(spark: SparkSession, sf: str) -> DataFrame:
     """The tiles that cover each city's box."""
-    b = roads.city_bounds(_nodes(spark, sf)).where("max_lon - min_lon < 180")
+    b = roads.city_bounds(_nodes(spark, sf))
     return acquire.tiles(b, acquire.ROAD_TILE).select("city", "tile", *(F.round(c, 9).alias(c) for c in ("south", "west", "north", "east")))
 
 
