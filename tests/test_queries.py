@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from waymesh.functions import geo
 from waymesh.functions.scalars import FREE_KMH
-from waymesh.operators import nearest, roads
-from waymesh.plans import network
+from waymesh.operators import nearest, roads, traffic
+from waymesh.plans import network, pipeline
 from waymesh.sources import acquire
 
 
@@ -80,3 +80,17 @@ def test_city_across_the_antimeridian(spark):
     east = {x.node_id: x.east for x in nearest.in_city_frame(n, bounds).collect()}
     assert east[1] < east[2] < east[3] < east[4]
     assert spark.range(1).select(geo.flat_metres(F.lit(179.9), F.lit(0.0), F.lit(-179.9), F.lit(0.0))).first()[0] < 23_000
+
+
+def test_work_pool(spark, monkeypatch):
+    v = spark.createDataFrame([(c, i) for c in "ab" for i in range(120)], "city string, node_id long")
+    on = spark.createDataFrame([(c, i) for c, n in (("a", 50), ("b", 49)) for i in [*range(n), 0, 999]], "city string, node_id long")
+    pool = {(x.city, x.node_id) for x in traffic.work_pool(v, on).collect()}
+    assert pool == {("a", i) for i in range(50)} | {("b", i) for i in range(120)}
+    seen = []
+    monkeypatch.setattr(traffic, "trips", lambda homes, works, *_: seen.append({(x.city, x.node_id) for x in works.select("city", "node_id").collect()}) or spark.createDataFrame([], "city string"))
+    monkeypatch.setattr(traffic, "hourly_flows", lambda edges, day: day)
+    monkeypatch.setattr(traffic, "volume_delay_profiles", lambda edges, flows: edges)
+    e = spark.createDataFrame([("a", 0, 1, 9.0, list(FREE_KMH)[0])], "city string, u long, v long, length_m double, class int")
+    pipeline.bridge(e, v, "bpr", "light", 3, on)
+    assert seen == [pool]

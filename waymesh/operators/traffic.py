@@ -66,6 +66,17 @@ def volume_delay_profiles(edges: DataFrame, flows: DataFrame) -> DataFrame:
     return joined.select(*edges.columns, F.transform(F.sequence(F.lit(0), F.lit(BINS - 1)), at).alias("profile"))
 
 
+def work_pool(vertices: DataFrame, snapped: DataFrame, least: int = 50) -> DataFrame:
+    """(city, node_id): the vertices on which a point of interest snapped, or all of a city's vertices where fewer than `least` did.
+
+    vertices: city, node_id; snapped: city, node_id, possibly repeated, not only vertices.
+    """
+    v = vertices.select("city", "node_id").distinct()
+    hit = v.join(snapped.select("city", "node_id").distinct(), ["city", "node_id"], "left_semi")
+    enough = hit.groupBy("city").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") >= least).select("city")
+    return hit.join(enough, "city", "left_semi").unionByName(v.join(enough, "city", "left_anti"))
+
+
 def trips(homes: DataFrame, works: DataFrame, intensity: str, seed: int) -> DataFrame:
     """(city, commuter, home, work, departure_s, to_work): a day's trips; homes and works: city, node_id.
 

@@ -64,10 +64,11 @@ def derive_windows(spark: SparkSession, path: str, method: str, seed: int, out:
     return texts
 
 
-def derive_traffic(edges: DataFrame, vertices: DataFrame, places: DataFrame, stops: DataFrame, routes: DataFrame, combos: list[tuple[str, str]], seed: int) -> dict[str, DataFrame]:
+def derive_traffic(edges: DataFrame, vertices: DataFrame, places: DataFrame, stops: DataFrame, routes: DataFrame, combos: list[tuple[str, str]], seed: int, snapped: DataFrame | None = None) -> dict[str, DataFrame]:
     """Traffic twins of instances: speeds per combination of model and intensity on the trimmed graph, and windows lifted for all.
 
-    places: city, i, node_id; stops: city, node, service, earliest, latest; routes: city, run, route_idx, route (the anchors).
+    places: city, i, node_id; stops: city, node, service, earliest, latest; routes: city, run, route_idx, route (the anchors);
+    snapped: city, node_id of the snapped points of interest, for the workplaces of bpr.
     Returns speeds (city, model, intensity, u, v, profile), windows (stops with lift and worst), functions (arrival-time functions
     of the anchors' arcs) and late, the stops that would still be late under the lifted windows: none, or the result is wrong.
     """
@@ -77,7 +78,7 @@ def derive_traffic(edges: DataFrame, vertices: DataFrame, places: DataFrame, sto
     speeds = needs = functions = None
     drives = []
     for pos, (model, intensity) in enumerate(combos):
-        profiles = traffic.overlay(pipeline.bridge(edges, vertices, model, intensity, seed), limit)
+        profiles = traffic.overlay(pipeline.bridge(edges, vertices, model, intensity, seed, snapped), limit)
         arcs = cut(pipeline.timed_paths(trimmed, profiles, places).join(used, ["city", "i", "j"], "left_semi"))
         drives.append(arcs)
         tag = lambda df: df.withColumns({"model": F.lit(model), "intensity": F.lit(intensity)})  # noqa: B023, E731

@@ -352,17 +352,23 @@ def volume_delay(spark: SparkSession, sf: str) -> DataFrame:
     return traffic.volume_delay_profiles(e, _made_flows(e)).select("city", "u", "v", F.posexplode("profile").alias("bin", "speed"))
 
 
+def _works(spark: SparkSession, sf: str, spots: DataFrame) -> DataFrame:
+    """The workplaces of each bridge graph: its vertices with a POI, or all."""
+    on = poi_snap(spark, sf).select("node_id").distinct()
+    return traffic.work_pool(spots, spots.join(on, "node_id", "left_semi"))
+
+
 def commuter_trips(spark: SparkSession, sf: str) -> DataFrame:
     """A day's trips on every bridge graph."""
     spots = _bridge_spots(_bridges(spark, sf))
-    return traffic.trips(spots, spots, "light", SEED).select("city", F.col("commuter").cast("long").alias("commuter"), "home", "work", F.round("departure_s", 2).alias("departure_s"), "to_work")
+    return traffic.trips(spots, _works(spark, sf, spots), "light", SEED).select("city", F.col("commuter").cast("long").alias("commuter"), "home", "work", F.round("departure_s", 2).alias("departure_s"), "to_work")
 
 
 def hourly_flows(spark: SparkSession, sf: str) -> DataFrame:
     """Flows of the commuters' trips by edge and hour."""
     b = _bridges(spark, sf)
     spots = _bridge_spots(b)
-    return traffic.hourly_flows(pipeline.with_time(_bridge_edges(b)), traffic.trips(spots, spots, "light", SEED))
+    return traffic.hourly_flows(pipeline.with_time(_bridge_edges(b)), traffic.trips(spots, _works(spark, sf, spots), "light", SEED))
 
 
 def overlay_clamp(spark: SparkSession, sf: str) -> DataFrame:

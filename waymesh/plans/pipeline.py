@@ -160,13 +160,17 @@ def vrptw(nodes: DataFrame, costs: DataFrame, method: str, seed: int) -> DataFra
     return schedules.windows(timed, method, seed)
 
 
-def bridge(edges: DataFrame, vertices: DataFrame, model: str, intensity: str, seed: int) -> DataFrame:
-    """edges (city, u, v, class, length_m) with the 24 speeds of a traffic model: wave or bpr."""
+def bridge(edges: DataFrame, vertices: DataFrame, model: str, intensity: str, seed: int, snapped: DataFrame | None = None) -> DataFrame:
+    """edges (city, u, v, class, length_m) with the 24 speeds of a traffic model: wave or bpr.
+
+    snapped: city, node_id of the points of interest, the workplaces of bpr (traffic.work_pool); without it all vertices are.
+    """
     s = 101 * (("bpr", "wave").index(model) + 1) + 10007 * (("light", "moderate", "heavy").index(intensity) + 1) + seed
     clean = roads.fastest_parallel(edges, ["city"])
     if model == "wave":
         return traffic.wave_profiles(clean, vertices, intensity, s)
-    day = traffic.trips(vertices, vertices, intensity, s)
+    works = vertices if snapped is None else traffic.work_pool(vertices, snapped)
+    day = traffic.trips(vertices, works, intensity, s)
     return traffic.volume_delay_profiles(clean, traffic.hourly_flows(with_time(clean), day))
 
 
