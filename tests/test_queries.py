@@ -6,6 +6,7 @@ from collections import Counter
 from datetime import datetime
 from itertools import product
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from waymesh.functions import geo
@@ -94,3 +95,11 @@ def test_work_pool(spark, monkeypatch):
     e = spark.createDataFrame([("a", 0, 1, 9.0, list(FREE_KMH)[0])], "city string, u long, v long, length_m double, class int")
     pipeline.bridge(e, v, "bpr", "light", 3, on)
     assert seen == [pool]
+
+
+def test_very_long_stretch(spark):
+    profile = [1.0 + (k % 5) / 4 for k in range(24)]
+    rows = [(float(t), float(m), profile) for t in (0, 5000, 86000) for m in (100, 200_000, 300_000, 1_000_000)]
+    df = spark.createDataFrame(rows, "t double, m double, p array<double>")
+    got = {(x.t, x.m): x.a for x in df.withColumn("a", traffic.through(F.col("t"), F.col("m"), F.col("p"))).collect()}
+    assert all(abs(got[t, m] - traffic.ride_through(np.array([t]), m, np.array(p))[0]) < 1e-3 for t, m, p in rows)

@@ -206,9 +206,12 @@ def valid_profiles(profiles: DataFrame) -> DataFrame:
 def through(clock: Column, length: Column, profile: Column) -> Column:
     """The clock after a stretch entered at clock, with the speed of each hour; speeds repeat daily and none overtakes.
 
-    Hour by hour: what the rest of the hour cannot cover is left for the next one. A stretch of more than 48 hours ends after that.
+    Hour by hour: what the rest of the hour cannot cover is left for the next one. Of a stretch of more than 48 hours, all whole
+    days but the last are taken first: a day covers the same distance from any clock.
     """
-    zero = F.struct(clock.cast("double").alias("t"), length.cast("double").alias("rest"))
+    day = F.aggregate(profile, F.lit(0.0), lambda a, x: a + x) * BIN_S
+    whole = F.coalesce(F.greatest(F.lit(0.0), F.floor(length / day) - 1.0), F.lit(0.0))
+    zero = F.struct((clock + whole * (BIN_S * BINS)).cast("double").alias("t"), F.coalesce(length - whole * day, length).cast("double").alias("rest"))
 
     def hour(s: Column, _: Column) -> Column:
         k = F.pmod(F.floor(s["t"] / BIN_S), F.lit(BINS)).cast("int")
