@@ -1,18 +1,23 @@
-"""Long exact spans shared between records.
-
-A generalised suffix tree over all texts, cut into subtrees by prefix. Only the suffixes that can start a span of the least
-length L matter, and of those one anchor per neighbourhood is kept first: the window of L characters at each position chooses
-the k-character prefix with the least hash in it, a choice made by the window's content alone, so equal windows choose equal
-anchors. Anchors are grouped by that prefix. A prefix found in one record only ends there. Anchors whose whole neighbourhood
-(all windows that chose them) is found in two records are deep nodes already. The rest, the ends of shared spans and common
-phrases, get their text back and are compared character by character: a subtree that fits in memory is sorted as a suffix
-array, and neighbours whose common prefix reaches L are its deep internal nodes; a subtree that doesn't is split further by
-prefixes of L characters. Nothing is capped: the two ways give the same result.
+"""Long exact spans shared between records: suffix trees partitioned by prefix.
+
+Only suffixes that can start a span of the least length L matter. Each window of L characters names, by its content alone, one
+k-character prefix inside it (the one with the least hash), so equal windows name equal prefixes at equal places. A named
+prefix with the windows that name it, at most L - k + 1 of them, is an anchor; its body is the text those windows cover.
+
+1. Prefixes. Anchors are grouped by their prefix; those whose prefix occurs in one record only end here. The hash of the
+   prefix does nothing but partition and filter: equal prefixes have equal hashes, so nothing is lost.
+2. Leaves. Bodies of the remaining anchors are grouped by their characters: a distinct body with the least and the greatest
+   doc_id that has it. A boilerplate text in a third of all records is one leaf, combined before the shuffle.
+3. Subtrees. The bodies under one prefix are one subtree, built in memory from two suffix arrays with their common-prefix
+   lengths, one of what follows the anchor and one, turned, of what precedes it. A run whose common prefix reaches L is an
+   internal node of that depth; if its leaves come from two records, its suffixes are shared. A subtree with more bodies than
+   memory should hold is split by longer prefixes, halving the windows in question each time, until it fits or the
+   prefix is L long and the subtree is one node. Every character that counts as shared has been compared.
+4. Each leaf's shared stretches go back to the anchors that have its body.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,10 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from waymesh.session import cut
+from waymesh.session import broadcast_if_small, cut
 
-#: Characters hashed at a time (at most 2**24); neighbourhoods of a subtree that is sorted in memory.
-CHUNK_CHARS, SUBTREE = 1_000_000, 2_000
+#: Characters hashed at a time (at most 2**24); distinct bodies of a subtree that is built in memory.
+CHUNK_CHARS, SUBTREE = 1_000_000, 20_000
+#: A key with at least this share of all rows is joined without a shuffle: there are at most so many of them.
+HOT_KEYS = 1_000
 
 _BASE, _ADD = np.uint64(0x9E3779B97F4A7C15 | 1), np.uint64(0xD1B54A32D192ED03)
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -57,21 +64,18 @@ def sliding_least(v: np.ndarray, w: int) -> np.ndarray:
 
 
 def anchors_of(codes: np.ndarray, text_of: np.ndarray, least: int, k: int) -> tuple[np.ndarray, ...]:
-    """(first window, last window, prefix hash, neighbourhood hash) of the anchors of texts laid end to end.
+    """(first window, last window, place of the prefix, its hash) of the anchors of texts laid end to end.
 
     codes: code points; text_of: the number of each one's text. Windows never cross from one text into another.
     """
     n = len(codes)
-    none = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.uint64))
+    none = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64))
     if n < least:
         return none
     up, down = _powers(n + 1)
-    sums = []
-    for salt in (np.uint64(0), _ADD):
-        total = np.zeros(n + 1, np.uint64)
-        np.cumsum(_mix(codes.astype(np.uint64) + salt + _ADD) * up[:n], out=total[1:])
-        sums.append(total)
-    prefix = _mix((sums[0][k:] - sums[0][:-k]) * down[: n - k + 1])
+    total = np.zeros(n + 1, np.uint64)
+    np.cumsum(_mix(codes.astype(np.uint64) + _ADD) * up[:n], out=total[1:])
+    prefix = _mix((total[k:] - total[:-k]) * down[: n - k + 1])
     place = np.uint64(0xFFFFFF)
     chosen = (sliding_least((prefix & ~place) | np.arange(len(prefix), dtype=np.uint64), least - k + 1) & place).astype(np.int64)
     at = np.flatnonzero(text_of[: n - least + 1] == text_of[least - 1 :])
@@ -79,23 +83,24 @@ def anchors_of(codes: np.ndarray, text_of: np.ndarray, least: int, k: int) -> tu
         return none
     pick = chosen[at]
     new = np.r_[True, (pick[1:] != pick[:-1]) | (at[1:] != at[:-1] + 1)]
-    first, last = at[new], at[np.r_[new[1:], True]]
-    end = last + least
-    around = _mix((sums[1][end] - sums[1][first]) * down[first] + (end - first).astype(np.uint64) * _ADD)
-    return first, last, prefix[pick[new]], around
+    return at[new], at[np.r_[new[1:], True]], pick[new], prefix[pick[new]]
+
+
+ANCHOR = "doc_id long, s int, wins int, at int, prefix long"
 
 
 def _anchor_kernel(least: int, k: int):
+    """Arrow kernel: (doc_id, text) to anchors: first window s, windows after it, place of the prefix from s, its hash."""
+
     def emit(parts: list[tuple[int, int, np.ndarray]]) -> pa.RecordBatch:
         ids, offset = np.array([p[0] for p in parts], np.int64), np.array([p[1] for p in parts], np.int64)
         sizes = np.array([len(p[2]) for p in parts])
         start = np.cumsum(sizes) - sizes
         owner = np.repeat(np.arange(len(parts)), sizes)
-        first, last, prefix, around = anchors_of(np.concatenate([p[2] for p in parts]), owner, least, k)
+        first, last, place, prefix = anchors_of(np.concatenate([p[2] for p in parts]), owner, least, k)
         of = owner[first]
-        shift = offset[of] - start[of]
-        cols = [pa.array(ids[of]), pa.array((first + shift).astype(np.int32)), pa.array((last + shift).astype(np.int32)), pa.array(prefix.view(np.int64)), pa.array(around.view(np.int64))]
-        return pa.RecordBatch.from_arrays(cols, ["doc_id", "s", "e", "prefix", "around"])
+        cols = [ids[of], (first + offset[of] - start[of]).astype(np.int32), (last - first).astype(np.int32), (place - first).astype(np.int32), prefix.view(np.int64)]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["doc_id", "s", "wins", "at", "prefix"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -116,101 +121,160 @@ def _anchor_kernel(least: int, k: int):
     return run
 
 
-def _neighbourhoods(least: int):
-    """Arrow kernel: (doc_id, text, anchors) to (prefix, large, doc_id, s, several, body): each anchor's text around it."""
-    names = ["prefix", "large", "doc_id", "s", "several", "body"]
+def _body_kernel(least: int):
+    """Arrow kernel: (doc_id, text, anchors) to (prefix, doc_id, s, at, body), the text that each anchor's windows cover.
+
+    An anchor that does not lie in the text (a second text under its doc_id) gives none.
+    """
+    names, kinds = ["prefix", "doc_id", "s", "at", "body"], [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def batch(out: list[list]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], names)
+
         for b in batches:
-            out: list[list] = [[] for _ in names]
-            size = 0
+            out, size = [[] for _ in names], 0
             for i in range(b.num_rows):
                 text, doc = b["text"][i].as_py(), b["doc_id"][i].as_py()
                 for a in b["anchors"][i].as_py():
-                    body = text[a["s"] : a["e"] + least]
-                    for col, v in zip(out, (a["prefix"], a["large"], doc, a["s"], a["several"], body)):
+                    s, end = a["s"], a["s"] + a["wins"] + least
+                    if end > len(text):
+                        continue
+                    for col, v in zip(out, (a["prefix"], doc, s, a["at"], text[s:end])):
                         col.append(v)
-                    size += len(body)
+                    size += end - s
                     if size > 8_000_000:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], names)
+                        yield batch(out)
                         out, size = [[] for _ in names], 0
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], names)
+            yield batch(out)
 
-    kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int32(), pa.bool_(), pa.string()]
     return run
 
 
-def deep_nodes(members: list[tuple[int, int, bool, str]], least: int) -> list[tuple[int, int, int]]:
-    """(doc_id, start, end) of the stretches of members (doc_id, s, several, body) under deep nodes with several records.
+def suffix_array(group: np.ndarray, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(order, common): the texts sorted inside their groups, and how many characters each shares with the one before it.
 
-    The suffixes of all bodies that are at least so long are sorted; a run of neighbours with a common prefix of that length
-    is a deep internal node. several: the same body is known in another record too.
+    The first text of a group shares -1. Vectorised comparison of neighbours; no character is taken on trust.
     """
-    suffixes = [(body[i : i + least], m, i) for m, (_, _, _, body) in enumerate(members) for i in range(len(body) - least + 1)]
-    suffixes.sort()
-    found: list[tuple[int, int]] = []
-    i = 0
-    while i < len(suffixes):
-        j = i + 1
-        while j < len(suffixes) and suffixes[j][0] == suffixes[i][0]:
-            j += 1
-        if j > i + 1:
-            docs = {members[m][0] for _, m, _ in suffixes[i:j]}
-            if len(docs) > 1 or any(members[m][2] for _, m, _ in suffixes[i:j]):
-                found += [(m, o) for _, m, o in suffixes[i:j]]
-        i = j
-    found.sort()
-    out: list[tuple[int, int, int]] = []
-    previous = None
-    for m, o in found:
-        doc, s = members[m][0], members[m][1]
-        if previous == (m, o - 1):
-            out[-1] = (doc, out[-1][1], s + o + least)
+    n = len(texts)
+    g = group.tolist()
+    order = np.array(sorted(range(n), key=lambda m: (g[m], texts[m])), np.int64)
+    size = np.array([len(t) for t in texts], np.int64)
+    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    begin = np.cumsum(size) - size
+    common = np.full(n, -1, np.int64)
+    width = int(size.max(initial=0))
+    step = max(1, 4_000_000 // max(1, width))
+    for lo in range(1, n, step):
+        a, b = order[lo - 1 : min(n, lo + step) - 1], order[lo : lo + step]
+        most = np.minimum(size[a], size[b])
+        w = int(most.max(initial=0))
+        if w:
+            at = np.arange(w)
+            last = len(codes) - 1
+            equal = (codes[np.minimum(begin[a][:, None] + at, last)] == codes[np.minimum(begin[b][:, None] + at, last)]) & (at < most[:, None])
+            same = np.where(equal.all(axis=1), w, equal.argmin(axis=1))
         else:
-            out.append((doc, s + o, s + o + least))
-        previous = (m, o)
-    return out
+            same = np.zeros(len(a), np.int64)
+        common[lo : lo + step] = np.where(group[a] == group[b], same, -1)
+    return order, common
 
 
-def _subtree_kernel(least: int):
-    """Arrow kernel over rows sorted by prefix: the shared stretches found in each subtree."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, members, out = None, [], []
+def deep_nodes(group: np.ndarray, at: np.ndarray, lo: np.ndarray, hi: np.ndarray, least_doc: np.ndarray, most_doc: np.ndarray, bodies: list[str], least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(leaf, start, end) of the stretches of bodies under internal nodes of depth least or more with leaves of two records.
 
-        def batch(rows):
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.int32())], ["doc_id", "start", "end"])
+    Leaves of one group share the prefix that starts at their place at. Of each leaf the suffixes that start lo..hi characters
+    before the prefix are asked about. least_doc and most_doc: the least and greatest record that has the body.
+    """
+    n = len(bodies)
+    after, afters = suffix_array(group, [b[p:] for b, p in zip(bodies, at.tolist())])
+    before, befores = suffix_array(group, [b[:p][::-1] for b, p in zip(bodies, at.tolist())])
+    room = np.array([len(b) for b in bodies], np.int64) - at
+    leaves, starts = [], []
+    right, left = np.empty(n, np.int64), np.empty(n, np.int64)
+    for x in range(int(lo.min(initial=0)), int(min(hi.max(initial=0), at.max(initial=0))) + 1):
+        some = np.flatnonzero((lo <= x) & (x <= hi) & (at >= x) & (room >= least - x))
+        if not len(some):
+            continue
+        right[after], left[before] = np.cumsum(afters < least - x), np.cumsum(befores < x)
+        node = left[some] * (n + 1) + right[some]
+        order = np.argsort(node, kind="stable")
+        first = np.flatnonzero(np.r_[True, np.diff(node[order]) != 0])
+        shared = np.minimum.reduceat(least_doc[some][order], first) < np.maximum.reduceat(most_doc[some][order], first)
+        hit = some[order][np.repeat(shared, np.diff(np.r_[first, len(some)]))]
+        leaves.append(hit)
+        starts.append(at[hit] - x)
+    if not leaves:
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
+    leaf, start = np.concatenate(leaves), np.concatenate(starts)
+    order = np.lexsort((start, leaf))
+    leaf, start = leaf[order], start[order]
+    new = np.r_[True, (leaf[1:] != leaf[:-1]) | (start[1:] != start[:-1] + 1)] if len(leaf) else np.empty(0, bool)
+    last = np.r_[new[1:], True] if len(leaf) else new
+    return leaf[new], start[new], start[last] + least
+
+
+FOUND = "prefix long, leaf binary, from int, to int"
+
+
+def _subtree_kernel(least: int, size: int):
+    """Arrow kernel over leaves sorted by node: the shared stretches of each. Whole subtrees are taken together up to size leaves."""
+    names = ["node", "prefix", "leaf", "at", "lo", "hi", "a", "z", "body"]
+
+    def solve(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(held)
+        node, at, lo, hi, a, z = (t[c].to_numpy() for c in ("node", "at", "lo", "hi", "a", "z"))
+        of = np.cumsum(np.r_[True, node[1:] != node[:-1]])
+        leaf, start, end = deep_nodes(of, at.astype(np.int64), lo, hi, a, z, t["body"].to_pylist(), least)
+        pick = pa.array(leaf)
+        return pa.RecordBatch.from_arrays([c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in (t["prefix"].take(pick), t["leaf"].take(pick), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32)))], ["prefix", "leaf", "from", "to"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = [], 0
         for b in batches:
-            for prefix, *m in zip(*(b[c].to_pylist() for c in ("prefix", "doc_id", "s", "several", "body"))):
-                if prefix != current:
-                    out += deep_nodes(members, least)
-                    current, members = prefix, []
-                    if len(out) > 50_000:
-                        yield batch(out)
-                        out = []
-                members.append(tuple(m))
-        yield batch(out + deep_nodes(members, least))
+            b = b.select(names)
+            if not b.num_rows:
+                continue
+            node = b["node"].to_numpy()
+            cuts = np.flatnonzero(node[1:] != node[:-1]) + 1
+            if held and held[-1]["node"][-1].as_py() != node[0]:
+                cuts = np.r_[0, cuts]
+            done = 0
+            for c in cuts.tolist():
+                if rows + c - done >= size:
+                    if c > done:
+                        held.append(b.slice(done, c - done))
+                    if held:
+                        yield solve(held)
+                    held, rows, done = [], 0, c
+            held.append(b.slice(done))
+            rows += b.num_rows - done
+        if held:
+            yield solve(held)
 
     return run
 
 
-def _split_kernel(least: int):
-    """Arrow kernel: every suffix of the bodies with the digest of its first L characters, the longer prefix."""
+def _hot_join(many: DataFrame, few: DataFrame, keys: list[str], size: str, total: int) -> DataFrame:
+    """many joined with few (unique by keys; size: the rows of many that have them) without shuffling a hot key.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for s in range(0, b.num_rows, 1000):
-                keys, docs, starts, several = [], [], [], []
-                for doc, at, more, body in zip(*(b.slice(s, 1000)[c].to_pylist() for c in ("doc_id", "s", "several", "body"))):
-                    for i in range(len(body) - least + 1):
-                        keys.append(hashlib.blake2b(body[i : i + least].encode("utf-8", "surrogatepass"), digest_size=16).digest())
-                        docs.append(doc)
-                        starts.append(at + i)
-                        several.append(more)
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(docs, pa.int64()), pa.array(starts, pa.int32()), pa.array(several, pa.bool_())], ["key", "doc_id", "start", "several"])
+    Keys with a HOT_KEYS-th of all rows or more, at most HOT_KEYS of them, are broadcast; the others have no hot key left.
+    """
+    hot = few.where(F.col(size) * HOT_KEYS >= F.lit(max(total, HOT_KEYS)))
+    rest = few.where(F.col(size) * HOT_KEYS < F.lit(max(total, HOT_KEYS)))
+    cold = many.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
+    return many.join(F.broadcast(hot), keys).unionByName(cold.join(rest, keys))
 
-    return run
+
+def _halves(leaves: DataFrame, least: int) -> DataFrame:
+    """The leaves of too large subtrees under longer prefixes: half of the suffixes, the nearer, by what follows the prefix, the others by what precedes it."""
+    mid = F.floor((F.col("lo") + F.col("hi")) / 2).cast("int")
+    ahead = F.substring("body", F.col("at") + 1, F.lit(least) - mid)
+    behind = F.substring("body", F.col("at") - mid, mid + 1 + F.length("body"))
+    near = F.when(F.length(ahead) == F.lit(least) - mid, F.struct(F.xxhash64("node", F.lit(0), ahead).alias("node"), "lo", mid.alias("hi")))
+    far = F.when(F.col("at") > mid, F.struct(F.xxhash64("node", F.lit(1), F.substring(behind, F.lit(1), mid + 1)).alias("node"), (mid + 1).alias("lo"), "hi"))
+    opened = leaves.select("prefix", "leaf", "at", "a", "z", "body", F.explode(F.filter(F.array(near, far), lambda x: x.isNotNull())).alias("n"))
+    return opened.select("n.node", "prefix", "leaf", "at", "n.lo", "n.hi", "a", "z", "body")
 
 
 def shared_stretches(docs: DataFrame, least: int = 200, prefix_chars: int | None = None, subtree: int = SUBTREE) -> DataFrame:
@@ -218,25 +282,48 @@ def shared_stretches(docs: DataFrame, least: int = 200, prefix_chars: int | None
 
     Positions are code points from 0. Every run of least characters that occurs in another record is inside a stretch, and
     every stretch consists of such runs. Rows without id or text, and texts shorter than least, have none. Rows repeated with
-    one doc_id are one record: what only they share does not count.
+    one doc_id are one record: what only they share does not count. The anchors are computed twice, for the prefixes and for
+    the anchors that remain: cheaper than writing all of them.
     """
     k = prefix_chars or max(1, least // 2)
     whole = docs.where(F.col("doc_id").isNotNull() & (F.length("text") >= least)).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    anchors = whole.mapInArrow(_anchor_kernel(least, k), "doc_id long, s int, e int, prefix long, around long")
-    alike, node = Window.partitionBy("prefix", "around"), Window.partitionBy("prefix")
-    several = F.min("doc_id").over(alike) < F.max("doc_id").over(alike)
-    seen = anchors.repartition("prefix").withColumns({"several": several, "_nth": F.row_number().over(alike.orderBy("doc_id", "s"))})
-    seen = seen.withColumn("open", ~F.col("several") | (F.col("_nth") == 1))
-    seen = seen.withColumns({"_more": (F.min("doc_id").over(node) < F.max("doc_id").over(node)), "_kinds": F.min("around").over(node) < F.max("around").over(node), "_open": F.sum(F.col("open").cast("int")).over(node)})
-    kept = cut(seen.where("_more AND (several OR _kinds)").select("doc_id", "s", "e", "prefix", "several", (F.col("open") & F.col("_kinds")).alias("open"), (F.col("_open") > subtree).alias("large")))
-    sure = kept.where("several").select("doc_id", F.col("s").alias("start"), (F.col("e") + least).alias("end"))
-    wanted = kept.where("open").groupBy("doc_id").agg(F.collect_list(F.struct("prefix", "large", "s", "e", "several")).alias("anchors"))
-    bodies = cut(wanted.join(whole, "doc_id").select("doc_id", "text", "anchors").mapInArrow(_neighbourhoods(least), "prefix long, large boolean, doc_id long, s int, several boolean, body string"))
-    small = bodies.where("NOT large").repartition("prefix").sortWithinPartitions("prefix").mapInArrow(_subtree_kernel(least), "doc_id long, start int, end int")
-    split = bodies.where("large").mapInArrow(_split_kernel(least), "key binary, doc_id long, start int, several boolean")
-    same = Window.partitionBy("key")
-    split = split.withColumn("_hit", F.max("several").over(same) | (F.min("doc_id").over(same) < F.max("doc_id").over(same))).where("_hit")
-    return sure.unionByName(small).unionByName(split.select("doc_id", "start", (F.col("start") + least).alias("end")))
+    anchors = whole.mapInArrow(_anchor_kernel(least, k), ANCHOR)
+    prefixes = anchors.groupBy("prefix").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z"), F.count(F.lit(1)).alias("n"))
+    alive = cut(prefixes.where("a < z").select("prefix", "n"))
+    small = broadcast_if_small(alive, 100_000)
+    total = alive.agg(F.sum("n")).first()[0] or 0
+    kept = anchors.join(small.select("prefix"), "prefix", "left_semi") if small is not alive else _hot_join(anchors, alive, ["prefix"], "n", total)
+    wanted = kept.groupBy("doc_id").agg(F.collect_list(F.struct("prefix", "s", "wins", "at")).alias("anchors"))
+    bodies = wanted.join(whole, "doc_id").select("doc_id", "text", "anchors").mapInArrow(_body_kernel(least), "prefix long, doc_id long, s int, at int, body string")
+    members = cut(bodies)
+    leaves = members.groupBy("prefix", "at", "body").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z"), F.count(F.lit(1)).alias("n"))
+    leaves = cut(leaves.select("prefix", F.unhex(F.sha2(F.concat_ws("|", "at", "body"), 256)).alias("leaf"), "at", "a", "z", "n", "body"))
+
+    todo = leaves.select(F.col("prefix").alias("node"), "prefix", "leaf", "at", F.lit(0).alias("lo"), F.lit(least - k).alias("hi"), "a", "z", "body")
+    found, nodes = None, leaves.groupBy(F.col("prefix").alias("node")).agg(F.min("a").alias("least"), F.max("z").alias("most"), F.count(F.lit(1)).alias("k"))
+    while True:
+        large = cut(nodes.where(F.col("k") > subtree).select("node"))
+        split = not large.isEmpty()
+        fits = nodes.where((F.col("k") <= subtree) & (F.col("least") < F.col("most"))).select("node")
+        fitting = todo.join(fits, "node", "left_semi")
+        part = fitting.repartition("node").sortWithinPartitions("node").mapInArrow(_subtree_kernel(least, subtree), FOUND)
+        found = part if found is None else found.unionByName(part)
+        if not split:
+            break
+        big = todo.join(large, "node", "left_semi")
+        single = big.where("lo = hi AND at >= lo").withColumn("gram", F.substring("body", F.col("at") - F.col("lo") + 1, F.lit(least))).where(F.length("gram") == least)
+        deep = single.groupBy("node", "gram").agg(F.min("a").alias("least"), F.max("z").alias("most")).where("least < most").select("node", "gram")
+        shared = single.join(deep, ["node", "gram"], "left_semi").select("prefix", "leaf", (F.col("at") - F.col("lo")).alias("from"), (F.col("at") - F.col("lo") + least).alias("to"))
+        found = found.unionByName(shared)
+        todo = cut(_halves(big.where("lo < hi"), least))
+        nodes = todo.groupBy("node").agg(F.min("a").alias("least"), F.max("z").alias("most"), F.count(F.lit(1)).alias("k"))
+
+    per = found.groupBy("prefix", "leaf").agg(F.collect_set(F.struct("from", "to")).alias("stretches"))
+    known = cut(leaves.select("prefix", "leaf", "n").join(per, ["prefix", "leaf"]))
+    mine = members.select("prefix", "doc_id", "s", F.unhex(F.sha2(F.concat_ws("|", "at", "body"), 256)).alias("leaf"))
+    back = _hot_join(mine, known, ["prefix", "leaf"], "n", total)
+    opened = back.select("doc_id", "s", F.explode("stretches").alias("x"))
+    return opened.select("doc_id", (F.col("s") + F.col("x.from")).alias("start"), (F.col("s") + F.col("x.to")).alias("end"))
 
 
 def merged_spans(stretches: DataFrame) -> DataFrame:
