@@ -6,7 +6,7 @@ from datetime import datetime
 
 import pytest
 
-from waymesh.functions.markup import json_ways, xml_nodes
+from plain_decoders import json_ways, xml_nodes
 from waymesh.operators import compare, nested, orphans, proximity
 
 

@@ -1,37 +1,43 @@
-"""Decoders of one record's text into plain lists: element ids, node references and tags.
+"""The XML parser for single texts, for those that the structural index leaves to it, and checks of single values.
 
 They hold no state between records and never fail: text that is missing or not well-formed gives no element.
 """
 
 from __future__ import annotations
 
-import json
+import re
 from xml.parsers import expat
 
-#: (element id or None, references, tags). A reference or a tag value may be None; tags are (key, value).
-Element = tuple[int | None, list, list]
+_WHOLE = re.compile(r"[ \t\r\n]*[+-]?[0-9]{1,19}[ \t\r\n]*")
 
 
 def whole_number(text) -> int | None:
-    try:
-        return int(text)
-    except (TypeError, ValueError):
+    """The whole number that a text in ASCII digits says, if it fits 64 bits; else None."""
+    if not isinstance(text, str) or not _WHOLE.fullmatch(text):
         return None
+    n = int(text)
+    return n if -(1 << 63) <= n < 1 << 63 else None
+
 
+def xml_elements(text: str | None, name: str = "node", references: bool = False) -> list[tuple]:
+    """(attributes, own tags[, references]) of every element called name.
 
-def xml_elements(text: str | None, name: str = "node") -> list[tuple[dict, list[tuple[str, str]]]]:
-    """(attributes, own tags) of every element called name. Own tags are its direct children called tag that have k and v."""
+    Own tags are its direct children called tag that have k and v, references the ref of its direct children called nd.
+    """
     if text is None:
         return []
-    found: list[tuple[dict, list]] = []
+    found: list[tuple] = []
     path: list = []
 
     def start(tag: str, attrs: dict) -> None:
         mine = None
         if tag == name:
-            found.append(mine := (attrs, []))
-        elif tag == "tag" and path and path[-1] is not None and "k" in attrs and "v" in attrs:
-            path[-1][1].append((attrs["k"], attrs["v"]))
+            found.append(mine := (attrs, [], []))
+        elif path and path[-1] is not None:
+            if tag == "tag" and "k" in attrs and "v" in attrs:
+                path[-1][1].append((attrs["k"], attrs["v"]))
+            elif tag == "nd" and "ref" in attrs:
+                path[-1][2].append(attrs["ref"])
         path.append(mine)
 
     parser = expat.ParserCreate()
@@ -40,65 +46,4 @@ def xml_elements(text: str | None, name: str = "node") -> list[tuple[dict, list[
         parser.Parse(text, True)
     except (expat.ExpatError, ValueError, UnicodeError, LookupError):
         return []
-    return found
-
-
-class Raw(str):
-    """The text of a JSON number, as it stands."""
-
-    __slots__ = ()
-
-
-def _no_constant(text: str):
-    raise ValueError(f"{text} is not JSON")
-
-
-_DECODER = json.JSONDecoder(parse_int=Raw, parse_float=Raw, parse_constant=_no_constant)
-
-
-def json_text(value) -> str | None:
-    """A JSON scalar as text: strings decoded, numbers and booleans as they stand, null as None, the rest as JSON."""
-    if value is None or isinstance(value, str):
-        return value
-    if isinstance(value, bool):
-        return "true" if value else "false"
-    return json.dumps(value, ensure_ascii=False)
-
-
-def _some(value) -> list:
-    return value if isinstance(value, list) else [] if value is None else [value]
-
-
-def json_ways(text: str | None) -> list[Element]:
-    """Every object of type way, at any depth.
-
-    References are the list nodes, or the ref of the objects of nd (a list or a single one); a null keeps its place. Tags are
-    the object tags, or the k and v of the objects of tag (a list or a single one); an object without k gives none.
-    """
-    if text is None:
-        return []
-    try:
-        top = _DECODER.decode(text)
-    except (ValueError, RecursionError):
-        return []
-    found: list[Element] = []
-    stack = [top]
-    while stack:
-        o = stack.pop()
-        if isinstance(o, list):
-            stack.extend(reversed(o))
-        elif isinstance(o, dict):
-            stack.extend(reversed([v for v in o.values() if isinstance(v, (dict, list))]))
-            if o.get("type") == "way":
-                refs = [json_text(x.get("ref") if isinstance(x, dict) else x) for form in ("nodes", "nd") for x in _some(o.get(form))]
-                tags = [(k, json_text(v)) for k, v in o["tags"].items()] if isinstance(o.get("tags"), dict) else []
-                for x in [*_some(o.get("tag")), *(o["tags"] if isinstance(o.get("tags"), list) else [])]:
-                    if isinstance(x, dict) and x.get("k") is not None:
-                        tags.append((json_text(x["k"]), json_text(x.get("v"))))
-                found.append((whole_number(o.get("id")), refs, tags))
-    return found
-
-
-def xml_nodes(text: str | None) -> list[Element]:
-    """Every node element with its own tags; nodes have no references."""
-    return [(whole_number(attrs.get("id")), [], tags) for attrs, tags in xml_elements(text)]
+    return found if references else [f[:2] for f in found]

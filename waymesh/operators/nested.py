@@ -1,14 +1,13 @@
 """Deeply nested records turned into flat child tables that keep the links to their parents.
 
-A batch of records is held as Arrow list arrays. Children come out of the arrays' own buffers: the flattened values are the
-child column, the list offsets give each child its place, and the parent index drives one vectorised take for each key.
-Typed columns (arrays, maps) are flattened as they are; text (JSON, XML) is decoded into the same list arrays first.
+A batch of records is held as Arrow buffers. Children come out of the buffers: for typed columns (arrays, maps) the list offsets
+give each child its place, for texts (JSON, XML) a structural index over the batch's bytes does; the parent index drives
+one vectorised take for each key. No record is parsed by itself.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -17,18 +16,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from waymesh.functions.markup import Element, json_ways, xml_nodes
+from waymesh.functions.columnar import Elements, byte_slices, json_ways, node_elements
 
 CHILD_SCHEMA = "parent_id long, element_id long, child_kind string, child_key string, child_value string"
 
 
-def lists(parts: list[list], kind: pa.DataType) -> pa.ListArray:
-    """A list array of Python lists, built from offsets and one flat array."""
-    offsets = np.zeros(len(parts) + 1, np.int32)
-    np.cumsum([len(p) for p in parts], out=offsets[1:])
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(list(chain.from_iterable(parts)), kind))
-
-
 def open_list(column: pa.ListArray) -> tuple[pa.Array, pa.Array, pa.Array]:
     """(parent index, place from 0, value) of every list element; null and empty lists have none."""
     parent, values = pc.list_parent_indices(column), column.flatten()
@@ -37,49 +29,43 @@ def open_list(column: pa.ListArray) -> tuple[pa.Array, pa.Array, pa.Array]:
     return parent, pa.array(np.arange(len(values)) - np.repeat(first, count)), values
 
 
-def _children(parents: pa.Array, kind: str, elements: pa.Array, column: pa.ListArray, keys: Callable, values: Callable) -> pa.RecordBatch:
-    at, place, child = open_list(column)
-    key, value = keys(place, child), values(child)
-    n = len(at)
-    cols = [parents.take(at), elements.take(at), pa.array([kind], pa.string()).take(pa.array(np.zeros(n, np.int64))), key, value]
-    whole = pa.RecordBatch.from_arrays(cols, ["parent_id", "element_id", "child_kind", "child_key", "child_value"])
-    return whole.filter(pc.and_(value.is_valid(), key.is_valid()))
-
-
-def _once(elements: list[Element]) -> list[Element]:
-    """The elements of one record without repeated children: an id that occurs again keeps only what is new."""
-    ids = [e[0] for e in elements]
-    if len(set(ids)) == len(ids):
-        return elements
-    seen, out = set(), []
-    for i, refs, tags in elements:
-        fresh = [(p, r) for p, r in enumerate(refs) if (i, p, r) not in seen]
-        seen.update((i, p, r) for p, r in fresh)
-        kept = {p for p, _ in fresh}
-        mine = [t for t in tags if (i, t) not in seen]
-        seen.update((i, t) for t in mine)
-        out.append((i, [r if p in kept else None for p, r in enumerate(refs)], mine))
+def _codes(values: pa.Array) -> np.ndarray:
+    return values.dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _numbered(*columns: np.ndarray) -> np.ndarray:
+    """One number per row, the same for the same values."""
+    out = np.zeros(len(columns[0]), np.int64)
+    for c in columns:
+        out = np.unique(out * np.int64(int(c.max(initial=0)) + 1) + c, return_inverse=True)[1]
     return out
 
 
-def child_kernel(decode: Callable[[str | None], list[Element]]):
+def _children(parents: pa.Array, ids: pa.Array, same: np.ndarray, element: np.ndarray, kind: str, key: pa.Array, value: pa.Array) -> pa.RecordBatch:
+    """The children of one kind, each once per element: same numbers the elements, alike for one id in one record."""
+    there = pc.and_(key.is_valid(), value.is_valid()).to_numpy(zero_copy_only=False)
+    at = np.flatnonzero(there)
+    alike = _numbered(same[element[at]], _codes(key.take(pa.array(at))), _codes(value.take(pa.array(at)))) if len(at) else at
+    at = at[np.sort(np.unique(alike, return_index=True)[1])]
+    of, pick = pa.array(element[at]), pa.array(at)
+    cols = [parents.take(of), ids.take(of), pa.array([kind], pa.string()).take(pa.array(np.zeros(len(at), np.int64))), key.take(pick), value.take(pick)]
+    return pa.RecordBatch.from_arrays(cols, ["parent_id", "element_id", "child_kind", "child_key", "child_value"])
+
+
+def child_kernel(decode: Callable[[pa.Array], Elements]):
     """Arrow kernel: rows (parent_id, text[, fallback_id]) to flat children of the elements that decode finds."""
-    pair = pa.struct([("k", pa.string()), ("v", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for s in range(0, b.num_rows, 2000):
-                part = b.slice(s, 2000)
-                records = [_once(decode(t)) for t in part["text"].to_pylist()]
-                elements = list(chain.from_iterable(records))
-                of_record = lists([[e[0] for e in r] for r in records], pa.int64())
-                parent_at, _, element = open_list(of_record)
-                parents = part["parent_id"].take(parent_at)
+            for part in byte_slices(b, "text"):
+                found = decode(part["text"])
+                record = pa.array(found.record)
+                parents, ids = part["parent_id"].take(record), found.ids
                 if "fallback_id" in part.schema.names:
-                    element = pc.coalesce(element, part["fallback_id"].take(parent_at))
-                nd, tag = lists([e[1] for e in elements], pa.string()), lists([[{"k": k, "v": v} for k, v in dict.fromkeys(e[2])] for e in elements], pair)
-                yield _children(parents, "nd", element, nd, lambda place, _: place.cast(pa.string()), lambda v: v)
-                yield _children(parents, "tag", element, tag, lambda _, v: v.field("k"), lambda v: v.field("v"))
+                    ids = pc.coalesce(ids, part["fallback_id"].take(record))
+                same = _numbered(found.record, _codes(ids)) if len(ids) else found.record
+                yield _children(parents, ids, same, found.ref_element, "nd", pa.array(found.ref_place).cast(pa.string()), found.refs)
+                yield _children(parents, ids, same, found.tag_element, "tag", found.tag_keys, found.tag_values)
 
     return run
 
@@ -89,11 +75,11 @@ def flat_children(df: DataFrame, parent: str, text: str, form: str, fallback: st
 
     form: "json_ways" or "xml_nodes". child_kind nd: child_key is the place in the element's list, child_value the reference;
     tag: key and value of the element's own tags, decoded, not trimmed. Null values and null keys give no row, empty ones do.
-    Null and malformed records give none. An element without a readable id takes the fallback column, else null. An element
-    given twice in a record gives each child once; repeated records give their children again. No shuffle is needed: rows
-    are decoded where they are read.
+    Null and malformed records give none, however deep the others are nested. An element without a whole number of 64 bits as id
+    takes the fallback column, else null. An element given twice in a record gives each child once; repeated records give their
+    children again. No shuffle is needed: rows are opened where they are read.
     """
-    decode = {"json_ways": json_ways, "xml_nodes": xml_nodes}[form]
+    decode = {"json_ways": json_ways, "xml_nodes": node_elements}[form]
     cols = [F.col(parent).cast("long").alias("parent_id"), F.col(text).alias("text")] + ([F.col(fallback).cast("long").alias("fallback_id")] if fallback else [])
     return df.where(F.col(text).isNotNull()).select(*cols).mapInArrow(child_kernel(decode), CHILD_SCHEMA)
 

@@ -110,6 +110,28 @@ found AS (
   UNION ALL SELECT graph_id, osm_u, osm_v, 'edge_class' FROM j WHERE in_a AND in_b AND ca IS DISTINCT FROM cb)
 """
 
+
+def _plain_sql(c: str) -> str:
+    """Entities of the test tables resolved."""
+    for a, b in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "''"), ("&#233;", "é"), ("&#xFC;", "ü"), ("&amp;", "&")):
+        c = f"replace({c}, '{a}', '{b}')"
+    return c
+
+
+def _attribute_sql(text: str, name: str) -> str:
+    return " || ".join(f"regexp_extract({text}, '\\s{name}\\s*=\\s*(?:\"([^\"]*)\"|''([^'']*)'')', {i})" for i in (1, 2))
+
+
+_XML_ATTR = r"""(?:\s+[\w:]+\s*=\s*(?:"[^"<]*"|''[^''<]*''))*\s*"""
+_HEAD = "regexp_extract(t, '<node[^<>]*>')"
+#: own (rec_id, place, k, v) and said (rec_id, i, lat, lon) of the well-formed texts of nodes.xml, which hold one node each.
+XML_SQL = rf"""
+x AS (SELECT rec_id, regexp_replace(xml, '<!--(?:[^-]|-[^-])*-->', '', 'g') AS t FROM nodes
+  WHERE regexp_full_match(xml, '\s*(?:<\?xml[^?]*\?>)?\s*<node{_XML_ATTR}(?:/>|>(?:\s|<!--(?:[^-]|-[^-])*-->|<tag{_XML_ATTR}(?:/>|>\s*</tag\s*>))*</node\s*>)\s*')),
+raw AS (SELECT rec_id, unnest(regexp_extract_all(t, '<tag\s[^<>]*>')) AS tag, unnest(range(len(regexp_extract_all(t, '<tag\s[^<>]*>')))) AS place FROM x),
+own AS (SELECT rec_id, place, {_plain_sql(_attribute_sql("tag", "k"))} AS k, {_plain_sql(_attribute_sql("tag", "v"))} AS v FROM raw WHERE regexp_matches(tag, '\sk\s*=') AND regexp_matches(tag, '\sv\s*=')),
+said AS (SELECT rec_id, {_attribute_sql(_HEAD, "id")} AS i, {_attribute_sql(_HEAD, "lat")} AS lat, {_attribute_sql(_HEAD, "lon")} AS lon FROM x)"""
+
 ORACLES = {
     "p2_found": f"""
 WITH p AS (SELECT DISTINCT poi_id AS id, lat, lon FROM poi WHERE {_USABLE}), n AS (SELECT DISTINCT id, lat, lon FROM osm_node WHERE {_USABLE}),
@@ -124,4 +146,14 @@ UNION ALL SELECT 'poi_zone', e.zone_id, p.id FROM e JOIN p ON (e.y1 > p.lat) <>
     "p5_report": f"WITH {_P5_SQL} SELECT graph_id, finding, count(*) AS n FROM found GROUP BY ALL",
     "p6_way_nodes": "SELECT id, strftime(fetched_at, '%Y-%m-%d %H:%M:%S') AS seen_at, i - 1 AS place, nodes[i] AS node_id FROM (SELECT id, fetched_at, nodes, unnest(range(1, len(nodes) + 1)) AS i FROM osm_way)",
     "p6_way_tags": "SELECT id, strftime(fetched_at, '%Y-%m-%d %H:%M:%S') AS seen_at, u.e.key AS tag_key, u.e.value AS tag_value FROM osm_way, unnest(map_entries(tags)) AS u(e)",
+    "p6_found": f"""WITH {XML_SQL},
+way AS (SELECT raw_id, j.value AS w, TRY_CAST(j.value->>'$.id' AS BIGINT) AS e FROM tile_raw, json_tree(CASE WHEN json_valid(payload) THEN payload END) j WHERE j.type = 'OBJECT' AND json_type(j.value, '$.type') = 'VARCHAR' AND j.value->>'$.type' = 'way'),
+lists AS (SELECT raw_id, e, list_concat(CASE json_type(w, '$.nodes') WHEN 'ARRAY' THEN w->'$.nodes[*]' ELSE [] END, CASE json_type(w, '$.nd') WHEN 'ARRAY' THEN w->'$.nd[*]' WHEN 'OBJECT' THEN [w->'$.nd'] ELSE [] END) AS refs,
+  CASE json_type(w, '$.tag') WHEN 'ARRAY' THEN w->'$.tag[*]' WHEN 'OBJECT' THEN [w->'$.tag'] ELSE [] END AS pairs, CASE json_type(w, '$.tags') WHEN 'OBJECT' THEN json_keys(w, '$.tags') ELSE [] END AS names, w FROM way),
+child AS (
+  SELECT raw_id, e, 'nd' AS c, CAST(unnest(range(len(refs))) AS VARCHAR) AS k, unnest(list_transform(refs, lambda r: CASE json_type(r) WHEN 'OBJECT' THEN r->>'$.ref' ELSE r->>'$' END)) AS v FROM lists
+  UNION ALL SELECT raw_id, e, 'tag', unnest(list_transform(pairs, lambda r: r->>'$.k')), unnest(list_transform(pairs, lambda r: r->>'$.v')) FROM lists
+  UNION ALL SELECT raw_id, e, 'tag', n, w->'$.tags'->>('$."' || n || '"') FROM (SELECT raw_id, e, w, unnest(names) AS n FROM lists))
+SELECT DISTINCT 'tile_raw' AS parent_table, raw_id AS parent_id, e AS element_id, c AS child_kind, k AS child_key, v AS child_value FROM child WHERE k IS NOT NULL AND v IS NOT NULL
+UNION ALL SELECT DISTINCT 'nodes', own.rec_id, coalesce(TRY_CAST(i AS BIGINT), id), 'tag', k, v FROM own JOIN said USING (rec_id) JOIN nodes USING (rec_id)""",
 }
