@@ -5,8 +5,35 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
+import re
+
+import pyarrow as pa
+
+from waymesh.functions.markup import whole_number, xml_elements
 from waymesh.llm import survivor
 
+NUMBER = re.compile(r"\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*", re.ASCII)
+
+
+def brute(text):
+    """What one text supplies, parsed by itself."""
+    found = xml_elements(text)
+    if not found:
+        return None, []
+    attrs, tags = found[0]
+    lat, lon = (float(attrs[k]) if k in attrs and NUMBER.fullmatch(attrs[k]) else None for k in ("lat", "lon"))
+    ok = lat is not None and lon is not None and abs(lat) <= 90 and abs(lon) <= 180 and (lat or lon)
+    own = {k: v for k, v in tags if v.strip()}
+    return whole_number(attrs.get("id")), [*([("coord", f"{attrs['lat'].strip()} {attrs['lon'].strip()}")] if ok else []), *own.items()]
+
+
+def supplied(texts):
+    ids, record, fields, values = survivor.supplied(pa.array(texts, pa.string()))
+    out = [(i, []) for i in ids.to_pylist()]
+    for r, f, v in zip(record.tolist(), fields.to_pylist(), values.to_pylist()):
+        out[r][1].append((f, v))
+    return out
+
 KIND = "rec_id long, id long, xml string, feed string, fetched_at timestamp_ntz, trust string, field int"
 
 
@@ -16,10 +43,19 @@ def t(day):
 
 def test_supplied():
     ok = "<node id='5' lat='1.5' lon=' -2e1 '><tag k='a' v=' '/><tag k='b' v=' x '/></node>"
-    assert survivor.supplied(ok) == (5, [("coord", "1.5 -2e1"), ("b", " x ")])
-    for lat, lon in (("0", "0"), ("n/a", "1"), ("", "1"), ("91", "1"), ("1", "181"), ("nan", "1"), ("1_0", "1")):
-        assert survivor.supplied(f"<node id='5' lat='{lat}' lon='{lon}'/>") == (5, [])
-    assert survivor.supplied("<node id='5'") == (None, []) and survivor.supplied(None) == (None, [])
+    odd = [f"<node id='5' lat='{lat}' lon='{lon}'/>" for lat, lon in (("0", "0"), ("n/a", "1"), ("", "1"), ("91", "1"), ("1", "181"), ("nan", "1"), ("1_0", "1"), ("-0.0", "+.0"), ("1.", "+2"))]
+    more = ["<osm><node id='1'/><node id='2' lat='1' lon='1'/></osm>", "<node id='3'><tag k='a' v='1'/><tag k='a' v=' '/><tag k='a' v='2'/><tag k='a' v=''/></node>", "<node id='4'><tag k='a' v='\u2003'/></node>", "<node id='5'", None, "", f"<node id='{'9' * 23}' lat='1' lon='1'/>", "<node><![CDATA[x]]><tag k='c' v='d'/></node>"]
+    texts = [ok, *odd, *more]
+    got = supplied(texts)
+    assert got == [(i, fields) for i, fields in map(brute, texts)]
+    assert got[0] == (5, [("coord", "1.5 -2e1"), ("b", " x ")]) and supplied([]) == []
+
+
+def test_an_id_beyond_64_bits(spark):
+    rows = [(1, None, f"<node id='{'9' * 23}' lat='1' lon='1'/>"), (2, 7, "<node id='1' lat='1' lon='1'/>"), (3, 7, None)]
+    df = spark.createDataFrame(rows, "rec_id long, id long, xml string").selectExpr("*", "'a' AS feed", "CAST(NULL AS TIMESTAMP_NTZ) AS fetched_at")
+    got = survivor.merge_fields(df, spark.createDataFrame([], "feed string, trust int"))
+    assert [tuple(x) for x in got.collect()] == [(7, "coord", 2, "1 1")]
 
 
 def test_merge_fields(spark):
@@ -33,7 +69,7 @@ def test_merge_fields(spark):
         rows.append((rec, r.choice([i, i, None]), xml, r.choice(["a", "b", "c", "d", None]), t(r.choice([None, 1, 2])), "junk", 0))
     best, count = {}, {}
     for rec, i, xml, feed, at, *_ in rows:
-        parsed, fields = survivor.supplied(xml)
+        parsed, fields = brute(xml)
         i = i if i is not None else parsed
         if i is None:
             continue

@@ -6,18 +6,18 @@ of all rows reaches the window with a few rows per task.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from waymesh.functions.markup import whole_number, xml_elements
+from waymesh.functions.columnar import byte_slices, numbers, taken, whole_numbers, xml_nodes
 from waymesh.session import broadcast_if_small
 
 COORD = "coord"
-_NUMBER = re.compile(r"\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*", re.ASCII)
 
 
 def best_rows(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -33,41 +33,48 @@ def completeness(*columns: str) -> Column:
     return sum((F.col(c).isNotNull().cast("int") for c in columns), F.lit(0))
 
 
-def number(text: str | None) -> float | None:
-    """The decimal number in a text, white space around it allowed, else None."""
-    return float(text) if text is not None and _NUMBER.fullmatch(text) else None
+def supplied(texts: pa.Array) -> tuple[pa.Array, np.ndarray, pa.Array, pa.Array]:
+    """(id of each text, then record, field and value of each field) that the first node of each XML text supplies.
 
-
-def supplied(text: str | None) -> tuple[int | None, list[tuple[str, str]]]:
-    """(id, supplied fields) of the first node in the XML: the usable coordinates, and each tag whose value isn't blank."""
-    found = xml_elements(text)
-    if not found:
-        return None, []
-    attrs, tags = found[0]
-    fields: dict[str, str] = {}
-    lat, lon = number(attrs.get("lat")), number(attrs.get("lon"))
-    if lat is not None and lon is not None and abs(lat) <= 90 and abs(lon) <= 180 and (lat or lon):
-        fields[COORD] = f"{attrs['lat'].strip()} {attrs['lon'].strip()}"
-    own = {k: v for k, v in tags if v.strip()}
-    return whole_number(attrs.get("id")), [*((k, v) for k, v in fields.items()), *own.items()]
+    Fields are the usable coordinates and each tag whose value isn't blank; of a key given twice the last such value counts.
+    """
+    x = xml_nodes(texts, "node", ("id", "lat", "lon"))
+    records, first = np.unique(x.record, return_index=True)
+    pick = pa.array(first)
+    place = np.full(len(texts), -1)
+    place[records] = np.arange(len(records))
+    ids = taken(whole_numbers(x.attributes["id"].take(pick)), place)
+    lat, lon = x.attributes["lat"].take(pick), x.attributes["lon"].take(pick)
+    y, z = numbers(lat).to_numpy(zero_copy_only=False), numbers(lon).to_numpy(zero_copy_only=False)
+    spot = np.flatnonzero((np.abs(y) <= 90) & (np.abs(z) <= 180) & ((y != 0) | (z != 0)))
+    at = pa.array(spot)
+    coord = pc.binary_join_element_wise(pc.ascii_trim_whitespace(lat.take(at)), pc.ascii_trim_whitespace(lon.take(at)), " ")
+    of = np.full(len(x.record) + 1, -1)
+    of[first] = records
+    tag = np.flatnonzero((of[x.tag_element] >= 0) & pc.greater(pc.utf8_length(pc.utf8_trim_whitespace(x.tag_values)), 0).to_numpy(zero_copy_only=False))
+    key = x.tag_keys.dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)[tag]
+    both = x.tag_element[tag] * np.int64(key.max(initial=0) + 1) + key
+    tag = tag[len(tag) - 1 - np.unique(both[::-1], return_index=True)[1]]
+    fields = pa.concat_arrays([pa.array([COORD] * len(spot), pa.string()), x.tag_keys.take(pa.array(tag))])
+    return ids, np.concatenate([records[spot], of[x.tag_element[tag]]]).astype(np.int64), fields, pa.concat_arrays([coord, x.tag_values.take(pa.array(tag))])
 
 
 def _supply_kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kind = pa.list_(pa.struct([("field", pa.string()), ("value", pa.string())]))
+    """Arrow kernel: records to one row per supplied field, and one with a null field per record."""
     for b in batches:
-        for s in range(0, b.num_rows, 4000):
-            part = b.slice(s, 4000)
-            parsed = [supplied(t) for t in part["xml"].to_pylist()]
-            ids = [i if i is not None else p[0] for i, p in zip(part["id"].to_pylist(), parsed)]
-            fields = [[{"field": None, "value": None}, *({"field": k, "value": v} for k, v in p[1])] for p in parsed]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), part["rec_id"], part["trust"], part["fetched_at"], pa.array(fields, kind)], ["id", "rec_id", "trust", "fetched_at", "fields"])
+        for part in byte_slices(b, "xml"):
+            said, record, fields, values = supplied(part["xml"])
+            ids, of = pc.coalesce(part["id"], said), pa.array(np.concatenate([np.arange(part.num_rows), record]))
+            none = pa.nulls(part.num_rows, pa.string())
+            cols = [ids.take(of), *(part[c].take(of) for c in ("rec_id", "trust", "fetched_at")), pa.concat_arrays([none, fields]), pa.concat_arrays([none, values])]
+            yield pa.RecordBatch.from_arrays(cols, ["id", "rec_id", "trust", "fetched_at", "field", "value"])
 
 
 def merge_fields(records: DataFrame, ranks: DataFrame) -> DataFrame:
     """(id, field, rec_id, value): the row that supplies each field of each id with two or more rows.
 
     records: rec_id, id, xml, feed, fetched_at; ranks: feed, trust. A null id is taken from the xml, a row that has neither
-    belongs to no group. Null or malformed xml supplies nothing but counts as a row. A field is supplied by the row with the
+    belongs to no group; an id beyond 64 bits is none. Null or malformed xml supplies nothing but counts as a row. A field is supplied by the row with the
     highest trust (0 if unranked or null), then the latest fetched_at (null is earliest), then the largest rec_id. A feed
     ranked several times has its highest trust. A tag called coord would be a field of that name as well.
 
@@ -77,8 +84,7 @@ def merge_fields(records: DataFrame, ranks: DataFrame) -> DataFrame:
     trust = ranks.where(F.col("feed").isNotNull()).groupBy("feed").agg(F.max("trust").alias("trust"))
     rows = records.select("rec_id", "id", "xml", "feed", "fetched_at").join(broadcast_if_small(trust), "feed", "left")
     rows = rows.select("id", "rec_id", "xml", F.coalesce("trust", F.lit(0)).cast("int").alias("trust"), "fetched_at")
-    parsed = rows.mapInArrow(_supply_kernel, "id long, rec_id long, trust int, fetched_at timestamp_ntz, fields array<struct<field: string, value: string>>")
-    opened = parsed.where(F.col("id").isNotNull()).select("id", "rec_id", "trust", "fetched_at", F.inline("fields"))
+    opened = rows.mapInArrow(_supply_kernel, "id long, rec_id long, trust int, fetched_at timestamp_ntz, field string, value string").where(F.col("id").isNotNull())
     order = [F.desc("trust"), F.desc_nulls_last("fetched_at"), F.desc("rec_id")]
     top = opened.withColumn("_rank", F.row_number().over(Window.partitionBy("id", "field").orderBy(*order))).where(F.col("_rank") <= 2)
     several = F.max(F.col("field").isNull() & (F.col("_rank") == 2)).over(Window.partitionBy("id"))
