@@ -54,3 +54,41 @@ def test_pair_counts_with_a_hot_group(spark, monkeypatch):
 def test_pair_counts_of_nothing(spark):
     none = spark.createDataFrame([], "group_id string, basket_id long, items array<int>")
     assert cooccur.lifted_pairs(cooccur.pair_counts(none), 1, 0.0).collect() == []
+
+
+@pytest.mark.parametrize("work", [1, 30, 400])
+def test_blocks_end_by_their_pairs(spark, monkeypatch, work):
+    monkeypatch.setattr(cooccur, "WORK", work)
+    monkeypatch.setattr(cooccur, "CHUNK", 20)
+    r = random.Random(work)
+    rows = [(f"g{i % 5}", i, r.sample(range(60), r.choice([1, 2, 5, 30]))) for i in range(120)]
+    got = cooccur.pair_counts(spark.createDataFrame(rows, "group_id string, basket_id long, items array<int>"), 2)
+    want = Counter()
+    for g, _, items in rows:
+        s = sorted(items)
+        want.update([(g, None, None), *((g, x, None) for x in s), *((g, *p) for p in combinations(s, 2))])
+    found = {(x.group_id, x.a, x.b): x.n for x in got.collect()}
+    assert all(found[k] == n for k, n in want.items() if k[2] is None or n >= 2) and all(want[k] == n for k, n in found.items())
+
+
+def test_memory_of_wide_baskets():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    r = np.random.default_rng(1)
+    items = pa.array([r.choice(20_000, 200, replace=False).astype(np.int32) for _ in range(4000)], pa.list_(pa.int32()))
+    batch = pa.RecordBatch.from_arrays([pa.array(["g"] * 4000), items], ["group_id", "items"])
+    tracemalloc.start()
+    pairs = sum(int(pa.compute.sum(b["n"].filter(b["b"].is_valid())).as_py()) for b in cooccur._block_kernel(1)(iter([batch])))
+    assert pairs == 4000 * 200 * 199 // 2 and tracemalloc.get_traced_memory()[1] < 1 << 30
+    tracemalloc.stop()
+
+
+def test_lift_is_exact(spark):
+    rows = [("g", None, None, 3), ("g", 1, None, 1), ("g", 2, None, 1), ("g", 1, 2, 1)]
+    counts = spark.createDataFrame(rows, "group_id string, a int, b int, n long")
+    for limit, hit in ((3.0, 1), (3, 1), (3.004, 0), (2.999999999, 1), (3.000000001, 0)):
+        assert cooccur.lifted_pairs(counts, 1, limit).count() == hit
+    with pytest.raises(ValueError):
+        cooccur.lifted_pairs(counts, 1, 1 / 3)

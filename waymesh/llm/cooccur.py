@@ -9,6 +9,7 @@ The three kinds cover every pair once; blocks add up, so the split into blocks n
 from __future__ import annotations
 
 from collections.abc import Iterator
+from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
@@ -17,8 +18,8 @@ from pyspark.sql import functions as F
 
 from waymesh.session import cut
 
-#: Baskets of a block and entries of one expansion; both bound memory, not results.
-BLOCK, CHUNK = 65_536, 2_000_000
+#: Baskets of a block, sum of their squared sizes (twice its pairs), and entries of one expansion; they bound memory, not results.
+BLOCK, WORK, CHUNK = 65_536, 8_000_000, 2_000_000
 PARTIAL = "group_id string, a int, b int, n long"
 
 
@@ -96,6 +97,9 @@ def _block_kernel(min_together: int):
     are final, so their pairs below min_together end here.
     """
 
+    def rows(group: str, a: pa.Array, b: pa.Array, n: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([group], pa.string()).take(pa.array(np.zeros(len(a), np.int64))), a, b, pa.array(n, pa.int64())], ["group_id", "a", "b", "n"])
+
     def flush(group: str, held: list[pa.ListArray], final: bool) -> pa.RecordBatch:
         lists = pa.concat_arrays(held)
         items = lists.flatten().to_numpy(zero_copy_only=False)
@@ -106,26 +110,48 @@ def _block_kernel(min_together: int):
         k = len(names)
         left = pa.concat_arrays([pa.nulls(1, pa.int32()), pa.array(names, pa.int32()), pa.array(a, pa.int32())])
         right = pa.concat_arrays([pa.nulls(1 + k, pa.int32()), pa.array(b, pa.int32())])
-        return pa.RecordBatch.from_arrays([pa.array([group], pa.string()).take(pa.array(np.zeros(len(left), np.int64))), left, right, pa.array(np.concatenate([[len(lists)], seen, n]), pa.int64())], ["group_id", "a", "b", "n"])
+        return rows(group, left, right, np.concatenate([[len(lists)], seen, n]))
+
+    def alone(group: str, items: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """The counts of one basket with more pairs than a block may hold, in parts."""
+        items = np.sort(items)
+        n = len(items)
+        yield rows(group, pa.concat_arrays([pa.nulls(1, pa.int32()), pa.array(items, pa.int32())]), pa.nulls(1 + n, pa.int32()), np.ones(1 + n, np.int64))
+        lo = 0
+        while lo < n - 1:
+            hi = min(n - 1, lo + max(1, CHUNK // (n - lo)))
+            more = np.arange(n - lo - 1, n - hi - 1, -1)
+            left = np.repeat(np.arange(lo, hi), more)
+            right = np.arange(len(left)) - np.repeat(np.cumsum(more) - more, more) + left + 1
+            yield rows(group, pa.array(items[left], pa.int32()), pa.array(items[right], pa.int32()), np.ones(len(left), np.int64))
+            lo = hi
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, held, size, inner, whole = None, [], 0, False, True
+        group, held, size, work, inner, whole = None, [], 0, 0, False, True
         for batch in batches:
             ids = batch["group_id"].to_numpy(zero_copy_only=False)
+            square = batch["items"].value_lengths().to_numpy(zero_copy_only=False).astype(np.int64) ** 2
+            upto = np.cumsum(square)
             starts = np.r_[0, np.flatnonzero(ids[1:] != ids[:-1]) + 1, len(ids)] if len(ids) else [0]
             for s, e in zip(starts[:-1], starts[1:]):
                 if ids[s] != group:
                     if held:
                         yield flush(group, held, inner and whole)
-                    held, size, inner, whole = [], 0, group is not None, True
+                    held, size, work, inner, whole = [], 0, 0, group is not None, True
                 group = ids[s]
                 while s < e:
-                    take = min(e - s, BLOCK - size)
-                    held.append(batch["items"].slice(s, take))
-                    s, size = s + take, size + take
-                    if size == BLOCK:
+                    room = int(np.searchsorted(upto[s:e] - upto[s] + square[s], WORK - work, "right"))
+                    take = min(e - s, BLOCK - size, room)
+                    if take:
+                        held.append(batch["items"].slice(s, take))
+                        s, size, work = s + take, size + take, work + int(square[s : s + take].sum())
+                    elif not held:
+                        whole = False
+                        yield from alone(group, batch["items"][s].values.to_numpy(zero_copy_only=False))
+                        s += 1
+                    if s < e and (size == BLOCK or not take) and held:
                         yield flush(group, held, False)
-                        held, size, whole = [], 0, False
+                        held, size, work, whole = [], 0, 0, False
         if held:
             yield flush(group, held, False)
 
@@ -137,7 +163,8 @@ def pair_counts(baskets: DataFrame, min_together: int = 1) -> DataFrame:
 
     a < b: n baskets hold both; b null: n baskets hold a; a and b null: the group has n baskets. Baskets without group or
     items are ignored; null items are dropped and repeated items count once. Baskets are range-partitioned by (group, hash of
-    the basket), so a group with a third of all rows is spread over many tasks while small groups stay whole. Pairs in fewer than
+    the basket), so a group with a third of all rows is spread over many tasks while small groups stay whole; in a task, blocks
+    end by their baskets or their pairs, and a basket with more pairs than a block gives them in parts. Pairs in fewer than
     min_together baskets may be left out; all others are there with their full counts.
     """
     clean = baskets.select(F.col("group_id").cast("string").alias("group_id"), "basket_id", F.array_distinct(F.filter("items", lambda x: x.isNotNull())).alias("items"))
@@ -149,14 +176,19 @@ def pair_counts(baskets: DataFrame, min_together: int = 1) -> DataFrame:
 def lifted_pairs(counts: DataFrame, min_together: int, min_lift: float) -> DataFrame:
     """Pairs of pair_counts() in at least min_together baskets and with lift n_ab * B / (n_a * n_b) >= min_lift.
 
-    What can still count is written once, so the baskets are counted once. The lift test is done in whole numbers (min_lift * n_a * n_b in decimals), so ties at the limit are exact.
+    What can still count is written once, so the baskets are counted once. min_lift has at most nine decimals; the test is done in
+    whole numbers, so ties at the limit are exact.
     """
+    limit = Decimal(str(min_lift))
+    places = max(0, -limit.as_tuple().exponent)
+    if places > 9:
+        raise ValueError("min_lift has more than nine decimals")
     counts = cut(counts.where(F.col("b").isNull() | (F.col("n") >= min_together)))
     pairs = counts.where(F.col("b").isNotNull()).withColumnRenamed("n", "n_ab")
     items = counts.where(F.col("a").isNotNull() & F.col("b").isNull())
     sizes = counts.where(F.col("a").isNull()).select("group_id", F.col("n").alias("n_baskets"))
     joined = pairs.join(items.select("group_id", "a", F.col("n").alias("n_a")), ["group_id", "a"]).join(items.select("group_id", F.col("a").alias("b"), F.col("n").alias("n_b")), ["group_id", "b"]).join(sizes, "group_id")
-    wide = lambda c: F.col(c).cast("decimal(18,0)")
-    ok = (wide("n_ab") * wide("n_baskets")).cast("decimal(38,2)") >= (wide("n_a") * wide("n_b")).cast("decimal(36,0)") * F.lit(str(min_lift)).cast("decimal(10,2)")
+    product = lambda a, b, k: (F.col(a).cast("decimal(18,0)") * F.col(b).cast("decimal(18,0)")).cast("decimal(27,0)") * F.lit(k).cast("decimal(11,0)")
+    ok = product("n_ab", "n_baskets", 10**places) >= product("n_a", "n_b", int(limit * 10**places))
     lift = F.col("n_ab") * F.col("n_baskets") / (F.col("n_a").cast("double") * F.col("n_b"))
     return joined.where(ok).select("group_id", "a", "b", "n_ab", "n_a", "n_b", "n_baskets", F.round(lift, 6).alias("lift"))
