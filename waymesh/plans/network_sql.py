@@ -39,11 +39,16 @@ def xyz(lat: str, lon: str) -> tuple[str, str, str]:
 
 OK = "lat BETWEEN -90 AND 90 AND lon BETWEEN -180 AND 180 AND NOT (lat = 0 AND lon = 0) AND NOT isnan(lat) AND NOT isnan(lon)"
 X, Y, Z = xyz("lat", "lon")
+#: The box of each city of spot; one whose points are less than half a turn apart across the antimeridian runs from w eastwards to e < w.
+BOX = """
+rim AS (SELECT city, min(lat) AS s, max(lat) AS nn, min(lon) AS w1, max(lon) AS e1, min(lon) FILTER (WHERE lon >= 0) AS w2, max(lon) FILTER (WHERE lon < 0) AS e2 FROM spot GROUP BY city),
+side AS (SELECT *, coalesce(e1 - w1 > 180 AND e2 + 360 - w2 < 180, false) AS far FROM rim),
+box AS (SELECT city, s, nn, CASE WHEN far THEN w2 ELSE w1 END AS w, CASE WHEN far THEN e2 ELSE e1 END AS e, (s + nn) / 2 AS y0, CASE WHEN NOT far THEN (w1 + e1) / 2 WHEN (w2 + e2) / 2 > 0 THEN (w2 + e2) / 2 - 180 ELSE (w2 + e2) / 2 + 180 END AS x0 FROM side)"""
 N = f"""
 n AS (SELECT id AS node_id, city, lat, lon, {X} AS x, {Y} AS y, {Z} AS z FROM (
   SELECT *, row_number() OVER (PARTITION BY id ORDER BY fetched_at DESC NULLS LAST, lat DESC NULLS LAST, lon DESC NULLS LAST, city DESC NULLS LAST, visible DESC NULLS LAST) AS k FROM osm_node WHERE id IS NOT NULL)
   WHERE k = 1 AND visible IS DISTINCT FROM false AND {OK}),
-box AS (SELECT city, min(lat) AS s, min(lon) AS w, max(lat) AS nn, max(lon) AS e, (min(lat) + max(lat)) / 2 AS y0, (min(lon) + max(lon)) / 2 AS x0 FROM n GROUP BY city)"""
+{BOX.replace('spot', 'n')}"""
 
 
 def frame(points: str, box: str = "box") -> str:
@@ -85,15 +90,15 @@ bg AS (SELECT CAST(bridge_id AS VARCHAR) AS city, edges, vertices FROM (SELECT *
 raw AS (SELECT city, e.osm_u AS u, e.osm_v AS v, e.length_m AS length_m, e.road_class AS class FROM (SELECT city, unnest(edges) AS e FROM bg)),
 be AS (SELECT city, u, v, arg_min(class, (length_m / {case(FREE_KMH, 'class')}, length_m, class)) AS class, arg_min(length_m, (length_m / {case(FREE_KMH, 'class')}, length_m, class)) AS length_m FROM raw WHERE u <> v AND length_m > 0 AND class BETWEEN 1 AND 8 GROUP BY city, u, v),
 spot AS (SELECT city, t.osm_id AS node_id, min(t.lat) AS lat, min(t.lon) AS lon FROM (SELECT city, unnest(vertices) AS t FROM bg) WHERE t.osm_id IS NOT NULL AND t.lat IS NOT NULL AND t.lon IS NOT NULL GROUP BY ALL),
-place AS (SELECT *, row_number() OVER (PARTITION BY city ORDER BY {u('place', 'node_id')}, node_id) - 1 AS i FROM spot QUALIFY i < 5)"""
+place AS (SELECT *, row_number() OVER (PARTITION BY city ORDER BY {u('place', 'node_id')}, node_id) - 1 AS i FROM spot)"""
 
 
-def sssp(sources: str, weight: str) -> str:
-    """Least cost from every source over be, in rounds that keep all walks' best per round."""
+def sssp(sources: str, weight: str, name: str = "best") -> str:
+    """name: the least cost from every source over be, in rounds until no row gets better."""
     return f"""
-hop AS (SELECT city, source, source AS node, CAST(0 AS DOUBLE) AS d, 0 AS k FROM ({sources}) UNION ALL
-  SELECT h.city, h.source, be.v, min(h.d + {weight}), max(h.k) + 1 FROM hop h JOIN be ON be.city = h.city AND be.u = h.node WHERE h.k < 150 GROUP BY h.city, h.source, be.v),
-best AS (SELECT city, source, node, min(d) AS cost FROM hop GROUP BY ALL)"""
+{name} (city, source, node, cost) USING KEY (city, source, node) AS (SELECT city, source, source, CAST(0 AS DOUBLE) FROM ({sources}) UNION
+  SELECT h.city, h.source, be.v, min(h.cost + {weight}) FROM {name} h JOIN be ON be.city = h.city AND be.u = h.node LEFT JOIN recurring.{name} r ON r.city = h.city AND r.source = h.source AND r.node = be.v
+  WHERE r.cost IS NULL OR h.cost + {weight} < r.cost GROUP BY h.city, h.source, be.v)"""
 
 
 def wave(intensity: str) -> str:
@@ -127,8 +132,9 @@ def demand(kind: int) -> str:
 
 
 STOPS = f"""{CUST}, {demand(2)},
+dealt AS (SELECT *, CASE WHEN i <= 15 THEN city ELSE city || '-' || ((i - 1) // 15) END AS name FROM dem WHERE city IS NOT NULL),
 stop AS (SELECT city, node, demand, CASE WHEN node = 0 THEN 0 ELSE 60 + node * 37 % 300 END AS service, CASE WHEN node = 0 THEN 0 ELSE node * 613 % 9000 END AS earliest, CASE WHEN node = 0 THEN 86400 ELSE node * 613 % 9000 + 7200 END AS latest, 40 AS capacity
-  FROM (SELECT city, i AS node, demand FROM dem WHERE i <= 15 UNION ALL SELECT DISTINCT city, 0, 0 FROM dem)),
+  FROM (SELECT name AS city, i - (i - 1) // 15 * 15 AS node, demand FROM dealt UNION ALL SELECT DISTINCT name, 0, 0 FROM dealt)),
 cost AS (SELECT a.city, a.node AS i, b.node AS j, 60 + (a.node * 7919 + b.node * 104729) % 1740 AS cost FROM stop a JOIN stop b ON a.city = b.city AND a.node <> b.node),
 visit AS (SELECT city, 'a' AS run, node % 3 AS route_idx, node, row_number() OVER (PARTITION BY city, node % 3 ORDER BY node, node) - 1 AS leg FROM stop WHERE node > 0
   UNION ALL SELECT city, 'b', node % 4, node, row_number() OVER (PARTITION BY city, node % 4 ORDER BY node * 7 % 16, node) - 1 FROM stop WHERE node > 0),
@@ -185,7 +191,7 @@ def _depot(aim: str) -> str:
 
 
 ORACLES = {
-    "geo_frames": f"WITH {N} SELECT city, node_id, round(east, 3) AS east, round(north, 3) AS north, round(up, 3) AS up, round({hav('lat', 'lon', 'y0', 'x0')}, 3) AS metres, round(sqrt(pow((lon - x0) * 111320 * cos(radians((lat + y0) / 2)), 2) + pow((lat - y0) * 111320, 2)), 3) AS flat, true AS same_lat, true AS same_lon FROM {frame('n')}",
+    "geo_frames": f"WITH {N} SELECT city, node_id, round(east, 3) AS east, round(north, 3) AS north, round(up, 3) AS up, round({hav('lat', 'lon', 'y0', 'x0')}, 3) AS metres, round(sqrt(pow((CASE WHEN lon - x0 > 180 THEN lon - x0 - 360 WHEN lon - x0 < -180 THEN lon - x0 + 360 ELSE lon - x0 END) * 111320 * cos(radians((lat + y0) / 2)), 2) + pow((lat - y0) * 111320, 2)), 3) AS flat, true AS same_lat, true AS same_lon FROM {frame('n')}",
     "names_seeds": f"""SELECT instance_id, instance_name, solver, CASE WHEN s = '' THEN 'x' ELSE s END AS slug, CAST(CAST('0x' || substr(sha256(instance_id || chr(31) || solver), 1, 16) AS UBIGINT) AS VARCHAR) AS seed, substr(sha256(instance_id || chr(0) || instance_name), 1, 20) AS short_id,
 round({u('u', 'instance_id')}, 9) AS u, round({g('g', 'instance_id')}, 6) AS g, 'node:1_' || instance_id AS edge_key FROM (SELECT DISTINCT instance_id, instance_name, solver, regexp_replace(regexp_replace(lower(trim(instance_name)), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS s FROM solution WHERE instance_id IS NOT NULL)""",
     "road_ways": f"WITH {ROADS} SELECT city, way_id, class, one_way, backward, len(nodes) AS n_nodes FROM road",
@@ -196,11 +202,11 @@ round({u('u', 'instance_id')}, 9) AS u, round({g('g', 'instance_id')}, 6) AS g,
     "road_segments": f"WITH RECURSIVE {SEGMENTS} SELECT city, way_id, u, v, class, round(len, 3) AS length_m FROM seg",
     "road_parallel_min": f"WITH RECURSIVE {SEGMENTS} SELECT city, u, v, round(min(len), 3) AS length_m FROM seg GROUP BY city, u, v",
     "collected_edges": f"WITH {BRIDGE} SELECT city, u, v, class, round(length_m, 3) AS length_m FROM be",
-    "cost_matrices": f"""WITH RECURSIVE {BRIDGE}, {sssp('SELECT city, node_id AS source FROM place', 'be.length_m')}, {sssp('SELECT city, node_id AS source FROM place', f"be.length_m * 3.6 / {case(FREE_KMH, 'be.class')}").replace('hop', 'hop2').replace('best AS', 'best2 AS')}
+    "cost_matrices": f"""WITH RECURSIVE {BRIDGE}, {sssp('SELECT city, node_id AS source FROM place', 'be.length_m')}, {sssp('SELECT city, node_id AS source FROM place', f"be.length_m * 3.6 / {case(FREE_KMH, 'be.class')}", "best2")}
 SELECT a.city, m.metric, a.i, b.i AS j, CAST(ceil(round(CASE m.metric WHEN 'shortest' THEN x.cost ELSE y.cost END, 6)) AS BIGINT) AS cost FROM place a JOIN place b ON a.city = b.city AND a.i <> b.i CROSS JOIN (VALUES ('shortest'), ('fastest')) m(metric)
 LEFT JOIN best x ON x.city = a.city AND x.source = a.node_id AND x.node = b.node_id LEFT JOIN best2 y ON y.city = a.city AND y.source = a.node_id AND y.node = b.node_id""",
-    "cost_rounds": f"WITH RECURSIVE {BRIDGE}, {sssp('SELECT city, node_id AS source FROM place WHERE i = 0', 'be.length_m')} SELECT city, source, node AS node_id, round(cost, 3) AS cost FROM best",
-    "euclid_matrices": f"WITH {BRIDGE}, box AS (SELECT city, (min(lat) + max(lat)) / 2 AS y0, (min(lon) + max(lon)) / 2 AS x0 FROM spot GROUP BY city), f AS (SELECT city, i, east, north FROM {frame('place')}) SELECT a.city, a.i, b.i AS j, CAST(ceil(round(sqrt(pow(a.east - b.east, 2) + pow(a.north - b.north, 2)), 6)) AS BIGINT) AS cost FROM f a JOIN f b ON a.city = b.city AND a.i <> b.i",
+    "cost_rounds": f"WITH RECURSIVE {BRIDGE}, {sssp('SELECT city, node_id AS source FROM place', 'be.length_m')} SELECT city, source, node AS node_id, round(cost, 3) AS cost FROM best",
+    "euclid_matrices": f"WITH {BRIDGE}, {BOX}, f AS (SELECT city, i, east, north FROM {frame('place')}) SELECT a.city, a.i, b.i AS j, CAST(ceil(round(sqrt(pow(a.east - b.east, 2) + pow(a.north - b.north, 2)), 6)) AS BIGINT) AS cost FROM f a JOIN f b ON a.city = b.city AND a.i <> b.i",
     "poi_snap": f"WITH {SNAP} SELECT city, point_id, node_id, round(sqrt(d2), 3) AS metres FROM snap",
     "depot_center": _depot("avg"),
     "depot_corner": _depot("min"),
@@ -244,8 +250,10 @@ j AS (SELECT vs.*, c.cost - r.cost AS d, r.cost AS rc, coalesce(cn.k, 0) - coale
 SELECT j.candidate, j.reference, round(d, 6) AS cost_delta, CASE WHEN rc <> 0 THEN round(100 * d / abs(rc), 6) END AS gap_percent, rd AS routes_delta, CASE WHEN lead < 0 OR (lead = 0 AND d < 0) THEN 'better' WHEN lead = 0 AND d = 0 THEN 'equal' ELSE 'worse' END AS ordering,
   ea AS edges_added, er AS edges_removed, pa AS pairs_added, pr AS pairs_removed FROM j JOIN de USING (candidate, reference) JOIN dp USING (candidate, reference)""",
     "solution_recent": f"WITH {RUNS} SELECT run_id, instance_id, objective_function FROM run ORDER BY created_at DESC NULLS LAST, run_id LIMIT 50",
-    "fetch_tiles_plan": f"""WITH {N}, ys AS (SELECT *, {_tiles('s', 'nn', 0.12, 'a')} AS y FROM box WHERE e - w < 180), xs AS (SELECT *, {_tiles('w', 'e', 0.15, 'a')} AS xx FROM ys)
-SELECT city, y.k || '_' || xx.k AS tile, round(y.lo, 9) AS south, round(xx.lo, 9) AS west, round(y.hi, 9) AS north, round(xx.hi, 9) AS east FROM xs""",
+    "fetch_tiles_plan": f"""WITH {N}, ys AS (SELECT *, {_tiles('s', 'nn', 0.12, 'a')} AS y FROM box),
+xs AS (SELECT city, y, {_tiles('w', 'e', 0.15, 'a')} AS xx, 0 AS k0 FROM ys WHERE w <= e UNION ALL SELECT city, y, {_tiles('w', '180.0', 0.15, 'a')}, 0 FROM ys WHERE w > e
+  UNION ALL SELECT city, y, {_tiles('(-180.0)', 'e', 0.15, 'a')}, greatest(1, CAST(ceil((180.0 - w) / 0.15) AS INT)) FROM ys WHERE w > e)
+SELECT city, y.k || '_' || (xx.k + k0) AS tile, round(y.lo, 9) AS south, round(xx.lo, 9) AS west, round(y.hi, 9) AS north, round(xx.hi, 9) AS east FROM xs""",
     "dedup_last_wins": "SELECT id, tile, strftime(fetched_at, '%Y-%m-%d %H:%M:%S') AS seen_at FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY fetched_at DESC NULLS LAST, tile DESC NULLS LAST, lat DESC NULLS LAST) AS k FROM osm_node WHERE id IS NOT NULL) WHERE k = 1",
     "dedup_first_wins": "SELECT id, city, strftime(fetched_at, '%Y-%m-%d %H:%M:%S') AS seen_at FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY fetched_at NULLS FIRST, city NULLS FIRST) AS k FROM osm_way WHERE id IS NOT NULL) WHERE k = 1",
     "upsert_nodes": f"""WITH {N}, {_POI}, b AS (SELECT node_id - 10000000000 AS id, lat, lon FROM n), c AS (SELECT point_id - 100000000 AS id, lat, lon FROM poi1)
@@ -257,9 +265,13 @@ SELECT id, lat, lon, NOT EXISTS (SELECT 1 FROM b WHERE b.id = c.id) AS added FRO
 _TOUR = """tour AS (SELECT DISTINCT city, CAST(0 AS BIGINT) AS pos, CAST([] AS BIGINT[]) AS route FROM stop UNION ALL
   SELECT t.city, arg_min(c.j, (c.cost, c.j)), list_append(any_value(t.route), arg_min(c.j, (c.cost, c.j))) FROM tour t JOIN cost c ON c.city = t.city AND c.i = t.pos AND c.j <> 0 AND NOT list_contains(t.route, c.j) GROUP BY t.city),
 nn AS (SELECT city, route FROM tour QUALIFY row_number() OVER (PARTITION BY city ORDER BY len(route) DESC) = 1)"""
-_COMMUTERS = f"""{BRIDGE}, v AS (SELECT city, node_id, row_number() OVER (PARTITION BY city ORDER BY node_id) - 1 AS k, count(*) OVER (PARTITION BY city) AS n FROM spot),
+_COMMUTERS = f"""{SNAP}, {BRIDGE}, v AS (SELECT city, node_id, row_number() OVER (PARTITION BY city ORDER BY node_id) - 1 AS k, count(*) OVER (PARTITION BY city) AS n FROM spot),
+hit AS (SELECT city, node_id FROM spot SEMI JOIN snap USING (node_id)), enough AS (SELECT city FROM hit GROUP BY city HAVING count(*) >= 50),
+pool AS (SELECT * FROM hit SEMI JOIN enough USING (city) UNION ALL SELECT city, node_id FROM spot ANTI JOIN enough USING (city)),
+wk AS (SELECT city, node_id, row_number() OVER (PARTITION BY city ORDER BY node_id) - 1 AS k, count(*) OVER (PARTITION BY city) AS n FROM pool),
 com AS (SELECT city, n, unnest(range(1, greatest(1, CAST(round_even(2.5 * n, 0) AS BIGINT)) + 1)) AS commuter FROM (SELECT DISTINCT city, n FROM v)),
-who AS (SELECT c.city, c.commuter, h.node_id AS home, w.node_id AS work FROM (SELECT *, floor({u('home', 'city', 'commuter')} * n) AS hk, floor({u('work', 'city', 'commuter')} * n) AS wk FROM com) c JOIN v h ON h.city = c.city AND h.k = hk JOIN v w ON w.city = c.city AND w.k = wk WHERE h.node_id <> w.node_id)"""
+who AS (SELECT c.city, c.commuter, h.node_id AS home, w.node_id AS work FROM (SELECT com.*, floor({u('home', 'com.city', 'commuter')} * com.n) AS hk, floor({u('work', 'com.city', 'commuter')} * m.n) AS wk FROM com JOIN (SELECT DISTINCT city, n FROM wk) m ON m.city = com.city) c
+  JOIN v h ON h.city = c.city AND h.k = hk JOIN wk w ON w.city = c.city AND w.k = c.wk WHERE h.node_id <> w.node_id)"""
 
 
 def _hour(label: str, mean: float, std: float) -> str:
@@ -280,7 +292,7 @@ o AS (SELECT city, node, srv, {REPAIR.format(a='s', z='z', one='lo', two='greate
 SELECT city, node, srv AS service, CASE WHEN node = 0 THEN 0 ELSE CAST(e AS BIGINT) END AS earliest, CASE WHEN node = 0 THEN 86400 ELSE CAST(l AS BIGINT) END AS latest, false AS repaired FROM o""",
     "commuter_trips": f"""WITH {_COMMUTERS}, t AS (SELECT *, {_hour('morning', 8.0, 0.75)} AS departure_s, true AS to_work FROM who UNION ALL SELECT *, {_hour('evening', 17.5, 1.0)}, false FROM who
 UNION ALL SELECT *, {_hour('noon_out', 12.25, 0.5)}, false FROM who WHERE {u('lunch', 'city', 'commuter')} < 0.25 UNION ALL SELECT *, {_hour('noon_back', 13.5, 0.5)}, true FROM who WHERE {u('lunch', 'city', 'commuter')} < 0.25) SELECT * FROM t""",
-    "bulk_slices": f"""WITH {STOPS}, c15 AS (SELECT city, i FROM cust WHERE i <= 15), d1 AS (SELECT city, i, {between(*DEMAND_BANDS[1], u('demand1', 'city', 'i'))} AS demand FROM c15), d2 AS (SELECT city, i, {between(*DEMAND_BANDS[2], u('demand2', 'city', 'i'))} AS demand FROM c15),
+    "bulk_slices": f"""WITH {STOPS}, c15 AS (SELECT city, node AS i FROM stop WHERE node > 0), d1 AS (SELECT city, i, {between(*DEMAND_BANDS[1], u('demand1', 'city', 'i'))} AS demand FROM c15), d2 AS (SELECT city, i, {between(*DEMAND_BANDS[2], u('demand2', 'city', 'i'))} AS demand FROM c15),
 sl AS ({_SLICES}), nd AS (SELECT city, slice, i, demand FROM sl WHERE i <= n UNION ALL SELECT DISTINCT city, slice, 0, 0 FROM sl),
 a AS (SELECT city, slice, count(*) AS n_nodes, CAST(sum(demand) AS BIGINT) AS demand FROM nd GROUP BY ALL), b AS (SELECT x.city, x.slice, count(*) AS n_arcs, CAST(sum(c.cost) AS BIGINT) AS cost FROM nd x JOIN nd y ON y.city = x.city AND y.slice = x.slice JOIN cost c ON c.city = x.city AND c.i = x.i AND c.j = y.i GROUP BY ALL)
 SELECT a.city, a.slice, n_nodes, demand, n_arcs, cost FROM a JOIN b USING (city, slice)""",
