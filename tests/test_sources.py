@@ -166,8 +166,55 @@ def test_fetch_tiles(spark):
     assert acquire.file_name(" a/b  c ") == "a_b c"
     what = acquire.profile("generation")
     nodes, ways, mode = acquire.fetch_area(spark, (50.0, 4.0, 50.1, 4.1), lambda q: CITY, what)
-    assert mode == "direct" and nodes.count() == 3 and ways.count() == 2
-    assert acquire.fetch_area(spark, (50.0, 4.0, 50.5, 4.1), lambda q: CITY, acquire.profile("road_cache"))[2] == "tiled"
+    assert mode == "roads_and_amenities" and nodes.count() == 3 and ways.count() == 2
+    assert acquire.fetch_area(spark, (50.0, 4.0, 50.5, 4.1), lambda q: CITY, acquire.profile("road_cache"))[2] == "tiled_roads"
+
+
+def test_one_retry_rule(spark):
+    cases = [(429, "", True), (400, "Runtime Error: Timeout", True), (400, "timeout", False), (200, "The server is probably too busy", True), (403, "runtime error: OUT OF MEMORY", True), (404, None, False), (None, None, False)]
+    df = spark.createDataFrame([c[:2] for c in cases], "s int, b string")
+    assert [r[0] for r in df.select(acquire.is_retryable(F.col("s"), F.col("b"))).collect()] == [c[2] for c in cases] == [acquire.may_pass(*c[:2]) for c in cases]
+    calls = []
+
+    def answer(status, body):
+        return lambda e, _: calls.append(e) or (status, body)
+
+    for status, body, asked in ((400, "timeout", ["a"]), (400, "runtime error: timeout", ["a", "a", "b", "b"]), (200, "<osm>", ["a", "a", "b", "b"])):
+        calls.clear()
+        with pytest.raises(acquire.FetchError):
+            acquire.fetch("q", ["a", "b"], answer(status, body), attempts=2, sleep=lambda _: None)
+        assert calls == asked
+    for body, want in (("<osm><way/></osm>", None), ("<osm/>", "no ways"), ("<osm><remark> a\n <b>c</b> </remark><way/></osm>", "remark: a c"), ("<osm><remark/></osm>", "remark: unknown"), ("<html></html>", "not a complete document"), ("", "not a complete document"), ("<osm><way/>", "not a complete document")):
+        assert acquire.body_error(body, True) == want
+
+
+def test_tiles_count_in_numeric_order(spark):
+    body = lambda lat: f"<osm><node id='1' lat='{lat}' lon='4'><tag k='a' v='1'/><tag k='a' v='{lat}'/></node><node id='1' lat='{lat + 0.5}' lon='4'/><way id='7'><nd ref='{int(lat)}'/><nd ref='x'/><tag k='t' v='{lat}'/></way><way id='{'9' * 23}'/></osm>"
+    bodies = spark.createDataFrame([("10_0", body(10)), ("2_0", body(2)), ("2_10", body(3)), ("9_9", None), ("8_8", "<osm")], "tile string, body string").repartition(3)
+    nodes, ways = acquire.elements_of(bodies)
+    assert [(r.id, r.lat, r.tags) for r in nodes.collect()] == [(1, 10.5, {})]
+    assert [(r.id, r.nodes, r.tags) for r in ways.collect()] == [(7, [2, None], {"t": "2"})]
+    late = spark.createDataFrame([("x0_0", body(5)), ("3_3", body(4))], "tile string, body string")
+    assert acquire.elements_of(late)[0].first().lat == 5.5
+
+
+def test_area_modes(spark):
+    small, wide = (50.0, 4.0, 50.01, 4.01), (50.0, 4.0, 50.05, 4.4)
+    want = acquire.profile("generation")
+
+    def get(fails):
+        def run(q):
+            if "amenity" in q and fails(q) or "way[" in q and fails("way" + q):
+                raise acquire.FetchError("gone")
+            return CITY
+
+        return run
+
+    one = lambda q: "(50.0,4.0,50.01,4.01)" in q
+    for box, fails, mode in ((small, lambda q: False, "roads_and_amenities"), (small, lambda q: not q.startswith("way"), "roads_only"), (wide, lambda q: False, "tiled_roads_and_amenities"), (wide, lambda q: not q.startswith("way"), "tiled_roads_only"), (wide, lambda q: not q.startswith("way") and "4.4)" in q, "tiled_roads_plus_partial_amenities")):
+        assert acquire.fetch_area(spark, box, get(fails), want)[2] == mode
+    assert acquire.fetch_area(spark, small, get(one), acquire.profile("road_cache"))[2] == "tiled_roads"
+    assert acquire.fetch_area(spark, small, get(lambda q: False), acquire.profile("road_cache"))[2] == "roads_only"
 
 
 def test_streams(spark, tmp_path):

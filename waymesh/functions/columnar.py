@@ -349,13 +349,15 @@ def decoded(values: pa.Array) -> pa.Array:
 
 @dataclass
 class XmlNodes:
-    """Elements of one name with wanted attributes (null if absent), and their own tags."""
+    """Elements of one name with wanted attributes (null if absent), and their own tags and references."""
 
     record: np.ndarray
     attributes: dict[str, pa.Array]
     tag_element: np.ndarray
     tag_keys: pa.Array
     tag_values: pa.Array
+    ref_element: np.ndarray
+    refs: pa.Array
 
 
 def _plain_nodes(texts: pa.Array, where: np.ndarray, name: str, wanted: tuple[str, ...]) -> XmlNodes:
@@ -427,13 +429,19 @@ def _plain_nodes(texts: pa.Array, where: np.ndarray, name: str, wanted: tuple[st
     both_there = pc.and_(k.is_valid(), v.is_valid())
     of_node = number[full[tag]][both_there.to_numpy(zero_copy_only=False)]
     order = np.argsort(of_node, kind="stable")
-    return XmlNodes(where[doc[node]] if len(node) else node, {w: attribute(w, node) for w in wanted}, of_node[order], k.filter(both_there).take(pa.array(order)), v.filter(both_there).take(pa.array(order)))
+    nd = np.flatnonzero(good & (code == word.get("nd", -1)) & (number[full] >= 0) & (full >= 0))
+    ref = attribute("ref", nd)
+    has = ref.is_valid()
+    of_way = number[full[nd]][has.to_numpy(zero_copy_only=False)]
+    line = np.argsort(of_way, kind="stable")
+    tags = (of_node[order], k.filter(both_there).take(pa.array(order)), v.filter(both_there).take(pa.array(order)))
+    return XmlNodes(where[doc[node]] if len(node) else node, {w: attribute(w, node) for w in wanted}, *tags, of_way[line], ref.filter(has).take(pa.array(line)))
 
 
 def xml_nodes(texts: pa.Array, name: str = "node", wanted: tuple[str, ...] = ("id",)) -> XmlNodes:
     """Elements of the name at any depth of the well-formed texts, in their order, with wanted attributes and own tags.
 
-    Own tags are direct children called tag that have k and v. Texts that are not lexically plain (CDATA, processing
+    Own tags are direct children called tag that have k and v, references the ref of those called nd. Texts that are not lexically plain (CDATA, processing
     instructions, document types, text between tags, raw quotes inside values, or errors) go through the XML parser one by one.
     """
     valid = texts.is_valid().to_numpy(zero_copy_only=False)
@@ -441,19 +449,22 @@ def xml_nodes(texts: pa.Array, name: str = "node", wanted: tuple[str, ...] = ("i
     where = np.flatnonzero(plain)
     out = _plain_nodes(texts.take(pa.array(where)), where, name, wanted)
     rest = np.flatnonzero(valid & ~plain)
-    found = [(r, e) for r, x in zip(rest.tolist(), texts.take(pa.array(rest)).to_pylist()) for e in xml_elements(x, name)]
+    found = [(r, e) for r, x in zip(rest.tolist(), texts.take(pa.array(rest)).to_pylist()) for e in xml_elements(x, name, references=True)]
     if not found:
         return out
     base = len(out.record)
-    tags = [(base + i, *kv) for i, (_, (_, own)) in enumerate(found) for kv in own]
     record = np.concatenate([out.record, [r for r, _ in found]]).astype(np.int64)
     order = np.argsort(record, kind="stable")
     back = np.argsort(order)
     attributes = {w: pa.concat_arrays([c, pa.array([e[0].get(w) for _, e in found], pa.string())]).take(pa.array(order)) for w, c in out.attributes.items()}
-    element = back[np.concatenate([out.tag_element, [t[0] for t in tags]]).astype(np.int64)]
-    line = np.argsort(element, kind="stable")
-    keys, values = (pa.concat_arrays([c, pa.array([t[i] for t in tags], pa.string())]).take(pa.array(line)) for c, i in ((out.tag_keys, 1), (out.tag_values, 2)))
-    return XmlNodes(record[order], attributes, element[line], keys, values)
+
+    def merged(of: np.ndarray, rows: list[tuple], *columns: pa.Array) -> list:
+        element = back[np.concatenate([of, [r[0] for r in rows]]).astype(np.int64)]
+        line = np.argsort(element, kind="stable")
+        return [element[line], *(pa.concat_arrays([c, pa.array([r[i] for r in rows], pa.string())]).take(pa.array(line)) for i, c in enumerate(columns, 1))]
+
+    tags = merged(out.tag_element, [(base + i, *kv) for i, (_, e) in enumerate(found) for kv in e[1]], out.tag_keys, out.tag_values)
+    return XmlNodes(record[order], attributes, *tags, *merged(out.ref_element, [(base + i, ref) for i, (_, e) in enumerate(found) for ref in e[2]], out.refs))
 
 
 def node_elements(texts: pa.Array) -> Elements:

@@ -18,6 +18,7 @@ CAPACITY_VEH_H = {1: 1900.0, 2: 1600.0, 3: 1400.0, 4: 1100.0, 5: 900.0, 6: 600.0
 ROUTE_SIZE_BANDS = {1: (3.0, 5.0), 2: (5.0, 8.0), 3: (8.0, 12.0), 4: (12.0, 16.0), 5: (16.0, 25.0), 6: (25.0, 50.0), 7: (50.0, 200.0)}
 DEMAND_BANDS = {1: (1, 1), 2: (1, 10), 3: (5, 10), 4: (1, 100), 5: (50, 100), 6: (1, 50), 7: (1, 10)}
 HORIZON = 86400
+# Categories of points of interest, the first seven are taken where none are named.
 POI_CATEGORIES = (
     "restaurant", "cafe", "bar", "fast_food", "pub", "school", "university", "hospital", "clinic", "pharmacy", "dentist", "doctors",
     "veterinary", "bank", "atm", "post_office", "police", "fire_station", "townhall", "courthouse", "library", "theatre", "cinema",
@@ -62,18 +63,37 @@ def slug(x: Column) -> Column:
     return F.when(s == "", "x").otherwise(s)
 
 
+# Short names of the ways to choose customers.
+METHOD_NAMES = {"poi_categories": "poi", "parametric_attach": "par", "hybrid": "hyb"}
+
+
+def method_name(method: Column) -> Column:
+    """The short name of a method, its slug if it has none."""
+    return F.coalesce(lookup(METHOD_NAMES, F.lower(F.trim(method))), slug(method))
+
+
+def city_label(name: Column) -> Column:
+    """A city's name for display: hyphens and underscores as spaces, none at the ends."""
+    return F.trim(F.translate(name, "-_", "  "))
+
+
+def _text(part: Column) -> Column:
+    """A part of a key as text; null is a text of its own, so that it never vanishes."""
+    return F.coalesce(part.cast("string"), F.lit("None"))
+
+
 def edge_key(a: Column, b: Column) -> Column:
     return F.concat(F.lit("node:"), a.cast("string"), F.lit("_"), b.cast("string"))
 
 
 def sha_seed(*parts: Column) -> Column:
     """Unsigned 64-bit seed: the first 8 bytes of the sha256 of the parts joined by a unit separator."""
-    return F.conv(F.substring(F.sha2(F.concat_ws("\x1f", *(p.cast("string") for p in parts)), 256), 1, 16), 16, 10).cast("decimal(20,0)")
+    return F.conv(F.substring(F.sha2(F.concat_ws("\x1f", *map(_text, parts)), 256), 1, 16), 16, 10).cast("decimal(20,0)")
 
 
 def crc_seed(*parts: Column) -> Column:
     """crc32 of the parts joined by a vertical bar."""
-    return F.crc32(F.concat_ws("|", *(p.cast("string") for p in parts)))
+    return F.crc32(F.concat_ws("|", *map(_text, parts)))
 
 
 def bridge_seed(base: Column | int, model: str, intensity: str) -> Column:
@@ -84,7 +104,7 @@ def bridge_seed(base: Column | int, model: str, intensity: str) -> Column:
 
 def short_id(*parts: Column) -> Column:
     """The first 20 hex digits of the sha256 of the parts joined by a null character."""
-    return F.substring(F.sha2(F.concat_ws("\x00", *parts), 256), 1, 20)
+    return F.substring(F.sha2(F.concat_ws("\x00", *map(_text, parts)), 256), 1, 20)
 
 
 def regex_of(values: tuple[str, ...]) -> str:

@@ -5,7 +5,7 @@ Paths are ARRAY<STRUCT<lon, lat>>. Candidate graphs are ranked; each leg takes t
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from waymesh.functions import geo
@@ -54,6 +54,11 @@ def materialized(legs: DataFrame, candidates: DataFrame, spots: DataFrame) -> Da
     return all_.select("city", "from_node", "to_node", F.coalesce("line", "back", "straight").alias("line"), mode.alias("mode"))
 
 
+def cached_first(cached: DataFrame, candidates: DataFrame) -> DataFrame:
+    """Candidates with the known lines (city, from_node, to_node, line) ranked before all others."""
+    return candidates.unionByName(cached.select("city", "from_node", "to_node", F.lit(-1).alias("rank"), "line"))
+
+
 def stitched(lines: Column) -> Column:
     """Lines laid end to end, every line but the first without its first point."""
     return F.flatten(F.transform(lines, lambda s, i: F.when(i == 0, s).otherwise(F.slice(s, F.lit(2), F.greatest(F.lit(0), F.size(s) - 1)))))
@@ -73,3 +78,14 @@ def feature_collection(points: DataFrame, by: list[str], properties: list[str],
     feature = F.struct(F.struct(*properties).alias("o"), F.struct(F.lit("Feature").alias("type"), F.struct(*properties).alias("properties"), geometry.alias("geometry")).alias("f"))
     per = points.groupBy(*by).agg(F.array_sort(F.collect_list(feature)).alias("x"))
     return per.select(*by, F.to_json(F.struct(F.lit("FeatureCollection").alias("type"), F.col("x.f").alias("features"))).alias("geojson"))
+
+
+def instance_features(nodes: DataFrame, depot_id: int = 1) -> DataFrame:
+    """(city, geojson): the nodes (city, instance_node_id, lon, lat, demand, source_tag) of each instance as GeoJSON in the order of their ids.
+
+    Each has model_node_id, its place from 0, and its role. Null demand is 0 and null source_tag unknown. An instance's nodes are one text.
+    """
+    order = Window.partitionBy("city").orderBy("instance_node_id")
+    role = F.when(F.col("instance_node_id") == depot_id, "depot").otherwise("customer")
+    rows = nodes.select("city", "instance_node_id", (F.row_number().over(order) - 1).alias("model_node_id"), role.alias("role"), F.coalesce(F.col("demand").cast("long"), F.lit(0)).alias("demand"), F.coalesce("source_tag", F.lit("unknown")).alias("source_tag"), "lon", "lat")
+    return feature_collection(rows, ["city"], ["instance_node_id", "model_node_id", "role", "demand", "source_tag"])

@@ -68,6 +68,19 @@ def hybrid_customers(snapped: DataFrame, candidates: DataFrame, n: int, share: f
     return first_n(best.select("city", "node_id", "b.prio", F.col("b.place").alias("old"), "b.source_tag"), ["city"], ["prio", "old", "node_id"], n).select("city", "node_id", "place", "source_tag")
 
 
+def source_counts(customers: DataFrame) -> DataFrame:
+    """(city, n_poi, n_param): customers by whether a point of interest gave them (source_tag poi)."""
+    poi = F.col("source_tag") == "poi"
+    return customers.groupBy("city").agg(F.count_if(poi).alias("n_poi"), F.count_if(~F.coalesce(poi, F.lit(False))).alias("n_param"))
+
+
+def required(customers: DataFrame, n: int) -> DataFrame:
+    """The customers (city, ...) as they are; a city that has fewer than n of them is an error when its rows are computed."""
+    have = F.count(F.lit(1)).over(Window.partitionBy("city"))
+    short = F.raise_error(F.concat(F.lit(f"fewer than {n} customers: "), F.col("city").cast("string")))
+    return customers.withColumn("city", F.when(have < n, short.cast(customers.schema["city"].dataType)).otherwise(F.col("city")))
+
+
 def route_size(seed: int, key: Column, band: int) -> Column:
     """The target number of customers per route, uniform in its band."""
     lo, hi = ROUTE_SIZE_BANDS[band]

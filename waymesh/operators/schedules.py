@@ -223,3 +223,21 @@ def lifted_windows(needs: DataFrame, stops: DataFrame) -> DataFrame:
     joined = stops.join(top, ["city", "node"], "left")
     lift = F.greatest(F.lit(0), F.coalesce("needed", F.lit(0)) - F.col("latest"))
     return joined.withColumns({"lift": lift.cast("long"), "worst": F.when(lift > 0, F.col("worst"))}).withColumn("latest", F.col("latest") + F.col("lift")).drop("needed")
+
+
+def lift_statistics(lifted: DataFrame) -> DataFrame:
+    """(city, n_lifted, max_lift) of lifted_windows(); 0 where nothing was raised."""
+    return lifted.groupBy("city").agg(F.count_if(F.col("lift") > 0).alias("n_lifted"), F.max("lift").alias("max_lift"))
+
+
+def anchors_or_tours(anchors: DataFrame, costs: DataFrame) -> DataFrame:
+    """(city, run, route_idx, route): the recorded anchors (city, route_idx, route) of each instance, else its nearest-neighbour tour."""
+    tours = nearest_tours(costs.join(anchors.select("city").distinct(), "city", "left_anti"))
+    both = anchors.select("city", F.lit("anchor").alias("run"), F.col("route_idx").cast("int").alias("route_idx"), F.col("route").cast("array<bigint>").alias("route"))
+    return both.unionByName(tours.select("city", F.lit("tour").alias("run"), F.lit(0).alias("route_idx"), "route"))
+
+
+def missing_arcs(needed: DataFrame, arcs: DataFrame) -> DataFrame:
+    """Distinct (city, from_node, to_node) of needed legs that no arc (city, i, j) serves."""
+    have = arcs.select("city", F.col("i").cast("long").alias("from_node"), F.col("j").cast("long").alias("to_node")).distinct()
+    return needed.select("city", "from_node", "to_node").distinct().join(have, ["city", "from_node", "to_node"], "left_anti")

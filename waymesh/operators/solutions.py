@@ -80,6 +80,12 @@ def loads(routes: DataFrame, demand: DataFrame) -> DataFrame:
     return stops.join(demand, ["instance_id", "node"], "left").groupBy("run_id", "route_idx").agg(F.sum(F.coalesce("demand", F.lit(0))).alias("load"), F.count(F.lit(1)).alias("stops"))
 
 
+def route_sizes(routes: DataFrame) -> DataFrame:
+    """(run_id, n_routes, most, least): routes of each run, and customers of its largest and smallest route."""
+    n = F.size("route")
+    return routes.groupBy("run_id").agg(F.count(F.lit(1)).alias("n_routes"), F.max(n).alias("most"), F.min(n).alias("least"))
+
+
 def record_runs(runs: DataFrame, path: str) -> None:
     """Append runs to a store partitioned by objective."""
     runs.write.mode("append").partitionBy("objective_function").parquet(path)

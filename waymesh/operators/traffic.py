@@ -21,6 +21,16 @@ JITTER, CENTER_DECAY_M, EDGE_SHARE = 0.08, 3000.0, 0.35
 ALPHA, BETA, SLOWEST = 0.15, 4, 6.0
 
 
+def model_params(model: str, intensity: str) -> dict:
+    """The parameters of a traffic model, to be recorded beside its speeds."""
+    if model == "wave":
+        return {"amplitude": AMPLITUDE[intensity], "jitter": JITTER, "center_decay_m": CENTER_DECAY_M, "floor_share": EDGE_SHARE, "min_speed_factor": FLOOR}
+    if model == "bpr":
+        times = {"morning": [8.0, 0.75], "evening": [17.5, 1.0], "lunch_return": [12.25, 0.5], "lunch_back": [13.5, 0.5], "lunch_probability": 0.25}
+        return {"trips_per_vertex": TRIPS_PER_VERTEX[intensity], "bpr_alpha": ALPHA, "bpr_beta": BETA, "multiplier_cap": SLOWEST, "capacity_veh_h": {str(k): v for k, v in CAPACITY_VEH_H.items()}, "min_speed_factor": FLOOR, "departures": times}
+    raise ValueError(f"unknown traffic model {model}")
+
+
 def free_speed(road_class: Column) -> Column:
     """Free speed of a class in m/s."""
     return lookup(FREE_KMH, road_class) / 3.6

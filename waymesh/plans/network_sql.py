@@ -192,7 +192,7 @@ def _depot(aim: str) -> str:
 
 ORACLES = {
     "geo_frames": f"WITH {N} SELECT city, node_id, round(east, 3) AS east, round(north, 3) AS north, round(up, 3) AS up, round({hav('lat', 'lon', 'y0', 'x0')}, 3) AS metres, round(sqrt(pow((CASE WHEN lon - x0 > 180 THEN lon - x0 - 360 WHEN lon - x0 < -180 THEN lon - x0 + 360 ELSE lon - x0 END) * 111320 * cos(radians((lat + y0) / 2)), 2) + pow((lat - y0) * 111320, 2)), 3) AS flat, true AS same_lat, true AS same_lon FROM {frame('n')}",
-    "names_seeds": f"""SELECT instance_id, instance_name, solver, CASE WHEN s = '' THEN 'x' ELSE s END AS slug, CAST(CAST('0x' || substr(sha256(instance_id || chr(31) || solver), 1, 16) AS UBIGINT) AS VARCHAR) AS seed, substr(sha256(instance_id || chr(0) || instance_name), 1, 20) AS short_id,
+    "names_seeds": f"""SELECT instance_id, instance_name, solver, CASE WHEN s = '' THEN 'x' ELSE s END AS slug, CAST(CAST('0x' || substr(sha256(instance_id || chr(31) || coalesce(solver, 'None')), 1, 16) AS UBIGINT) AS VARCHAR) AS seed, substr(sha256(instance_id || chr(0) || coalesce(instance_name, 'None')), 1, 20) AS short_id,
 round({u('u', 'instance_id')}, 9) AS u, round({g('g', 'instance_id')}, 6) AS g, 'node:1_' || instance_id AS edge_key FROM (SELECT DISTINCT instance_id, instance_name, solver, regexp_replace(regexp_replace(lower(trim(instance_name)), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS s FROM solution WHERE instance_id IS NOT NULL)""",
     "road_ways": f"WITH {ROADS} SELECT city, way_id, class, one_way, backward, len(nodes) AS n_nodes FROM road",
     "road_full_edges": f"WITH {EDGES} SELECT city, u, v, class, round(length_m, 3) AS length_m FROM edge",

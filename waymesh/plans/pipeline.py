@@ -78,6 +78,7 @@ class Request:
     decay_m: float = 800.0
     poi_share: float = 0.5
     seed: int = 7
+    strict: bool = False  # a city that gives fewer than n customers is an error
 
     def __post_init__(self):
         if self.n < 1 or self.method not in ("parametric", "poi", "hybrid") or self.customer_mode not in ("random", "clustered", "random_clustered") or self.depot_mode not in ("center", "corner", "random"):
@@ -110,6 +111,8 @@ def instance_nodes(edges: DataFrame, nodes: DataFrame, pois: DataFrame, r: Reque
         box = roads.city_bounds(nodes)
         on = nearest.snapped(nearest.in_city_frame(pois, box), nearest.in_city_frame(nodes, box), free)
         drawn = sampling.hybrid_customers(on, free, r.n, 1.0 if r.method == "poi" else r.poi_share, r.seed)
+    if r.strict:
+        drawn = sampling.required(drawn, r.n)
     customers = drawn.select("city", "node_id", F.col("place").alias("i"), "source_tag").join(verts, ["city", "node_id"])
     sized = sampling.demands(customers, r.demand_kind, r.route_band, r.seed)
     first = depot.join(verts, ["city", "node_id"]).select("city", F.lit(0).alias("i"), "node_id", "lat", "lon", F.lit(0).cast("long").alias("demand"), F.lit("depot").alias("source_tag"), F.lit(None).cast("double").alias("route_size"))
@@ -129,6 +132,11 @@ def cost_tables(edges: DataFrame, places: DataFrame, metrics: tuple[str, ...] =
     return out
 
 
+def pool_request(r: Request, sizes: list[int]) -> Request:
+    """The request that draws the pool of bulk slices: half as many customers again as the largest slice has."""
+    return replace(r, n=-(-3 * max(sizes) // 2))
+
+
 def bulk_slices(costs: DataFrame, places: DataFrame, sizes: list[int], kinds: list[int], bands: list[int], seed: int) -> tuple[DataFrame, DataFrame]:
     """Instances of every size, demand kind and route band out of one pool per city, whose costs are computed once.
 
@@ -180,6 +188,34 @@ def trimmed_graph(edges: DataFrame, places: DataFrame) -> DataFrame:
     return edges.join(graph.used_edges(paths), ["city", "u", "v"], "left_semi")
 
 
+def trim_differences(edges: DataFrame, trimmed: DataFrame, places: DataFrame) -> DataFrame:
+    """(city, source, target, whole, part): pairs of places whose time differs between the graph and the trimmed one; none, or it was cut wrongly."""
+    pairs = graph.all_pairs(places)
+    time = lambda e, n: graph.shortest_paths(with_time(e), pairs, "time").withColumnRenamed("cost", n)
+    both = time(edges, "whole").join(time(trimmed, "part"), ["city", "source", "target"], "left")
+    return both.where(~F.col("whole").eqNullSafe(F.col("part"))).select("city", "source", "target", "whole", "part")
+
+
+def candidate_lines(road_ways: DataFrame, nodes: DataFrame, need: DataFrame, wanted: Options = Options(), metric: str = "length_m") -> DataFrame:
+    """Ranked lines (city, from_node, to_node, rank, line) of legs (city, from_node, to_node, source, target) on each candidate graph in turn.
+
+    A later graph is only built for the legs that no earlier one gives a line.
+    """
+    from waymesh.operators import geometry
+
+    out, open_ = None, need
+    for rank, o in enumerate(candidate_options(wanted)):
+        edges = road_graph(road_ways.join(open_.select("city").distinct(), "city", "left_semi"), nodes, o)
+        paths = graph.shortest_paths(with_time(edges), open_, metric, with_paths=True)
+        spots = nodes.select("city", "node_id", "lon", "lat")
+        found = cut(geometry.polylines(paths, spots).join(open_, ["city", "source", "target"]).select("city", "from_node", "to_node", F.lit(rank).alias("rank"), "line"))
+        out = found if out is None else out.unionByName(found)
+        open_ = cut(open_.join(found.select("city", "from_node", "to_node"), ["city", "from_node", "to_node"], "left_anti"))
+        if open_.isEmpty():
+            break
+    return out
+
+
 def timed_paths(edges: DataFrame, profiles: DataFrame, places: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
     """(city, i, j, steps): the fastest free-flow path of each pair with every edge's length and speeds, in order.
 

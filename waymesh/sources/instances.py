@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -133,7 +136,7 @@ def metadata_json(nodes: DataFrame, attributes: list[str]) -> DataFrame:
 
 VERSION = 2
 _EDGE = "ARRAY<STRUCT<osm_u: BIGINT, osm_v: BIGINT, length_m: DOUBLE, road_class: INT, free_speed_ms: DOUBLE>>"
-GRAPH_JSON = "schema_version INT, city STRING, osm_file STRING, num_bins INT, bin_seconds DOUBLE, vertices ARRAY<ARRAY<DOUBLE>>, edges ARRAY<ARRAY<DOUBLE>>"
+GRAPH_JSON = "schema_version INT, city STRING, osm_file STRING, num_bins INT, bin_seconds DOUBLE, vertices ARRAY<ARRAY<STRING>>, edges ARRAY<ARRAY<STRING>>"
 SPEEDS_JSON = "schema_version INT, city STRING, model STRING, intensity STRING, seed BIGINT, num_trips BIGINT, speeds ARRAY<ARRAY<DOUBLE>>"
 NODES_JSON = "schema_version INT, city STRING, instance_base STRING, depot_first BOOLEAN, node_osm_ids ARRAY<BIGINT>"
 
@@ -148,19 +151,21 @@ def graph_json(graphs: DataFrame) -> DataFrame:
 
 
 def read_graphs(texts: DataFrame) -> DataFrame:
-    """Graphs of JSON texts (value), with problem: null, or the first rule that a graph breaks."""
+    """Graphs of JSON texts (value), with problem: null, or the first rule that a graph breaks. Ids keep all their digits."""
     j = texts.select(F.from_json("value", GRAPH_JSON).alias("g")).select("g.*")
-    edges = F.transform("edges", lambda x: F.struct(x[0].cast("bigint").alias("osm_u"), x[1].cast("bigint").alias("osm_v"), x[2].alias("length_m"), x[3].cast("int").alias("road_class"), x[4].alias("free_speed_ms")))
-    known = F.transform("vertices", lambda v: v[0])
+    whole, real = (lambda x: x.try_cast("bigint")), (lambda x: x.try_cast("double"))
+    edges = F.transform("edges", lambda x: F.struct(whole(F.get(x, 0)).alias("osm_u"), whole(F.get(x, 1)).alias("osm_v"), real(F.get(x, 2)).alias("length_m"), F.get(x, 3).try_cast("int").alias("road_class"), real(F.get(x, 4)).alias("free_speed_ms")))
+    spots = F.transform("vertices", lambda v: F.struct(whole(F.get(v, 0)).alias("osm_id"), real(F.get(v, 1)).alias("lon"), real(F.get(v, 2)).alias("lat")))
+    j = j.withColumns({"_width": F.transform("edges", F.size), "edges": edges, "vertices": spots})
     problem = (
         F.when(F.col("schema_version").isNull() | (F.col("schema_version") != VERSION), "version")
+        .when(F.col("num_bins").isNull() | F.col("bin_seconds").isNull() | (F.col("num_bins") * F.col("bin_seconds") != 86400), "bins do not make a day")
         .when(F.coalesce(F.size("edges"), F.lit(0)) < 1, "no edges")
-        .when(F.exists("edges", lambda e: F.size(e) != 5), "edge without five values")
-        .when(~F.forall("edges", lambda e: F.coalesce((e[2] > 0) & (e[4] > 0), F.lit(False))), "length or speed not above zero")
-        .when(F.size(F.array_except(F.flatten(F.transform("edges", lambda e: F.slice(e, 1, 2))), known)) > 0, "unknown vertex")
+        .when(F.exists("_width", lambda n: n != 5), "edge without five values")
+        .when(~F.forall("edges", lambda e: F.coalesce((e["length_m"] > 0) & (e["free_speed_ms"] > 0), F.lit(False))), "length or speed not above zero")
+        .when(F.size(F.array_except(F.concat(F.col("edges.osm_u"), F.col("edges.osm_v")), F.col("vertices.osm_id"))) > 0, "unknown vertex")
     )
-    spots = F.transform("vertices", lambda v: F.struct(v[0].cast("bigint").alias("osm_id"), v[1].alias("lon"), v[2].alias("lat")))
-    return j.select("city", "osm_file", "num_bins", "bin_seconds", edges.alias("edges"), spots.alias("vertices"), problem.alias("problem"))
+    return j.select("city", "osm_file", "num_bins", "bin_seconds", "edges", "vertices", problem.alias("problem"))
 
 
 def speeds_json(profiles: DataFrame) -> DataFrame:
@@ -206,3 +211,128 @@ def canonical_hash(df: DataFrame, by: list[str], columns: list[str]) -> DataFram
     """(by..., sha256) of each group's rows in the order of the columns: the same for the same rows, however they are stored."""
     per = df.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(*columns))).alias("x"))
     return per.select(*by, F.sha2(F.to_json("x"), 256).alias("sha256"))
+
+
+# --- JSON instances, guards, exports -----------------------------------------------------------------------------------
+
+
+def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """JSON files, plain or compressed, one document each; a broken one is an error when read."""
+    return spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").option("recursiveFileLookup", True).json(path)
+
+
+_VRP = "instance_name STRING, num_customers INT, vehicle_capacity BIGINT, coordinates ARRAY<ARRAY<DOUBLE>>, demands ARRAY<BIGINT>, depot INT, arc_costs ARRAY<ARRAY<DOUBLE>>"
+
+
+def vrp_json(instances: DataFrame, origin: str, benchmark: str, metadata: list[str]) -> DataFrame:
+    """(name, value): each instance as one JSON document with a 0-based depot; the columns in metadata go below its key metadata."""
+    xy = F.transform("coordinates", lambda c: F.array(c["x"], c["y"]))
+    head = [F.col("name").alias("instance_name"), F.lit(origin).alias("instance_origin"), F.lit(benchmark).alias("benchmark_name"), (F.col("dimension") - 1).alias("num_customers"), F.col("capacity").alias("vehicle_capacity")]
+    body = [xy.alias("coordinates"), "demands", (F.col("depot") - 1).alias("depot"), F.col("costs").alias("arc_costs"), F.struct(F.lit("CVRP").alias("problem_type"), *metadata).alias("metadata")]
+    return instances.select("name", F.to_json(F.struct(*head, *body)).alias("value"))
+
+
+def read_vrp_json(texts: DataFrame) -> DataFrame:
+    """Instances (name, dimension, capacity, depot from 1, costs, coordinates, demands) of documents as vrp_json writes them, with problem."""
+    j = texts.select(F.from_json("value", _VRP).alias("v")).select("v.*")
+    n = F.col("num_customers") + 1
+    xy = F.transform("coordinates", lambda c: F.struct(F.get(c, 0).alias("x"), F.get(c, 1).alias("y")))
+    problem = (
+        F.when(F.col("instance_name").isNull() | F.col("num_customers").isNull() | F.col("vehicle_capacity").isNull(), "no name, size or capacity")
+        .when(F.coalesce(F.size("demands"), F.lit(-1)) != n, "demands of another size")
+        .when(F.coalesce(F.size("coordinates"), F.lit(-1)) != n, "coordinates of another size")
+        .when((F.coalesce(F.size("arc_costs"), F.lit(-1)) != n) | F.exists("arc_costs", lambda r: F.size(r) != n), "costs of another size")
+    )
+    return j.select(F.col("instance_name").alias("name"), n.alias("dimension"), F.col("vehicle_capacity").alias("capacity"), (F.col("depot") + 1).alias("depot"), F.col("arc_costs").alias("costs"), xy.alias("coordinates"), "demands", problem.alias("problem"))
+
+
+def size_problem(demands: Column, capacity: Column) -> Column:
+    """What keeps an instance from being a real one: one vehicle is enough, or a customer's demand is above the capacity; else null. demands begin with the depot's."""
+    rest = F.slice(demands, F.lit(2), F.greatest(F.size(demands) - 1, F.lit(0)))
+    vehicles = F.ceil(F.aggregate(demands, F.lit(0).cast("long"), lambda a, x: a + F.coalesce(x.cast("long"), F.lit(0))) / capacity)
+    return F.when(capacity.isNull() | (capacity <= 0), "no capacity").when(vehicles < 2, "one vehicle is enough").when(F.coalesce(F.array_max(rest), F.lit(0)) > capacity, "a demand above the capacity")
+
+
+def routes_by_ids(routes: DataFrame, nodes: DataFrame, depot_id: int = 1) -> DataFrame:
+    """routes (instance_id, run_id, route_idx, route) with the routes in the ids of nodes (instance_id, node_id), and problem.
+
+    Routes of a run may be given as places 0..n-1 among the ascending ids, or as ids. They are places if the run's stops are all
+    places but the depot's, or are places and not all ids of customers; else ids if all are; else problem says so and the route is
+    null. Null stops are left out. An instance without its depot is a problem too.
+    """
+    ids = nodes.where("node_id IS NOT NULL").groupBy("instance_id").agg(F.array_sort(F.collect_set(F.col("node_id").cast("long"))).alias("_ids"))
+    stops = routes.select("instance_id", "run_id", F.explode("route").alias("s")).where("s IS NOT NULL").groupBy("instance_id", "run_id").agg(F.array_sort(F.collect_set(F.col("s").cast("long"))).alias("_stops"))
+    j = routes.join(ids, "instance_id", "left").join(stops, ["instance_id", "run_id"], "left")
+    depot = F.array_position("_ids", F.lit(depot_id).cast("long")) - 1
+    places = F.array_sort(F.filter(F.transform("_ids", lambda _, k: k.cast("long")), lambda k: k != depot))
+    customers = F.filter("_ids", lambda x: x != depot_id)
+    inside = lambda of: F.size(F.array_except("_stops", of)) == 0
+    is_place = (F.col("_stops") == places) | (inside(places) & ~inside(customers))
+    clean = F.transform(F.filter("route", lambda x: x.isNotNull()), lambda x: x.cast("long"))
+    route = F.when(F.coalesce(F.size("_stops"), F.lit(0)) <= 0, clean).when(is_place, F.transform(clean, lambda x: F.get("_ids", x.cast("int")))).when(inside(customers), clean)
+    problem = F.when(F.col("_ids").isNull() | (F.coalesce(depot, F.lit(-1)) < 0), "no depot").when(route.isNull(), "unknown node")
+    return j.select("instance_id", "run_id", "route_idx", F.when(problem.isNull(), route).alias("route"), problem.alias("problem"))
+
+
+def node_ids(nodes: DataFrame, vertices: DataFrame, built: dict[str, bool], wanted: dict[str, bool]) -> DataFrame:
+    """nodes (city, instance_base, i, vertex) with osm_id and problem; vertices: city, vertex, node_id of the graph that numbered them.
+
+    The numbers only mean the same on a graph built with the same options: other ones raise ValueError. A number that the graph does not
+    have is a problem.
+    """
+    if built != wanted:
+        raise ValueError(f"vertices numbered on a graph with {built}, not {wanted}")
+    j = nodes.join(vertices.select("city", "vertex", F.col("node_id").alias("osm_id")), ["city", "vertex"], "left")
+    return j.withColumn("problem", F.when(F.col("osm_id").isNull(), "no such vertex"))
+
+
+def annotated(texts: DataFrame, section: str, key: str, value: str, before: str | None = None) -> DataFrame:
+    """JSON documents (..., value) with the key set in one of their objects, unless it is there; placed before another key, else last. changed says where."""
+
+    def run(frames):
+        for f in frames:
+            out, changed = [], []
+            for text in f["value"]:
+                doc = None if text is None else json.loads(text)
+                part = doc.get(section) if isinstance(doc, dict) else None
+                new = isinstance(part, dict) and key not in part
+                if new:
+                    items = list(part.items())
+                    at = next((k for k, (name, _) in enumerate(items) if name == before), len(items))
+                    doc[section] = dict([*items[:at], (key, value), *items[at:]])
+                out.append(json.dumps(doc, ensure_ascii=False, separators=(",", ":")) if new else text)
+                changed.append(new)
+            yield f.assign(value=out, changed=changed)
+
+    schema = ", ".join(f"`{c}` {t}" for c, t in texts.dtypes) + ", changed boolean"
+    return texts.mapInPandas(run, schema)
+
+
+def export_bridge(spark: SparkSession, out: str, graphs: DataFrame, speeds: dict[tuple[str, str], Callable[[], DataFrame]], nodes: DataFrame | None = None, force: bool = False) -> DataFrame:
+    """Write traffic sidecars below out and give their manifests (city, value), written too.
+
+    graphs: as graph_json; speeds: for each (model, intensity) a function that gives profiles as speeds_json wants them; nodes: as
+    nodes_json. Each kind is a folder with a folder per city. Speeds that are there already are kept and not computed, unless force.
+    """
+    at = spark._jvm.org.apache.hadoop.fs.Path
+    there = lambda p: at(p).getFileSystem(spark._jsc.hadoopConfiguration()).exists(at(f"{p}/_SUCCESS"))
+    named = lambda df: df.withColumnRenamed("city", "name")
+    write_texts(named(graph_json(graphs)), f"{out}/graph")
+    done = []
+    for (model, intensity), profiles in speeds.items():
+        name = f"speeds-{model}-{intensity}"
+        if there(f"{out}/{name}") and not force:
+            done.append(f"{name} (kept)")
+            continue
+        write_texts(named(speeds_json(profiles()).select("city", "value")), f"{out}/{name}")
+        done.append(name)
+    lists = F.array().cast("array<string>")
+    made = graphs.select("city", F.size("vertices").alias("num_vertices"), F.size("edges").alias("num_edges"))
+    if nodes is not None:
+        write_texts(nodes_json(nodes).select(F.concat_ws("-", "city", "instance_base").alias("name"), "value"), f"{out}/nodes")
+        made = made.join(nodes.groupBy("city").agg(F.array_sort(F.collect_set(F.concat(F.lit("nodes-"), "instance_base"))).alias("_n")), "city", "left")
+    files = F.coalesce("_n", lists) if nodes is not None else lists
+    head = F.struct(F.lit(VERSION).alias("schema_version"), "city", "num_vertices", "num_edges", F.array(*map(F.lit, done)).cast("array<string>").alias("speed_files"), files.alias("node_files"))
+    manifest = made.select("city", F.to_json(head).alias("value"))
+    write_texts(named(manifest), f"{out}/manifest")
+    return manifest

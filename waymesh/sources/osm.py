@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -33,8 +35,8 @@ def read_ways(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 
 def read_bounds(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """(min_lat, min_lon, max_lat, max_lon): the bounds element, else the box of the nodes; the source is never changed."""
-    said = _read(spark, path, "bounds", "_minlat DOUBLE, _minlon DOUBLE, _maxlat DOUBLE, _maxlon DOUBLE").agg(F.first("_minlat").alias("a"), F.first("_minlon").alias("b"), F.first("_maxlat").alias("c"), F.first("_maxlon").alias("d"))
+    """(min_lat, min_lon, max_lat, max_lon): the bounds element (of several the least), else the box of the nodes; the source is never changed."""
+    said = _read(spark, path, "bounds", "_minlat DOUBLE, _minlon DOUBLE, _maxlat DOUBLE, _maxlon DOUBLE").agg(F.min(F.struct("_minlat", "_minlon", "_maxlat", "_maxlon")).alias("x")).select(*(F.col(f"x.{c}").alias(n) for c, n in zip(("_minlat", "_minlon", "_maxlat", "_maxlon"), "abcd")))
     seen = read_nodes(spark, path).agg(F.min("lat").alias("p"), F.min("lon").alias("q"), F.max("lat").alias("r"), F.max("lon").alias("s"))
     return said.join(seen).select(*(F.coalesce(x, y).alias(n) for x, y, n in zip("abcd", "pqrs", ("min_lat", "min_lon", "max_lat", "max_lon"))))
 
@@ -79,9 +81,34 @@ def to_xml(nodes: DataFrame, ways: DataFrame) -> DataFrame:
     return n.unionByName(w)
 
 
-def write_xml(nodes: DataFrame, ways: DataFrame, path: str) -> None:
-    """Write an extract as text files that together, in name order, are the elements sorted by kind and id inside <osm>."""
+def bounds_line(bounds: DataFrame) -> DataFrame:
+    """(kind, id, value) of the bounds element of one row (min_lat, min_lon, max_lat, max_lon); none if a value is null."""
+    text = F.format_string('<bounds minlat="%s" minlon="%s" maxlat="%s" maxlon="%s"/>', *(F.col(c).cast("string") for c in ("min_lat", "min_lon", "max_lat", "max_lon")))
+    return bounds.dropna().select(F.lit(-1).alias("kind"), F.lit(1).cast("long").alias("id"), text.alias("value"))
+
+
+def write_xml(nodes: DataFrame, ways: DataFrame, path: str, bounds: DataFrame | None = None) -> None:
+    """Publish an extract: text files that together, in name order, are bounds, nodes and ways, each sorted by id, inside <osm>.
+
+    bounds: one row (min_lat, min_lon, max_lat, max_lon), else the box of the nodes. All or nothing: the files are written beside the
+    path, read back and checked (extract_counts), and only then take the place of what is there. An extract that is not valid,
+    for example without ways, raises ValueError and changes nothing.
+    """
     spark = nodes.sparkSession
-    body = to_xml(nodes, ways)
+    if bounds is None:
+        bounds = nodes.agg(F.min("lat").alias("min_lat"), F.min("lon").alias("min_lon"), F.max("lat").alias("max_lat"), F.max("lon").alias("max_lon"))
     frame = spark.createDataFrame([(-1, 0, '<?xml version="1.0" encoding="UTF-8"?>\n<osm version="0.6">'), (2, 0, "</osm>")], "kind int, id bigint, value string")
-    body.unionByName(frame).repartitionByRange("kind", "id").sortWithinPartitions("kind", "id").select("value").write.mode("overwrite").text(path)
+    lines = to_xml(nodes, ways).unionByName(bounds_line(bounds)).unionByName(frame)
+    beside = f"{path.rstrip('/')}.{uuid.uuid4().hex}.tmp"
+    files = spark._jvm.org.apache.hadoop.fs.Path(beside).getFileSystem(spark._jsc.hadoopConfiguration())
+    at = spark._jvm.org.apache.hadoop.fs.Path
+    try:
+        lines.repartitionByRange("kind", "id").sortWithinPartitions("kind", "id").select("value").write.mode("error").text(beside)
+        said = extract_counts(spark, beside).first()
+        if not said.valid:
+            raise ValueError(f"not a valid extract: {said.asDict()}")
+        files.delete(at(path), True)
+        if not files.rename(at(beside), at(path)):
+            raise OSError(f"cannot publish {path}")
+    finally:
+        files.delete(at(beside), True)
