@@ -1,25 +1,171 @@
 """Strong components and shortest paths on many graphs at once.
 
-A graph of bounded size is solved by one kernel task; sources are split into chunks, each with its copy of the edges, so a large
-city is many tasks. A graph beyond the bound is solved by joins in rounds, with a reliable checkpoint between them. Both give the
-same distances; the bound is checked by counting, and nothing grows with the data on the driver or in a broadcast.
+A graph of bounded size is solved by kernels in numpy, sources in batches. A city's sources are dealt to at most as many tasks
+as a shuffle has partitions, each with one copy of the city's edges, so the edges are copied as often as tasks run beside each
+other and no more. A graph beyond the bound is solved by joins in rounds, with a reliable checkpoint between them. Both follow one
+rule between equal paths: the fewest edges, then at every vertex, from the target backwards, the smaller predecessor. Nothing
+grows with the data on the driver or in a broadcast: the cities beyond the bound are marked by a join.
 """
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from waymesh.functions.arrays import neighbours
-from waymesh.session import cut
-
-#: Edges of a graph that one task may hold.
-MAX_EDGES = 5_000_000
+from waymesh.session import cut, shuffle_partitions
+
+#: Edges of a graph that one task may hold; sources times vertices that a kernel works on at a time.
+MAX_EDGES, CELLS = 5_000_000, 1_000_000
+#: Pivots after which a graph of many components is left to the sequential search.
+PIVOTS = 64
+
+
+@dataclass
+class Net:
+    """A graph as arrays: ascending ids; the edges of vertex k are start[k]..start[k+1]-1, with head and weight; edge says which row each was."""
+
+    ids: np.ndarray
+    start: np.ndarray
+    tail: np.ndarray
+    head: np.ndarray
+    weight: np.ndarray
+    edge: np.ndarray
+
+    @staticmethod
+    def of(u: np.ndarray, v: np.ndarray, weight: np.ndarray, *more: np.ndarray, turned: bool = False) -> Net:
+        ids = np.unique(np.concatenate([u, v, *more]).astype(np.int64))
+        a, b = np.searchsorted(ids, u), np.searchsorted(ids, v)
+        a, b = (b, a) if turned else (a, b)
+        order = np.lexsort((b, a))
+        return Net(ids, np.searchsorted(a[order], np.arange(len(ids) + 1)), a[order], b[order], weight[order].astype(float), order)
+
+    def opened(self, vertices: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place in vertices, edge) of all edges of the vertices."""
+        first, many = self.start[vertices], self.start[vertices + 1] - self.start[vertices]
+        place = np.repeat(np.arange(len(vertices)), many)
+        return place, np.arange(len(place)) - np.repeat(np.cumsum(many) - many, many) + first[place]
+
+
+@dataclass
+class Trees:
+    """Shortest path trees of some sources: cost (inf if unreachable), number of edges (-1) and last edge (-1), by source and vertex."""
+
+    cost: np.ndarray
+    hops: np.ndarray
+    via: np.ndarray
+
+
+def trees(net: Net, sources: np.ndarray) -> Trees:
+    """Trees from the sources (places in net.ids), all at once: costs by correcting labels, then breadth-first over the edges that fit them."""
+    n, m = len(net.ids), len(sources)
+    root = np.arange(m) * n + sources
+    cost = np.full(m * n, np.inf)
+    cost[root] = 0.0
+    front = root
+    while len(front):
+        place, e = net.opened(front % n)
+        at = front[place]
+        there, new = at - at % n + net.head[e], cost[at] + net.weight[e]
+        better = new < cost[there]
+        there, new = there[better], new[better]
+        np.minimum.at(cost, there, new)
+        front = np.unique(there)
+    hops, via = np.full(m * n, -1), np.full(m * n, -1)
+    hops[root] = 0
+    front, step = root, 0
+    while len(front):
+        step += 1
+        place, e = net.opened(front % n)
+        at = front[place]
+        there = at - at % n + net.head[e]
+        fits = (hops[there] < 0) & (cost[at] + net.weight[e] == cost[there])
+        there, e = there[fits], e[fits]
+        order = np.lexsort((net.tail[e], there))
+        there, first = np.unique(there[order], return_index=True)
+        hops[there], via[there] = step, e[order][first]
+        front = there
+    return Trees(cost.reshape(m, n), hops.reshape(m, n), via.reshape(m, n))
+
+
+def batches(net: Net, sources: np.ndarray) -> Iterator[tuple[np.ndarray, Trees]]:
+    """Distinct sources (places, ascending) in batches of bounded memory, with their trees."""
+    step = max(1, CELLS // max(1, len(net.ids)))
+    for s in range(0, len(sources), step):
+        yield sources[s : s + step], trees(net, sources[s : s + step])
+
+
+def walked(net: Net, t: Trees, row: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(offsets, edges) of the paths from the source of each row to the target, in order, all end to end; unreachable ones are empty."""
+    size = np.maximum(t.hops[row, target], 0)
+    offset = np.concatenate([[0], np.cumsum(size)])
+    out = np.empty(offset[-1], np.int64)
+    left, at, place = np.flatnonzero(size), target[size > 0], offset[1:][size > 0] - 1
+    while len(left):
+        e = t.via[row[left], at]
+        out[place] = e
+        at, place = net.tail[e], place - 1
+        go = place >= offset[left]
+        left, at, place = left[go], at[go], place[go]
+    return offset, out
+
+
+def largest_component_of(n: int, tail: np.ndarray, head: np.ndarray) -> np.ndarray:
+    """The vertices, ascending, of the largest strong component; of equals the one with the least vertex.
+
+    The component of the busiest vertex left is cut off by forward and backward reach until no rest can hold a better one; vertices
+    without edges in or out of the rest are components of their own. After PIVOTS rounds the rest goes to the sequential search.
+    """
+    if not n:
+        return np.empty(0, np.int64)
+    alive, best = np.ones(n, bool), np.empty(0, np.int64)
+
+    def better(found: np.ndarray) -> np.ndarray:
+        return found if (len(found), -found[0]) > (len(best), -best[0] if len(best) else -n) else best
+
+    def reach(pivot: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        order = np.argsort(a, kind="stable")
+        net = Net(np.arange(n), np.searchsorted(a[order], np.arange(n + 1)), a[order], b[order], np.zeros(0), order)
+        seen = np.zeros(n, bool)
+        seen[pivot], front = True, np.array([pivot])
+        while len(front):
+            front = np.unique(net.head[net.opened(front)[1]])
+            front = front[~seen[front]]
+            seen[front] = True
+        return seen
+
+    for _ in range(PIVOTS):
+        while True:  # vertices no cycle goes through
+            lone = alive & ((np.bincount(tail, minlength=n) == 0) | (np.bincount(head, minlength=n) == 0))
+            if not lone.any():
+                break
+            best = better(np.flatnonzero(lone)[:1])
+            alive &= ~lone
+            keep = alive[tail] & alive[head]
+            tail, head = tail[keep], head[keep]
+        rest = np.flatnonzero(alive)
+        if len(rest) < max(1, len(best)):
+            return best
+        degree = np.bincount(np.concatenate([tail, head]), minlength=n)
+        pivot = int(np.argmax(np.where(alive, degree, -1)))
+        both = reach(pivot, tail, head) & reach(pivot, head, tail) & alive
+        best = better(np.flatnonzero(both))
+        alive &= ~both
+        keep = alive[tail] & alive[head]
+        tail, head = tail[keep], head[keep]
+    comp = components(n, tail, head)
+    comp = np.where(alive, comp, -1)
+    some = np.flatnonzero(alive)
+    if len(some):
+        labels, first, size = np.unique(comp[some], return_index=True, return_counts=True)
+        top = np.lexsort((first, -size))[0]
+        best = better(some[comp[some] == labels[top]])
+    return best
 
 
 def components(n: int, tail: np.ndarray, head: np.ndarray) -> np.ndarray:
@@ -64,15 +210,21 @@ def components(n: int, tail: np.ndarray, head: np.ndarray) -> np.ndarray:
     return np.asarray(comp, np.int64)
 
 
-def _largest(frame: pd.DataFrame) -> pd.DataFrame:
-    ids, code = np.unique(np.concatenate([frame["u"], frame["v"]]), return_inverse=True)
-    m = len(frame)
-    comp = components(len(ids), code[:m], code[m:])
-    size = np.bincount(comp)
-    least = np.full(len(size), np.iinfo(np.int64).max)
-    np.minimum.at(least, comp, ids)
-    best = np.lexsort((least, -size))[0]
-    return pd.DataFrame({"city": frame["city"].iloc[0], "node_id": ids[comp == best]})
+def _largest(key, edges):
+    u, v = (edges[c].to_numpy() for c in "uv")
+    ids, code = np.unique(np.concatenate([u, v]), return_inverse=True)
+    best = largest_component_of(len(ids), code[: len(u)], code[len(u) :])
+    city = pa.array([key[0].as_py()], edges.schema.field("city").type).take(pa.array(np.zeros(len(best), np.int64)))
+    return pa.table({"city": city, "node_id": pa.array(ids[best], pa.int64())})
+
+
+def sized(edges: DataFrame, max_edges: int) -> tuple[DataFrame, DataFrame | None]:
+    """(edges of the graphs of at most max_edges rows, those of the others): None if there are no others. One row per city is counted and joined."""
+    size = edges.groupBy("city").agg(F.count(F.lit(1)).alias("_m"))
+    large = cut(size.where(F.col("_m") > max_edges).select("city"))
+    if large.isEmpty():
+        return edges, None
+    return edges.join(large, "city", "left_anti"), edges.join(large, "city", "left_semi")
 
 
 def largest_component(edges: DataFrame, max_edges: int = MAX_EDGES) -> DataFrame:
@@ -81,12 +233,10 @@ def largest_component(edges: DataFrame, max_edges: int = MAX_EDGES) -> DataFrame
     edges: city, u, v. Graphs of at most max_edges distinct edges are solved whole in a task each, larger ones by rounds of
     joins. Null cities and ends are ignored.
     """
-    slim = edges.select("city", "u", "v").dropna().distinct()
-    size = slim.groupBy("city").agg(F.count(F.lit(1)).alias("m"))
-    large = [r.city for r in size.where(F.col("m") > max_edges).limit(10_000).collect()]
-    small = slim.where(~F.col("city").isin(large)) if large else slim
-    out = small.groupBy("city").applyInPandas(_largest, slim.select("city", F.col("u").alias("node_id")).schema)
-    return out.unionByName(component_by_rounds(slim.where(F.col("city").isin(large)))) if large else out
+    slim = edges.select("city", F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v")).dropna().distinct()
+    small, large = sized(slim, max_edges)
+    out = small.groupBy("city").applyInArrow(_largest, f"city {slim.schema['city'].dataType.simpleString()}, node_id long")
+    return out if large is None else out.unionByName(component_by_rounds(large))
 
 
 def _reach(edges: DataFrame, seeds: DataFrame, tail: str, head: str) -> DataFrame:
@@ -126,103 +276,128 @@ def component_by_rounds(edges: DataFrame) -> DataFrame:
     return best.select("city", "node_id") if best is not None else left
 
 
-def tree(start: list[int], to: list[int], weight: list[float], source: int, targets: set[int] | None) -> tuple[dict[int, float], dict[int, int]]:
-    """Distances and predecessors from source; ends once all targets are settled. Equal distances keep the smaller predecessor."""
-    dist, pred, done = {source: 0.0}, {}, set()
-    wait = None if targets is None else set(targets)
-    heap = [(0.0, source)]
-    while heap:
-        d, v = heapq.heappop(heap)
-        if v in done:
-            continue
-        done.add(v)
-        if wait is not None:
-            wait.discard(v)
-            if not wait:
-                break
-        for e in range(start[v], start[v + 1]):
-            w, nd = to[e], d + weight[e]
-            old = dist.get(w)
-            if old is None or nd < old or (nd == old and w not in done and v < pred.get(w, v + 1)):
-                dist[w], pred[w] = nd, v
-                if old is None or nd < old:
-                    heapq.heappush(heap, (nd, w))
-    return {v: dist[v] for v in done}, pred
-
+def _routes(with_paths: bool):
+    def run(key, edges: pa.Table, pairs: pa.Table) -> pa.Table:
+        source, target = (pairs[c].to_numpy() for c in ("source", "target"))
+        net = Net.of(edges["u"].to_numpy(), edges["v"].to_numpy(), edges["weight"].to_numpy(), source, target)
+        s, t = np.searchsorted(net.ids, source), np.searchsorted(net.ids, target)
+        order = np.argsort(s, kind="stable")
+        s, t = s[order], t[order]
+        costs, paths = [], []
+        for some, found in batches(net, np.unique(s)):
+            mine = slice(np.searchsorted(s, some[0]), np.searchsorted(s, some[-1], "right"))
+            row, goal = np.searchsorted(some, s[mine]), t[mine]
+            costs.append(found.cost[row, goal])
+            if with_paths:
+                offset, e = walked(net, found, row, goal)
+                there = np.isfinite(costs[-1])
+                size = np.diff(offset)
+                begin = np.concatenate([[0], np.cumsum(np.where(there, size + 1, 0))])
+                ids = np.empty(begin[-1], np.int64)
+                ids[begin[:-1][there]] = net.ids[some[row[there]]]
+                ids[np.arange(len(e)) - np.repeat(offset[:-1] - begin[:-1], size) + 1] = net.ids[net.head[e]]
+                paths.append(pa.ListArray.from_arrays(pa.array(begin.astype(np.int32), mask=np.r_[~there, False]), pa.array(ids)))
+        cost = np.concatenate(costs) if costs else np.empty(0)
+        city = pa.array([key[0].as_py()], edges.schema.field("city").type if len(edges) else pairs.schema.field("city").type).take(pa.array(np.zeros(len(s), np.int64)))
+        out = {"city": city, "source": pa.array(net.ids[s]), "target": pa.array(net.ids[t]), "cost": pa.array(cost, mask=~np.isfinite(cost))}
+        if with_paths:
+            out["path"] = pa.concat_arrays(paths) if paths else pa.array([], pa.list_(pa.int64()))
+        return pa.table(out)
 
-def walk_back(pred: dict[int, int], source: int, target: int) -> list[int]:
-    """The vertices from source to target."""
-    out = [target]
-    while out[-1] != source:
-        out.append(pred[out[-1]])
-    return out[::-1]
+    return run
 
 
-def _routes(with_paths: bool):
-    def run(key, edges: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
-        names = ["city", "source", "target", "cost", "path"]
-        if not len(pairs):
-            return pd.DataFrame(columns=names)
-        ids = np.unique(np.concatenate([edges["u"], edges["v"], pairs["source"], pairs["target"]]).astype(np.int64))
-        u, v = np.searchsorted(ids, edges["u"]), np.searchsorted(ids, edges["v"])
-        order = np.argsort(u, kind="stable")
-        start, to, weight = np.searchsorted(u[order], np.arange(len(ids) + 1)).tolist(), v[order].tolist(), edges["weight"].to_numpy(float)[order].tolist()
-        out = []
-        for source, group in pairs.groupby("source", sort=True):
-            s = int(np.searchsorted(ids, source))
-            goal = np.searchsorted(ids, group["target"].to_numpy()).tolist()
-            dist, pred = tree(start, to, weight, s, set(goal))
-            for t in goal:
-                path = [int(ids[x]) for x in walk_back(pred, s, t)] if with_paths and t in dist else None
-                out.append((key[0], source, int(ids[t]), dist.get(t), path))
-        return pd.DataFrame(out, columns=names)
+def dealt(wanted: DataFrame, edges: DataFrame, by: str, per_task: int) -> tuple[DataFrame, DataFrame]:
+    """(wanted with chunk, copies of the edges with chunk): each city's rows dealt by the column, about per_task values of it to a chunk.
 
-    return run
+    A city has no more chunks than a shuffle has partitions: beyond that a chunk takes more values, so the edges are copied once for
+    each task that can run, not once for every so many values.
+    """
+    most = F.lit(shuffle_partitions(wanted.sparkSession))
+    chunks = wanted.groupBy("city").agg(F.least(most, F.ceil(F.countDistinct(by) / per_task)).cast("int").alias("chunks"))
+    rows = wanted.join(chunks, "city").withColumn("chunk", F.pmod(F.xxhash64(by), F.col("chunks")).cast("int")).drop("chunks")
+    copies = edges.join(chunks, "city").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).drop("chunks")
+    return rows.toDF(*rows.columns), copies
 
 
 def shortest_paths(edges: DataFrame, pairs: DataFrame, weight: str, with_paths: bool = False, sources_per_task: int = 64, max_edges: int = MAX_EDGES) -> DataFrame:
     """(city, source, target, cost, path): the least cost of each distinct pair, null if unreachable; path on request.
 
     edges: city, u, v and the weight (null or negative weights are left out); pairs: city, source, target. Pairs are chunked by
-    source and every chunk gets its city's edges, in one cogrouped task. Parallel edges count with the lightest. Graphs of more
-    than max_edges edges are solved by rounds of joins instead.
+    source (dealt) and every chunk gets its city's edges, in one cogrouped task. Parallel edges count with the lightest. Graphs of more
+    than max_edges edges are solved by rounds of joins instead; the result, paths included, is the same.
     """
-    light = edges.where(F.col(weight) >= 0).groupBy("city", "u", "v").agg(F.min(weight).alias("weight"))
+    light = edges.where(F.col(weight) >= 0).groupBy("city", "u", "v").agg(F.min(weight).cast("double").alias("weight"))
     wanted = pairs.select("city", "source", "target").dropna().distinct()
-    kind = f"city {edges.schema['city'].dataType.simpleString()}, source bigint, target bigint, cost double, path array<bigint>"
-    large = [r.city for r in light.groupBy("city").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > max_edges).limit(10_000).collect()]
-    if large:
-        big = wanted.where(F.col("city").isin(large))
-        far = distances_by_rounds(light.where(F.col("city").isin(large)), big.select("city", "source"), "weight", with_paths=with_paths)
-        far = big.join(far.withColumnRenamed("node_id", "target"), ["city", "source", "target"], "left")
-        far = far.select("city", "source", "target", "cost", *(["path"] if with_paths else []))
-        light, wanted = (df.where(~F.col("city").isin(large)) for df in (light, wanted))
-    chunks = wanted.groupBy("city").agg(F.ceil(F.countDistinct("source") / sources_per_task).cast("int").alias("chunks"))
-    cut_pairs = wanted.join(chunks, "city").select("city", F.pmod(F.xxhash64("source"), F.col("chunks")).cast("int").alias("chunk"), "source", "target")
-    copies = light.join(chunks, "city").select("city", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "u", "v", "weight")
-    out = copies.groupBy("city", "chunk").cogroup(cut_pairs.toDF(*cut_pairs.columns).groupBy("city", "chunk")).applyInPandas(_routes(with_paths), kind)
-    out = out if with_paths else out.drop("path")
-    return out.unionByName(far) if large else out
-
-
-def distances_by_rounds(edges: DataFrame, sources: DataFrame, weight: str, max_rounds: int = 10_000, with_paths: bool = False) -> DataFrame:
+    kind = f"city {edges.schema['city'].dataType.simpleString()}, source bigint, target bigint, cost double" + (", path array<bigint>" if with_paths else "")
+    small, large = sized(light, max_edges)
+    if large is None:
+        return _solved(small, wanted, with_paths, sources_per_task, kind)
+    big = wanted.join(large.select("city").distinct(), "city", "left_semi")
+    far = distances_by_rounds(large, big.select("city", "source"), "weight", targets=big, with_paths=with_paths)
+    far = big.join(far.withColumnRenamed("node_id", "target"), ["city", "source", "target"], "left").select("city", "source", "target", "cost", *(["path"] if with_paths else []))
+    rest = wanted.join(large.select("city").distinct(), "city", "left_anti")
+    return _solved(small, rest, with_paths, sources_per_task, kind).unionByName(far)
+
+
+def _solved(light: DataFrame, wanted: DataFrame, with_paths: bool, per_task: int, kind: str) -> DataFrame:
+    rows, copies = dealt(wanted, light, "source", per_task)
+    return copies.groupBy("city", "chunk").cogroup(rows.groupBy("city", "chunk")).applyInArrow(_routes(with_paths), kind)
+
+
+def _steps_before(costs: DataFrame, moves: DataFrame) -> DataFrame:
+    """costs (city, source, node_id, cost, hops) with before, the smaller of the predecessors that the rule allows; null at the source."""
+    e = moves.select("city", F.col("node_id").alias("_u"), F.col("v").alias("node_id"), "w")
+    up = costs.select("city", "source", F.col("node_id").alias("_u"), F.col("cost").alias("_c"), F.col("hops").alias("_h"))
+    fits = costs.join(e, ["city", "node_id"]).join(up, ["city", "source", "_u"]).where("_c + w = cost AND _h + 1 = hops")
+    found = fits.groupBy("city", "source", "node_id").agg(F.min("_u").alias("before"))
+    return costs.join(found, ["city", "source", "node_id"], "left")
+
+
+def distances_by_rounds(edges: DataFrame, sources: DataFrame, weight: str, max_rounds: int = 100_000, with_paths: bool = False, targets: DataFrame | None = None) -> DataFrame:
     """(city, source, node_id, cost[, path]) from every source (city, source) to all it reaches, for graphs of any size.
 
-    All sources advance together; each round joins the improved rows with the edges, and the loop ends when none improves.
+    All sources advance together. A round joins only the rows that got better with the edges and writes only those that get better
+    now; what is known is the best of all writings, merged every eighth round. With targets (city, source, target) the rows come for
+    those only, and a source stops at rows that are no nearer than the farthest of its targets, once it has all of them. Paths are
+    read off the final costs afterwards, in as many rounds as the longest has edges.
     """
-    path = ["path"] if with_paths else []
-    moves = cut(edges.where(F.col(weight) >= 0).groupBy("city", F.col("u").alias("node_id"), "v").agg(F.min(weight).alias("w")))
-    first = sources.distinct().select("city", "source", F.col("source").alias("node_id"), F.lit(0.0).alias("cost"), *([F.array("source").alias("path")] if with_paths else []))
-    state = cut(first.withColumn("fresh", F.lit(True)))
     key = ["city", "source", "node_id"]
-    for _ in range(max_rounds):
-        if state.where("fresh").isEmpty():
-            return state.drop("fresh")
-        step = state.where("fresh").join(moves, ["city", "node_id"]).select("city", "source", F.col("v").alias("node_id"), (F.col("cost") + F.col("w")).alias("cost"), *([F.concat("path", F.array("v")).alias("path")] if with_paths else []), F.lit(None).cast("double").alias("old"))
-        both = state.select(*key, "cost", *path, F.col("cost").alias("old")).unionByName(step)
-        best = both.groupBy(*key).agg(F.min(F.struct("cost", *path)).alias("b"), F.min("old").alias("old"))
-        state = cut(best.select(*key, "b.*", (F.col("old").isNull() | (F.col("b.cost") < F.col("old"))).alias("fresh")))
-    raise RuntimeError("no fixed point within max_rounds")
+    moves = cut(edges.where(F.col(weight) >= 0).groupBy("city", F.col("u").alias("node_id"), "v").agg(F.min(weight).cast("double").alias("w")))
+    front = cut(sources.select("city", F.col("source").cast("long").alias("source")).distinct().select("city", "source", F.col("source").alias("node_id"), F.lit(0.0).alias("cost"), F.lit(0).alias("hops")))
+    goals = None if targets is None else cut(targets.select("city", F.col("source").cast("long").alias("source"), F.col("target").cast("long").alias("node_id")).distinct())
+    least = lambda df: df.groupBy(*key).agg(F.min(F.struct("cost", "hops")).alias("b")).select(*key, "b.cost", "b.hops")
+    known = front
+    for k in range(1, max_rounds + 1):
+        step = front.join(moves, ["city", "node_id"]).select("city", "source", F.col("v").alias("node_id"), (F.col("cost") + F.col("w")).alias("cost"), (F.col("hops") + 1).alias("hops"))
+        old = least(known).select(*key, F.col("cost").alias("_c"), F.col("hops").alias("_h"))
+        news = least(step).join(old, key, "left").where("_c IS NULL OR cost < _c OR (cost = _c AND hops < _h)").drop("_c", "_h")
+        if goals is not None and k % 8 == 0:
+            reached = goals.join(least(known), key, "left").groupBy("city", "source").agg(F.when(F.count_if(F.col("cost").isNull()) == 0, F.max("cost")).alias("_far"))
+            news = news.join(reached, ["city", "source"], "left").where("_far IS NULL OR cost <= _far").drop("_far")
+        front = cut(news)
+        if front.isEmpty():
+            break
+        known = known.unionByName(front)
+        if k % 8 == 0:
+            known = cut(least(known))
+    else:
+        raise RuntimeError("no fixed point within max_rounds")
+    costs = cut(least(known))
+    wanted = costs if goals is None else costs.join(goals, key, "left_semi")
+    if not with_paths:
+        return wanted.select(*key, "cost")
+    before = cut(_steps_before(costs, moves).select(*key, "before"))
+    walk = wanted.select("city", "source", F.col("node_id").alias("target"), "cost", "node_id", F.array("node_id").alias("path"))
+    done = None
+    while True:
+        there = F.col("node_id") == F.col("source")
+        part = walk.where(there).select("city", "source", F.col("target").alias("node_id"), "cost", "path")
+        done = part if done is None else done.unionByName(part)
+        rest = walk.where(~there).join(before, key)
+        walk = cut(rest.select("city", "source", "target", "cost", F.col("before").alias("node_id"), F.concat(F.array("before"), "path").alias("path")))
+        if walk.isEmpty():
+            return done
 
 
 def all_pairs(places: DataFrame) -> DataFrame:
@@ -236,11 +411,29 @@ def used_edges(routes: DataFrame) -> DataFrame:
     return routes.where(F.size("path") > 1).select("city", F.explode(neighbours(F.col("path"), "u", "v")).alias("e")).select("city", "e.u", "e.v").distinct()
 
 
+def numbered_by(rows: DataFrame, by: str, order: list[Column | str], start: int = 0, name: str = "at") -> DataFrame:
+    """rows with name, their number within the group in the order (unique, its first key not null), without sorting a group in one task.
+
+    Rows are range-partitioned by group and order; each task numbers its own, and the count of the group's rows in the ranges before is added: one
+    row per range and group is joined.
+    """
+    spread = cut(rows.repartitionByRange(by, *order).withColumn("_part", F.spark_partition_id()))
+    before = F.sum("_n").over(Window.partitionBy(by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    base = spread.groupBy(by, "_part").agg(F.count(F.lit(1)).alias("_n")).withColumn("_base", F.coalesce(before, F.lit(0)))
+    own = F.row_number().over(Window.partitionBy(by, "_part").orderBy(*order))
+    joined = spread.withColumn("_own", own).join(base.drop("_n"), [by, "_part"])
+    return joined.withColumn(name, (F.col("_own") + F.col("_base") + F.lit(start - 1)).cast("int")).drop("_own", "_base", "_part")
+
+
 def reindexed(edges: DataFrame) -> DataFrame:
     """Edges with u and v replaced by the place of their ids in the city's ascending ids, and kept as osm_u, osm_v."""
-    from pyspark.sql import Window
-
     ids = edges.select("city", F.explode(F.array("u", "v")).alias("node_id")).distinct()
-    places = ids.withColumn("at", F.row_number().over(Window.partitionBy("city").orderBy("node_id")) - 1)
+    places = numbered_by(ids, "city", ["node_id"])
     a, b = (places.select("city", F.col("node_id").alias(o), F.col("at").alias(n)) for o, n in (("osm_u", "u"), ("osm_v", "v")))
     return edges.withColumnsRenamed({"u": "osm_u", "v": "osm_v"}).join(a, ["city", "osm_u"]).join(b, ["city", "osm_v"])
+
+
+def missing_places(places: DataFrame, edges: DataFrame) -> DataFrame:
+    """Places (city, node_id, ...) that no edge of their city's graph touches."""
+    ends = edges.select("city", F.explode(F.array("u", "v")).alias("node_id")).distinct()
+    return places.join(ends, ["city", "node_id"], "left_anti")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from waymesh.functions import geo
 from waymesh.functions.arrays import count_up, neighbours
 from waymesh.functions.scalars import FREE_KMH, ROAD_CLASSES, lookup
+from waymesh.operators.graph import numbered_by
 
 PATH = "array<struct<seq: int, node_id: bigint, x: double, y: double, z: double>>"
 
@@ -131,7 +132,7 @@ def numbered(edges: DataFrame) -> DataFrame:
     """(city, node_id, vertex): the graph's vertices, numbered from 0 by first sight in edge order, the tail before the head."""
     ends = edges.select("city", F.posexplode(F.array("u", "v")).alias("side", "node_id"), "first_pos")
     first = ends.groupBy("city", "node_id").agg(F.min(F.struct("first_pos", "side")).alias("f"))
-    return first.select("city", "node_id", (F.row_number().over(Window.partitionBy("city").orderBy("f", "node_id")) - 1).alias("vertex"))
+    return numbered_by(first, "city", ["f", "node_id"], name="vertex").select("city", "node_id", "vertex")
 
 
 def class_statistics(edges: DataFrame) -> DataFrame:

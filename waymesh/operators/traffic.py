@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from waymesh.functions import geo
 from waymesh.functions.arrays import neighbours
 from waymesh.functions.scalars import CAPACITY_VEH_H, FREE_KMH, clamp, gauss, lookup, rounded_speed, uniform
-from waymesh.operators.graph import MAX_EDGES, shortest_paths, tree, walk_back
+from waymesh.operators.graph import MAX_EDGES, Net, batches, dealt, numbered_by, shortest_paths, sized, walked
 
 # Fixed values of the traffic models.
 BINS, BIN_S = 24, 3600.0
@@ -94,7 +95,7 @@ def trips(homes: DataFrame, works: DataFrame, intensity: str, seed: int) -> Data
     fourth also home and back at noon. Home and work are drawn by number from the city's ascending lists; who lives at work stays.
     """
     def ranked(df: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
-        w = df.select("city", "node_id").distinct().withColumn("_k", F.row_number().over(Window.partitionBy("city").orderBy("node_id")) - 1)
+        w = numbered_by(df.select("city", "node_id").distinct(), "city", ["node_id"], name="_k")
         return w.select("city", F.col("_k").alias(f"_{name}"), F.col("node_id").alias(name)), w.groupBy("city").agg(F.count(F.lit(1)).alias(f"_n_{name}"))
 
     (home, n_home), (work, n_work) = ranked(homes, "home"), ranked(works, "work")
@@ -114,52 +115,64 @@ def clock_bin(clock: Column) -> Column:
     return clamp(F.floor(clock / BIN_S), 0, BINS - 1).cast("int")
 
 
-def _flow_kernel(key, edges: pd.DataFrame, trips_: pd.DataFrame) -> pd.DataFrame:
-    names = ["city", "u", "v", "bin", "n"]
-    if not len(trips_) or not len(edges):
-        return pd.DataFrame(columns=names)
-    ids = np.unique(np.concatenate([edges["u"], edges["v"], trips_["home"], trips_["work"]]).astype(np.int64))
-    u, v, t = np.searchsorted(ids, edges["u"]), np.searchsorted(ids, edges["v"]), edges["time"].to_numpy(float)
-    out: list[np.ndarray] = []
-    count: dict[int, int] = {}
-    for to_work in (False, True):  # from work the trees run forward, to work on the turned graph
-        a, b = (v, u) if to_work else (u, v)
-        order = np.argsort(a, kind="stable")
-        start, to, weight = np.searchsorted(a[order], np.arange(len(ids) + 1)).tolist(), b[order].tolist(), t[order].tolist()
-        fast = {(int(x), int(y)): w for x, y, w in zip(a, b, t)}
-        for work, group in trips_[trips_["to_work"] == to_work].groupby("work", sort=True):
-            w = int(np.searchsorted(ids, work))
-            homes = np.searchsorted(ids, group["home"].to_numpy()).tolist()
-            dist, pred = tree(start, to, weight, w, set(homes))
-            for home, begin in zip(homes, group["departure_s"].tolist()):
-                if home not in dist:
-                    continue
-                path = walk_back(pred, w, home)
-                steps = list(zip(path, path[1:]))
-                if to_work:
-                    steps = steps[::-1]
-                clock = begin
-                for x, y in steps:
-                    b_ = min(max(int(clock // BIN_S), 0), BINS - 1)
-                    e = ((y, x) if to_work else (x, y))
-                    k = (e[0] * len(ids) + e[1]) * BINS + b_
-                    count[k] = count.get(k, 0) + 1
-                    clock += fast[x, y]
-    if not count:
-        return pd.DataFrame(columns=names)
-    k = np.fromiter(count, np.int64, len(count))
-    out = [ids[k // BINS // len(ids)], ids[k // BINS % len(ids)], k % BINS, np.fromiter(count.values(), np.int64, len(count))]
-    return pd.DataFrame({"city": key[0], "u": out[0], "v": out[1], "bin": out[2], "n": out[3]})
+def _flow_kernel(key, edges: pa.Table, trips_: pa.Table) -> pa.Table:
+    """Counts of the trips of one chunk. Trees of the workplaces run forward for trips from work and on the turned graph for trips to work."""
+    u, v, time = (edges[c].to_numpy() for c in ("u", "v", "time"))
+    home, work, clock, to_work = (trips_[c].to_numpy() for c in ("home", "work", "departure_s", "to_work"))
+    count = np.zeros(len(u) * BINS, np.int64)
+    for turned in (False, True):
+        net = Net.of(u, v, time, home, work, turned=turned)
+        some = np.flatnonzero(to_work == turned)
+        some = some[np.argsort(work[some], kind="stable")]
+        h, w, c = np.searchsorted(net.ids, home[some]), np.searchsorted(net.ids, work[some]), clock[some].astype(float)
+        for sources, t in batches(net, np.unique(w)):
+            mine = np.arange(np.searchsorted(w, sources[0]), np.searchsorted(w, sources[-1], "right"))
+            row, goal, now = np.searchsorted(sources, w[mine]), h[mine], c[mine].copy()
+            if turned:  # the last edge of the turned tree is the first towards work
+                at, left = goal, np.flatnonzero(t.hops[row, goal] > 0)
+                while len(left):
+                    e = t.via[row[left], at[left]]
+                    np.add.at(count, net.edge[e] * BINS + _bins(now[left]), 1)
+                    now[left] += net.weight[e]
+                    at[left] = net.tail[e]
+                    left = left[t.hops[row[left], at[left]] > 0]
+            else:
+                offset, path = walked(net, t, row, goal)
+                size, k = np.diff(offset), 0
+                left = np.flatnonzero(size)
+                while len(left):
+                    e = path[offset[left] + k]
+                    np.add.at(count, net.edge[e] * BINS + _bins(now[left]), 1)
+                    now[left] += net.weight[e]
+                    k += 1
+                    left = left[size[left] > k]
+    hit = np.flatnonzero(count)
+    city = pa.array([key[0].as_py()], pa.string()).take(pa.array(np.zeros(len(hit), np.int64)))
+    return pa.table({"city": city, "u": pa.array(u[hit // BINS], pa.int64()), "v": pa.array(v[hit // BINS], pa.int64()), "bin": pa.array((hit % BINS).astype(np.int32)), "n": pa.array(count[hit])})
+
+
+def _bins(clock: np.ndarray) -> np.ndarray:
+    return np.clip(np.floor(clock / BIN_S), 0, BINS - 1).astype(np.int64)
 
 
 def flows_by_joins(edges: DataFrame, day: DataFrame) -> DataFrame:
-    """hourly_flows for graphs of any size: paths by rounds of joins, entry times by a running sum, counts by a hash aggregate."""
+    """hourly_flows for graphs of any size: paths by rounds of joins, entry times by a running sum, counts by a hash aggregate.
+
+    As in the kernel, paths to work are those from work on the turned graph.
+    """
     one = day.groupBy("city", "home", "work", "departure_s", "to_work").agg(F.count(F.lit(1)).alias("k"))
-    ends = one.select("*", F.when(F.col("to_work"), F.col("home")).otherwise(F.col("work")).alias("source"), F.when(F.col("to_work"), F.col("work")).otherwise(F.col("home")).alias("target"))
-    paths = shortest_paths(edges, ends.select("city", "source", "target"), "time", with_paths=True, max_edges=0).where("path IS NOT NULL")
-    steps = ends.join(paths.select("city", "source", "target", "path"), ["city", "source", "target"]).select("city", "source", "target", "departure_s", "k", F.posexplode(neighbours(F.col("path"), "u", "v")).alias("pos", "e"))
-    timed = steps.select("city", "source", "target", "departure_s", "k", "pos", "e.u", "e.v").join(edges.groupBy("city", "u", "v").agg(F.min("time").alias("time")), ["city", "u", "v"])
-    w = Window.partitionBy("city", "source", "target", "departure_s", "k").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    light = edges.groupBy("city", "u", "v").agg(F.min("time").alias("time"))
+    out = None
+    for to_work in (False, True):
+        mine = one.where(F.col("to_work") == to_work).withColumnsRenamed({"work": "source", "home": "target"})
+        graph = light.select("city", F.col("v").alias("u"), F.col("u").alias("v"), "time") if to_work else light
+        paths = shortest_paths(graph, mine.select("city", "source", "target"), "time", with_paths=True, max_edges=0).where("path IS NOT NULL")
+        path = F.reverse("path") if to_work else F.col("path")
+        steps = mine.join(paths.select("city", "source", "target", path.alias("path")), ["city", "source", "target"])
+        part = steps.select("city", "source", "target", "departure_s", "k", F.lit(to_work).alias("to_work"), F.posexplode(neighbours(F.col("path"), "u", "v")).alias("pos", "e"))
+        out = part if out is None else out.unionByName(part)
+    timed = out.select("city", "source", "target", "departure_s", "to_work", "k", "pos", "e.u", "e.v").join(light, ["city", "u", "v"])
+    w = Window.partitionBy("city", "source", "target", "departure_s", "to_work").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     entered = timed.withColumn("bin", clock_bin(F.col("departure_s") + F.coalesce(F.sum("time").over(w), F.lit(0.0))))
     return entered.groupBy("city", "u", "v", "bin").agg(F.sum("k").alias("n"))
 
@@ -167,20 +180,22 @@ def flows_by_joins(edges: DataFrame, day: DataFrame) -> DataFrame:
 def hourly_flows(edges: DataFrame, day: DataFrame, works_per_task: int = 64, max_edges: int = MAX_EDGES) -> DataFrame:
     """(city, u, v, bin, n): how many trips enter each edge in each hour, on fastest free-flow paths; edges: city, u, v, time.
 
-    Trips are grouped by workplace, of which there are few: one tree per workplace and direction. Workplaces are chunked, so a large
-    city is many tasks; each counts its own trips and a final sum adds the counts. Trips without a path count nowhere. Graphs of
-    more than max_edges edges are routed by flows_by_joins.
+    Trips are grouped by workplace, of which there are few: one tree per workplace and direction. Workplaces are dealt to tasks (graph.dealt),
+    so a large city is many tasks; each counts its own trips and a final sum adds the counts. Trips without a path count nowhere. Graphs
+    of more than max_edges edges are routed by flows_by_joins.
     """
-    light = edges.groupBy("city", "u", "v").agg(F.min("time").alias("time"))
-    large = [r.city for r in light.groupBy("city").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > max_edges).limit(10_000).collect()]
-    if large:
-        pick = lambda df, yes: df.where(F.col("city").isin(large) if yes else ~F.col("city").isin(large))
-        return flows_by_joins(pick(light, True), pick(day, True)).unionByName(hourly_flows(pick(light, False), pick(day, False), works_per_task))
-    chunks = day.groupBy("city").agg(F.ceil(F.countDistinct("work") / works_per_task).cast("int").alias("chunks"))
-    cut = day.join(chunks, "city").select("city", F.pmod(F.xxhash64("work"), F.col("chunks")).cast("int").alias("chunk"), "home", "work", "departure_s", "to_work")
-    copies = light.join(chunks, "city").select("city", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "u", "v", "time")
-    part = copies.groupBy("city", "chunk").cogroup(cut.toDF(*cut.columns).groupBy("city", "chunk")).applyInPandas(_flow_kernel, "city string, u bigint, v bigint, bin int, n bigint")
-    return part.groupBy("city", "u", "v", "bin").agg(F.sum("n").alias("n"))
+    light = edges.groupBy("city", "u", "v").agg(F.min("time").cast("double").alias("time"))
+    small, large = sized(light, max_edges)
+    mine = day.select(F.col("city").cast("string").alias("city"), "home", "work", "departure_s", "to_work")
+    far = None
+    if large is not None:
+        cities = large.select("city").distinct()
+        far = flows_by_joins(large, mine.join(cities, "city", "left_semi"))
+        mine = mine.join(cities, "city", "left_anti")
+    rows, copies = dealt(mine, small, "work", works_per_task)
+    part = copies.groupBy("city", "chunk").cogroup(rows.groupBy("city", "chunk")).applyInArrow(_flow_kernel, "city string, u bigint, v bigint, bin int, n bigint")
+    found = part.groupBy("city", "u", "v", "bin").agg(F.sum("n").alias("n"))
+    return found if far is None else found.unionByName(far)
 
 
 def known_prefix(steps: DataFrame, edges: DataFrame) -> DataFrame:
@@ -240,6 +255,56 @@ def arrival_after_path(paths: DataFrame, departures: Column) -> DataFrame:
     return paths.withColumn("departure", F.explode(departures)).withColumn("arrival", ride)
 
 
+def _arrival_kernel(departures: list[float]):
+    """Arrow kernel of one chunk: arrivals through the trees of free-flow times, level by level, for all sources and departures at once."""
+
+    def run(key, edges: pa.Table, pairs: pa.Table) -> pa.Table:
+        source, target = (pairs[c].to_numpy() for c in ("source", "target"))
+        net = Net.of(*(edges[c].to_numpy() for c in ("u", "v", "time")), source, target)
+        length = edges["length_m"].to_numpy()[net.edge]
+        profile = edges["profile"].combine_chunks()
+        profile = (profile.chunk(0) if isinstance(profile, pa.ChunkedArray) and profile.num_chunks else profile).flatten().to_numpy() if len(edges) else np.empty(0)
+        profile = profile.reshape(-1, BINS)[net.edge] if len(edges) else np.empty((0, BINS))
+        s, t = np.searchsorted(net.ids, source), np.searchsorted(net.ids, target)
+        order = np.argsort(s, kind="stable")
+        s, t = s[order], t[order]
+        parts = []
+        for some, found in batches(net, np.unique(s)):
+            clock = np.full((len(departures), *found.hops.shape), np.nan)
+            clock[:, np.arange(len(some)), some] = np.array(departures)[:, None]
+            level = found.hops.ravel()
+            by_level = np.argsort(level, kind="stable")
+            edge = np.searchsorted(level[by_level], np.arange(1, level.max(initial=0) + 2))
+            flat = clock.reshape(len(departures), -1)
+            for a, z in zip(edge[:-1], edge[1:]):
+                at = by_level[a:z]
+                e = found.via.ravel()[at]
+                before = flat[:, at - at % len(net.ids) + net.tail[e]]
+                flat[:, at] = driven(before.ravel(), np.tile(length[e], len(departures)), profile, np.tile(e, len(departures))).reshape(before.shape)
+            mine = slice(np.searchsorted(s, some[0]), np.searchsorted(s, some[-1], "right"))
+            parts.append(clock[:, np.searchsorted(some, s[mine]), t[mine]].T)
+        arrival = np.concatenate(parts) if parts else np.empty((0, len(departures)))
+        there = np.isfinite(arrival)
+        row, which = np.nonzero(there)
+        city = pa.array([key[0].as_py()], pa.string()).take(pa.array(np.zeros(len(row), np.int64)))
+        return pa.table({"city": city, "source": pa.array(net.ids[s[row]]), "target": pa.array(net.ids[t[row]]), "departure": pa.array(np.array(departures, float)[which]), "arrival": pa.array(arrival[row, which])})
+
+    return run
+
+
+def tree_arrivals(edges: DataFrame, pairs: DataFrame, departures: list[float], sources_per_task: int = 64) -> DataFrame:
+    """(city, source, target, departure, arrival) along the fastest free-flow paths, for pairs that have one.
+
+    edges: city, u, v, time, length_m, profile (24 speeds), one row for each u and v; pairs: city, source, target. A tree is driven
+    once for each departure, so a path costs its last edge, not its length. As arrival_after_path on timed_paths, for graphs that
+    one task can hold (graph.MAX_EDGES).
+    """
+    wanted = pairs.select(F.col("city").cast("string").alias("city"), "source", "target").dropna().distinct()
+    slim = edges.select(F.col("city").cast("string").alias("city"), "u", "v", F.col("time").cast("double").alias("time"), F.col("length_m").cast("double").alias("length_m"), "profile").where("time >= 0")
+    rows, copies = dealt(wanted, slim, "source", sources_per_task)
+    return copies.groupBy("city", "chunk").cogroup(rows.groupBy("city", "chunk")).applyInArrow(_arrival_kernel(departures), "city string, source bigint, target bigint, departure double, arrival double")
+
+
 def simplified(x: np.ndarray, y: np.ndarray, tolerance: float) -> np.ndarray:
     """Places of the points to keep so that straight lines between them are within the tolerance of all others."""
     keep, todo = {0, len(x) - 1}, [(0, len(x) - 1)]
@@ -282,14 +347,24 @@ def arrival_functions(arcs: DataFrame, step_s: float = 60.0, tolerance_s: float
 
 def ride_through(t: np.ndarray, length: float, profile: np.ndarray) -> np.ndarray:
     """Clocks after a stretch for many entry clocks; the array form of through."""
-    t, rest = t.copy(), np.full(len(t), length)
-    while (on := rest > 1e-9).any():
+    return driven(t, np.full(len(t), length), profile.reshape(1, BINS), np.zeros(len(t), np.int64))
+
+
+def driven(t: np.ndarray, length: np.ndarray, profiles: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """Clocks after stretches of the lengths entered at t, each with its own profile; whole days but the last are taken first, as in through."""
+    day = profiles.sum(axis=1)[which] * BIN_S
+    whole = np.maximum(0.0, np.floor(length / day) - 1.0)
+    t, rest = t + whole * (BIN_S * BINS), length - whole * day
+    on = np.flatnonzero(rest > 0)
+    while len(on):
         k = np.floor(t[on] / BIN_S)
-        speed = profile[k.astype(int) % BINS]
-        room = ((k + 1) * BIN_S - t[on]) * speed
+        speed = profiles[which[on], k.astype(np.int64) % BINS]
+        ends = (k + 1) * BIN_S
+        room = (ends - t[on]) * speed
         done = rest[on] <= room
-        t[on] = np.where(done, t[on] + rest[on] / speed, (k + 1) * BIN_S)
+        t[on] = np.where(done, t[on] + rest[on] / speed, ends)
         rest[on] = np.where(done, 0.0, rest[on] - room)
+        on = on[~done]
     return t
 
 

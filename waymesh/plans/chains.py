@@ -75,14 +75,17 @@ def derive_traffic(edges: DataFrame, vertices: DataFrame, places: DataFrame, sto
     trimmed = cut(pipeline.trimmed_graph(edges, places))
     limit = roads.fastest_parallel(trimmed, ["city"]).select("city", "u", "v", traffic.free_speed(F.col("class")).alias("limit"))
     used = schedules.legs(routes).select("city", F.col("from_node").cast("int").alias("i"), F.col("to_node").cast("int").alias("j")).distinct()
+    ids = lambda k, n: places.select("city", F.col("i").cast("int").alias(k), F.col("node_id").alias(n))
+    need = cut(used.join(ids("i", "source"), ["city", "i"]).join(ids("j", "target"), ["city", "j"]))
+    most = places.groupBy("city").agg(F.max("i").alias("n")).agg(F.max("n")).first()[0] or 0
     speeds = needs = functions = None
     drives = []
     for pos, (model, intensity) in enumerate(combos):
         profiles = traffic.overlay(pipeline.bridge(edges, vertices, model, intensity, seed, snapped), limit)
-        arcs = cut(pipeline.timed_paths(trimmed, profiles, places).join(used, ["city", "i", "j"], "left_semi"))
+        arcs = cut(pipeline.timed_paths(trimmed, profiles, places, need))
         drives.append(arcs)
         tag = lambda df: df.withColumns({"model": F.lit(model), "intensity": F.lit(intensity)})  # noqa: B023, E731
-        s, f = tag(profiles), tag(traffic.arrival_functions(arcs))
+        s, f = tag(profiles), tag(traffic.arrival_functions(arcs, tolerance_s=traffic.tolerance_for(most)))
         n = pipeline.audit(routes, arcs, stops).select("city", "node", "begin", F.lit(f"{model}-{intensity}").alias("sub"), F.lit(pos).alias("sub_pos"))
         speeds, functions, needs = (a if b is None else b.unionByName(a) for a, b in ((s, speeds), (f, functions), (n, needs)))
     lifted = cut(schedules.lifted_windows(needs, stops))

@@ -390,9 +390,12 @@ def path_arrivals(spark: SparkSession, sf: str) -> DataFrame:
     """Arrival through wave traffic on the fastest paths between places, for four departures."""
     b = _bridges(spark, sf)
     e, spots = _bridge_edges(b), _bridge_spots(b)
-    arcs = pipeline.timed_paths(e, traffic.wave_profiles(e, spots, "heavy", SEED), _places(spots))
-    out = traffic.arrival_after_path(arcs, F.array(*(F.lit(float(x)) for x in (0, 27000, 63000, 86000))))
-    return out.select("city", "i", "j", "departure", F.round("arrival", 3).alias("arrival"))
+    places = _places(spots)
+    timed = pipeline.with_time(traffic.wave_profiles(e, spots, "heavy", SEED))
+    found = traffic.tree_arrivals(timed, graph.all_pairs(places), [0.0, 27000.0, 63000.0, 86000.0])
+    ids = lambda k, n: places.select("city", F.col("node_id").alias(n), F.col("i").cast("long").alias(k))
+    named = found.join(ids("i", "source"), ["city", "source"]).join(ids("j", "target"), ["city", "target"])
+    return named.select("city", "i", "j", "departure", F.round("arrival", 3).alias("arrival"))
 
 
 def deadline_lift(spark: SparkSession, sf: str) -> DataFrame:
