@@ -296,11 +296,11 @@ def tree_arrivals(edges: DataFrame, pairs: DataFrame, departures: list[float], s
     """(city, source, target, departure, arrival) along the fastest free-flow paths, for pairs that have one.
 
     edges: city, u, v, time, length_m, profile (24 speeds), one row for each u and v; pairs: city, source, target. A tree is driven
-    once for each departure, so a path costs its last edge, not its length. As arrival_after_path on timed_paths, for graphs that
-    one task can hold (graph.MAX_EDGES).
+    once for each departure, so a path costs its last edge, not its length. A path over an edge without profile has no row. As
+    arrival_after_path on timed_paths, for graphs that one task can hold (graph.MAX_EDGES).
     """
     wanted = pairs.select(F.col("city").cast("string").alias("city"), "source", "target").dropna().distinct()
-    slim = edges.select(F.col("city").cast("string").alias("city"), "u", "v", F.col("time").cast("double").alias("time"), F.col("length_m").cast("double").alias("length_m"), "profile").where("time >= 0")
+    slim = edges.select(F.col("city").cast("string").alias("city"), "u", "v", F.col("time").cast("double").alias("time"), F.col("length_m").cast("double").alias("length_m"), F.coalesce("profile", F.array_repeat(F.lit(float("nan")), BINS)).alias("profile")).where("time >= 0")
     rows, copies = dealt(wanted, slim, "source", sources_per_task)
     return copies.groupBy("city", "chunk").cogroup(rows.groupBy("city", "chunk")).applyInArrow(_arrival_kernel(departures), "city string, source bigint, target bigint, departure double, arrival double")
 
@@ -355,7 +355,7 @@ def driven(t: np.ndarray, length: np.ndarray, profiles: np.ndarray, which: np.nd
     day = profiles.sum(axis=1)[which] * BIN_S
     whole = np.maximum(0.0, np.floor(length / day) - 1.0)
     t, rest = t + whole * (BIN_S * BINS), length - whole * day
-    on = np.flatnonzero(rest > 0)
+    on = np.flatnonzero((rest > 0) & np.isfinite(t))
     while len(on):
         k = np.floor(t[on] / BIN_S)
         speed = profiles[which[on], k.astype(np.int64) % BINS]

@@ -84,7 +84,7 @@ def road_crop(spark: SparkSession, sf: str) -> DataFrame:
     """Roads cut to the middle half of their city's box."""
     n = _nodes(spark, sf)
     box = roads.middle_half(roads.city_bounds(n))
-    return roads.cropped(_roads(spark, sf), n, box).select("city", "way_id", F.col("seq").cast("long").alias("seq"), F.when(F.col("synthetic"), F.lit(-1)).otherwise(F.col("node_id")).cast("long").alias("node_id"), F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"))
+    return roads.cropped(_roads(spark, sf), n, box).select("city", "way_id", F.col("seq").cast("long").alias("seq"), F.when(F.col("synthetic"), F.lit(-1)).otherwise(F.col("node_id")).cast("long").alias("node_id"), F.round("lat", 7).alias("lat"), F.round("lon", 7).alias("lon"))
 
 
 def giant_component(spark: SparkSession, sf: str) -> DataFrame:
@@ -391,7 +391,7 @@ def path_arrivals(spark: SparkSession, sf: str) -> DataFrame:
     b = _bridges(spark, sf)
     e, spots = _bridge_edges(b), _bridge_spots(b)
     places = _places(spots)
-    timed = pipeline.with_time(traffic.wave_profiles(e, spots, "heavy", SEED))
+    timed = pipeline.with_time(e).join(traffic.wave_profiles(e, spots, "heavy", SEED).select("city", "u", "v", "profile"), ["city", "u", "v"], "left")
     found = traffic.tree_arrivals(timed, graph.all_pairs(places), [0.0, 27000.0, 63000.0, 86000.0])
     ids = lambda k, n: places.select("city", F.col("node_id").alias(n), F.col("i").cast("long").alias(k))
     named = found.join(ids("i", "source"), ["city", "source"]).join(ids("j", "target"), ["city", "target"])

@@ -219,13 +219,13 @@ def candidate_lines(road_ways: DataFrame, nodes: DataFrame, need: DataFrame, wan
 def timed_paths(edges: DataFrame, profiles: DataFrame, places: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
     """(city, i, j, steps): the fastest free-flow path of each pair with every edge's length and speeds, in order.
 
-    pairs (city, source, target) are those wanted, else all pairs of places.
+    pairs (city, source, target) are those wanted, else all pairs of places. A path over an edge without length or profile is left out.
     """
     paths = graph.shortest_paths(with_time(edges), graph.all_pairs(places) if pairs is None else pairs, "time", with_paths=True).where("path IS NOT NULL")
     pair = neighbours(F.col("path"), "u", "v")
-    steps = paths.select("city", "source", "target", F.posexplode(pair).alias("pos", "e")).select("city", "source", "target", "pos", "e.u", "e.v")
+    steps = paths.select("city", "source", "target", (F.size("path") - 1).alias("_n"), F.posexplode(pair).alias("pos", "e")).select("city", "source", "target", "_n", "pos", "e.u", "e.v")
     known = steps.join(edges.select("city", "u", "v", "length_m"), ["city", "u", "v"]).join(profiles.select("city", "u", "v", "profile"), ["city", "u", "v"])
-    per = known.groupBy("city", "source", "target").agg(F.array_sort(F.collect_list(F.struct("pos", "length_m", "profile"))).alias("steps"))
+    per = known.groupBy("city", "source", "target", "_n").agg(F.array_sort(F.collect_list(F.struct("pos", "length_m", "profile"))).alias("steps")).where(F.size("steps") == F.col("_n"))
     a, b = (places.select("city", F.col("node_id").alias(n), F.col("i").alias(k)) for n, k in (("source", "i"), ("target", "j")))
     return per.join(a, ["city", "source"]).join(b, ["city", "target"]).select("city", "i", "j", "steps")
 
