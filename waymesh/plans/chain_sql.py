@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 from waymesh.functions.scalars import DEMAND_BANDS, FREE_KMH
-from waymesh.plans.network_sql import _COMMUTERS, _POI, BOX, BRIDGE, EDGES, N, ROADS, SEGMENTS, STOPS, between, case, frame, g, u, wave
+from waymesh.plans.network_sql import _COMMUTERS, _POI, BRIDGE, EDGES, N, ROADS, SEGMENTS, STOPS, between, case, frame, g, u, wave
 
 TIMED = f"te AS (SELECT city, u, v, class, length_m, length_m * 3.6 / {case(FREE_KMH, 'class')} AS w FROM be), le AS (SELECT city, u, v, length_m AS w FROM be), ve AS (SELECT city, v AS u, u AS v, w FROM te)"
 
@@ -165,6 +165,16 @@ c AS (SELECT city, node_id, row_number() OVER (PARTITION BY city ORDER BY k[1],
 SELECT vert.city, CAST(c.i AS INT) AS i, vert.node_id, lat, lon, {between(*DEMAND_BANDS[2], u('demand2', 'vert.city', 'c.i'))} AS demand, source_tag FROM c JOIN vert USING (city, node_id)
 UNION ALL SELECT vert.city, 0, vert.node_id, lat, lon, 0, 'depot' FROM depot JOIN vert USING (city, node_id)"""
 
+#: pool (city, node_id): the workplaces.
+WORKS = _COMMUTERS[: _COMMUTERS.index(",\nwk AS (")]
+RUN_STOPS = """
+most AS (SELECT instance_id, max(list_max(route)) AS top FROM route WHERE instance_id IS NOT NULL GROUP BY instance_id HAVING max(list_max(route)) > 0),
+m AS (SELECT run_id, min(node) AS mn, max(node) AS mx, count(DISTINCT node) AS cd FROM cust_ GROUP BY run_id),
+r AS (SELECT route.*, coalesce(mn >= 1 AND mx <= top AND (cd = top OR mn < 2), false) AS places, coalesce(mn >= 2 AND mx <= top + 1, false) AS ids, top FROM route JOIN m USING (run_id) LEFT JOIN most USING (instance_id) WHERE instance_id IS NOT NULL),
+x AS (SELECT *, CASE WHEN top IS NULL THEN 'no depot' WHEN NOT places AND NOT ids THEN 'unknown node' END AS problem FROM r)
+SELECT run_id, CAST(route_idx AS BIGINT) AS route_idx, problem, CAST(generate_subscripts(route, 1) - 1 AS BIGINT) AS place, CAST(unnest(route) + CASE WHEN places THEN 1 ELSE 0 END AS BIGINT) AS node FROM x WHERE problem IS NULL
+UNION ALL SELECT run_id, route_idx, problem, NULL, NULL FROM x WHERE problem IS NOT NULL"""
+
 ORACLES = {
     "road_crop": CROP,
     "road_graph": f"WITH RECURSIVE {FALLBACK} SELECT city, u, v, class, round(length_m, 3) AS length_m, oi AS only_intersections, tr AS trim FROM built",

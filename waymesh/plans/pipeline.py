@@ -203,6 +203,7 @@ def candidate_lines(road_ways: DataFrame, nodes: DataFrame, need: DataFrame, wan
     """
     from waymesh.operators import geometry
 
+    need = cut(need)
     out, open_ = None, need
     for rank, o in enumerate(candidate_options(wanted)):
         edges = road_graph(road_ways.join(open_.select("city").distinct(), "city", "left_semi"), nodes, o)
