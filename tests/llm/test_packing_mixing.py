@@ -3,6 +3,7 @@
 import random
 from collections import Counter, defaultdict
 from functools import cache
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -24,7 +25,8 @@ def test_optimal_buckets(seed):
             return 0
         return min((least(i, b - 1) + sum((u[j - 1] - u[x]) * n[x] for x in range(i, j)) for i in range(j)), default=0) if b else float("inf")
 
-    bounds = packing.optimal_buckets(np.array(u), np.array(n), k).tolist()
+    pads = lambda i, j: sum((u[j - 1] - u[x]) * n[x] for x in range(i, j))
+    bounds = packing.optimal_buckets(np.array(u), np.array(n), k, pads).tolist()
     assert len(bounds) <= k and bounds == sorted(set(bounds)) and bounds[-1] == u[-1]
     assert sum((min(b for b in bounds if b >= x) - x) * c for x, c in zip(u, n)) == least(len(u), k)
 
@@ -34,10 +36,12 @@ def test_fill_containers(seed):
     r = random.Random(seed)
     sizes = np.array([min(100, 1 + int(r.expovariate(1 / r.choice([5, 30])))) for _ in range(r.choice([1, 40, 3000]))])
     u, n = np.unique(sizes, return_counts=True)
-    c, s = packing.fill_containers(sizes, packing.optimal_buckets(u, n, 9), 100)
+    bounds = packing.least_padding(u, n, 100, 9)
+    b, c, s = packing.fill_containers(sizes, bounds, 100)
     used = np.bincount(c, sizes)
     assert used.max() <= 100 and (used > 0).all() and len(set(zip(c, s))) == len(sizes)
-    assert len(used) == 1 or (used[:-1] + sizes.min() > 50).all()
+    assert len(set(zip(c, b))) == len(used) and (sizes <= bounds[b]).all() and ((b == 0) | (sizes > bounds[b - 1])).all()
+    assert all(sorted(s[c == k]) == list(range((c == k).sum())) for k in range(min(50, len(used))))
     if len(sizes) == 3000:
         assert used.sum() / (100 * len(used)) > 0.98
 
@@ -62,6 +66,43 @@ def test_pack(spark):
     assert packing.pack(spark.createDataFrame([], "item_id long, n_tokens int"), 10).collect() == []
 
 
+@pytest.mark.parametrize("seed", range(5))
+def test_least_padding_over_all_cuts(seed):
+    """No other choice of bounds leaves less space unused when its buckets are batched."""
+    r = random.Random(seed)
+    u = np.array(sorted(r.sample(range(1, 41), 7)))
+    n = np.array([r.randint(1, 9) for _ in u])
+    unused = lambda i, j: sum(k for k, _ in packing.batches(u[i:j], n[i:j], 40)) * 40 - int((u[i:j] * n[i:j]).sum())
+    bounds = packing.least_padding(u, n, 40, 3)
+    at = [0, *(np.searchsorted(u, bounds, "right"))]
+    least = min(sum(unused(a, z) for a, z in zip((0, *c), (*c, 7))) for k in range(3) for c in combinations(range(1, 7), k))
+    assert sum(unused(a, z) for a, z in zip(at, at[1:])) == least
+
+
+def test_batches_take_all_items_once():
+    r = random.Random(3)
+    u = np.array(sorted(r.sample(range(1, 513), 200)))
+    n = np.array([r.randint(1, 500) for _ in u])
+    got = np.zeros(200, int)
+    for alike, batch in packing.batches(u, n, 512):
+        assert alike > 0 and sum(u[i] * k for i, k in batch) <= 512
+        for i, k in batch:
+            got[i] += alike * k
+    assert (got == n).all()
+
+
+def test_report_and_kinds(spark):
+    df = spark.createDataFrame([(i, 1 + i % 90) for i in range(3000)], "item_id long, n_tokens int")
+    packed = packing.pack_kinds(df, [("a", 50), ("b", 1000)], 4, 800).cache()
+    report = packing.fill_report(packed).orderBy("bin_kind").collect()
+    total = sum(1 + i % 90 for i in range(3000))
+    assert [(x.bin_kind, x.tokens) for x in report] == [("a", total), ("b", total)] and all(x.used_share > 0.9 and x.padding == x.n_containers * x.capacity_tokens - total for x in report)
+    assert packed.where("container_id IS NOT NULL").groupBy("bin_kind", "container_id").agg(F.countDistinct("bucket").alias("k")).where("k > 1").count() == 0
+    assert packing.pack_kinds(df, []).collect() == []
+    with pytest.raises(ValueError):
+        packing.pack_kinds(df, [("a", 0)])
+
+
 def test_tokens(spark):
     df = spark.createDataFrame([(1, None, 0), (2, "", 0), (3, "a b  c" * 20000, 0)], "i int, text string, n_tokens int").select("i", "text")
     got = {r.i: r.n_tokens for r in tokens.with_token_count(df, "text", ["i"]).collect()}

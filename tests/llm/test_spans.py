@@ -70,3 +70,28 @@ def test_one_record_given_twice(spark):
 def test_sliding_least(w):
     v = np.random.default_rng(w).integers(0, 99, 40).astype(np.uint64)
     assert spans.sliding_least(v, w).tolist() == [min(v[i : i + w]) for i in range(41 - w)]
+
+
+@pytest.mark.parametrize("subtree", [20_000, 50])
+def test_header_in_a_third_of_the_records(spark, subtree):
+    r = random.Random(5)
+    word = lambda k: "".join(r.choice("abcdefgh ") for _ in range(k))
+    header, phrase = word(60), word(25)
+    docs = [(d, (header if d % 3 == 0 else "") + word(r.randint(0, 30)) + (phrase + word(r.randint(0, 9)) if d % 2 else "")) for d in range(900)]
+    found = spans.merged_spans(spans.shared_stretches(spark.createDataFrame(docs, "doc_id long, text string").repartition(7), 20, subtree=subtree))
+    assert sorted(tuple(x) for x in found.collect()) == brute(docs, 20)
+
+
+def test_two_texts_under_one_id(spark):
+    a, b = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    docs = spark.createDataFrame([(1, a), (1, b * 4), (2, a + b)], "doc_id long, text string")
+    found = {(x.doc_id, x.start, x.end) for x in spans.shared_stretches(docs, 20).collect()}
+    assert {(2, 0, 26), (1, 0, 26)} <= {(d, s, e) for d, s, e in ((x.doc_id, x.span_start, x.span_start + x.span_len) for x in spans.merged_spans(spans.shared_stretches(docs, 20)).collect())} and found
+
+
+def test_suffix_array():
+    group = np.array([1, 1, 1, 2, 2])
+    texts = ["abc", "ab", "abd", "abc", "x😀"]
+    order, common = spans.suffix_array(group, texts)
+    assert order.tolist() == [1, 0, 2, 3, 4] and common.tolist() == [-1, 2, 2, -1, 0]
+    assert [len(x) for x in spans.suffix_array(np.empty(0, np.int64), [])] == [0, 0]

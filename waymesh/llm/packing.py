@@ -60,12 +60,12 @@ def batches(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> list[tupl
 def optimal_buckets(lengths: np.ndarray, counts: np.ndarray, buckets: int, padding: Callable[[int, int], float]) -> np.ndarray:
     """Ascending upper bounds of at most so many buckets over all lengths with the least total padding, of equals the most buckets.
 
-    lengths ascend and are distinct; padding(i, j) is that of a bucket with the lengths i..j-1. Bounds are among CUTS cuts at
-    equal shares of all tokens, beside the half and all of the longest length, so at most CUTS * (CUTS + 3) / 2 + 6 paddings are asked for.
+    lengths ascend and are distinct; padding(i, j) is that of a bucket with the lengths i..j-1. Up to CUTS lengths every one may be a
+    bound; of more, bounds are among CUTS cuts at equal shares of all tokens, beside the half and all of the longest length, so at most CUTS * (CUTS + 3) / 2 + 6 paddings are asked for.
     """
     n = len(lengths)
     share = np.cumsum(lengths * counts)
-    cuts = np.unique(np.concatenate([[0, n], np.searchsorted(share, share[-1] * np.arange(1, CUTS) / CUTS) + 1, [np.searchsorted(lengths, lengths[-1] / 2, "right"), n - 1]]))
+    cuts = np.arange(n + 1) if n <= CUTS else np.unique(np.concatenate([[0, n], np.searchsorted(share, share[-1] * np.arange(1, CUTS) / CUTS) + 1, [np.searchsorted(lengths, lengths[-1] / 2, "right"), n - 1]]))
     cost = {(a, z): padding(int(cuts[a]), int(cuts[z])) for z in range(1, len(cuts)) for a in range(z)}
     best: list[list[tuple[float, int]]] = [[(0.0, -1)] + [(np.inf, -1)] * (len(cuts) - 1)]
     for _ in range(min(buckets, len(cuts) - 1)):
