@@ -171,19 +171,20 @@ def _sweeper(rules: list[tuple[str, int, int, float]], reach: list[float]):
     return run
 
 
-def near_pairs(sets: dict[str, DataFrame], rules: list[Near]) -> DataFrame:
+def near_pairs(sets: dict[str, DataFrame], rules: list[Near], bounds: np.ndarray | None = None) -> DataFrame:
     """Distinct (kind, first_id, second_id, metres) of all pairs of points that a rule of their sets admits.
 
     sets: usable() points (id, lat, lon) by name. Within one set the smaller id comes first and a point is never paired with
     itself; between two sets left comes first. An id at several places counts with its least distance. Rows repeated in a set
     count once. Empty sets give no pairs. Points at the antimeridian and around the poles meet across them. Coincident
-    points are not a special case: their pairs are the result, so its size is the only thing that grows.
+    points are not a special case: their pairs are the result, so its size is the only thing that grows. bounds: those of
+    strip_bounds(), where they are known.
     """
     names = list(sets)
     reach = [max([r.limit_m for r in rules if n in (r.left, r.right)], default=0.0) for n in names]
     coded = [df.select(F.lit(i).cast("int").alias("set"), "id", "lat", "lon") for i, df in enumerate(sets.values())]
     points = reduce(DataFrame.unionByName, coded)
-    bounds = strip_bounds(points)
+    bounds = strip_bounds(points) if bounds is None else bounds
     placed = points.mapInArrow(_placer(bounds, reach), "strip int, home boolean, set int, id long, lat double, lon double")
     swept = placed.repartitionById(len(bounds) + 1, "strip").sortWithinPartitions("lat", "set", "id", "lon")
     plan = [(r.kind, names.index(r.left), names.index(r.right), float(r.limit_m)) for r in rules]
@@ -205,49 +206,96 @@ def _region_placer(bounds: np.ndarray):
     return run
 
 
-def inside_ring(x: np.ndarray, y: np.ndarray, ring_x: np.ndarray, ring_y: np.ndarray) -> np.ndarray:
-    """Even-odd test of points against a ring with straight edges; closed or not, in either direction."""
-    x2, y2 = np.roll(ring_x, -1), np.roll(ring_y, -1)
-    hit = np.zeros(len(x), bool)
-    step = max(1, CHUNK // max(1, len(ring_x)))
-    for s in range(0, len(x), step):
-        px, py = x[s : s + step, None], y[s : s + step, None]
-        spans = (ring_y > py) != (y2 > py)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            right = px < (x2 - ring_x) * (py - ring_y) / (y2 - ring_y) + ring_x
-        hit[s : s + step] = (spans & right).sum(axis=1) % 2 == 1
+@dataclass
+class _Rings:
+    """Rings as flat arrays: the vertices of ring k are those from first[k], size[k] of them; boxes beside."""
+
+    ids: np.ndarray
+    first: np.ndarray
+    size: np.ndarray
+    x: np.ndarray
+    y: np.ndarray
+    west: np.ndarray
+    east: np.ndarray
+    south: np.ndarray
+    north: np.ndarray
+
+    @staticmethod
+    def of(ids: np.ndarray, lon: pa.ListArray, lat: pa.ListArray) -> _Rings:
+        x, y = lon.flatten().to_numpy(), lat.flatten().to_numpy()
+        size = lon.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        first = np.cumsum(size) - size
+        box = [f.reduceat(v, first) if len(ids) else np.empty(0) for v in (x, y) for f in (np.minimum, np.maximum)]
+        return _Rings(ids, first, size, x, y, *box)
+
+    def where(self, mask: np.ndarray) -> _Rings:
+        at, size = np.repeat(mask, self.size), self.size[mask]
+        return _Rings(self.ids[mask], np.cumsum(size) - size, size, self.x[at], self.y[at], *(v[mask] for v in (self.west, self.east, self.south, self.north)))
+
+    def plus(self, other: _Rings) -> _Rings:
+        both = lambda name: np.concatenate([getattr(self, name), getattr(other, name)])
+        return _Rings(both("ids"), np.concatenate([self.first, other.first + len(self.x)]), *map(both, ("size", "x", "y", "west", "east", "south", "north")))
+
+
+def inside_rings(x: np.ndarray, y: np.ndarray, rings: _Rings, ring: np.ndarray) -> np.ndarray:
+    """Even-odd test of each point against its own ring (place in rings) with straight edges; closed or not, in either direction."""
+    hit = np.empty(len(x), bool)
+    upto = np.concatenate([[0], np.cumsum(rings.size[ring])])
+    lo = 0
+    while lo < len(x):
+        hi = max(lo + 1, int(np.searchsorted(upto, upto[lo] + CHUNK, "right")) - 1)
+        n = rings.size[ring[lo:hi]]
+        pair = np.repeat(np.arange(lo, hi), n)
+        k = np.arange(len(pair)) - np.repeat(upto[lo:hi] - upto[lo], n)
+        r = ring[pair]
+        a, b = rings.first[r] + k, rings.first[r] + np.where(k + 1 < rings.size[r], k + 1, 0)
+        spans = (rings.y[a] > y[pair]) != (rings.y[b] > y[pair])
+        a, b, pair = a[spans], b[spans], pair[spans]
+        right = x[pair] < (rings.x[b] - rings.x[a]) * (y[pair] - rings.y[a]) / (rings.y[b] - rings.y[a]) + rings.x[a]
+        hit[lo:hi] = np.bincount(pair[right] - lo, minlength=hi - lo) % 2 == 1
+        lo = hi
     return hit
 
 
 def _region_sweeper(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Arrow kernel over one strip, sorted by (lat, region first): (region_id, point_id) of containment."""
-    active: list[tuple[int, np.ndarray, np.ndarray]] = []
+    """Arrow kernel over one strip, sorted by (lat, region first): (region_id, point_id) of containment.
+
+    Points are ordered by longitude, so the rings that are open find the points between their west and east ends by search, all at once.
+    """
+    kind = pa.list_(pa.float64())
+    open_ = _Rings.of(np.empty(0, np.int64), pa.array([], kind), pa.array([], kind))
     for b in batches:
-        is_region = b["ring_lon"].is_valid().to_numpy(zero_copy_only=False)
-        ids, lat, lon = (b[c].to_numpy() for c in ("id", "lat", "lon"))
-        for i in np.flatnonzero(is_region):
-            active.append((int(ids[i]), np.asarray(b["ring_lon"][i].as_py()), np.asarray(b["ring_lat"][i].as_py())))
-        at = np.flatnonzero(~is_region)
-        if not len(at):
+        if not b.num_rows:
             continue
-        at = at[np.argsort(lon[at], kind="stable")]
-        x, y = lon[at], lat[at]
-        for zone, rx, ry in active:
-            lo, hi = np.searchsorted(x, rx.min(), "left"), np.searchsorted(x, rx.max(), "right")
-            near = np.arange(lo, hi)[(y[lo:hi] >= ry.min()) & (y[lo:hi] <= ry.max())]
-            if len(near):
-                near = near[inside_ring(x[near], y[near], rx, ry)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(near), zone)), pa.array(ids[at[near]])], ["region_id", "point_id"])
-        active = [z for z in active if z[2].max() >= lat[-1]]
-
-
-def regions_of_points(points: DataFrame, regions: DataFrame, key: str, ring: str) -> DataFrame:
+        is_region = b["ring_lon"].is_valid()
+        ids, lat, lon = (b[c].to_numpy() for c in ("id", "lat", "lon"))
+        region = is_region.to_numpy(zero_copy_only=False)
+        if region.any():
+            come = b.filter(is_region)
+            open_ = open_.plus(_Rings.of(ids[region], come["ring_lon"], come["ring_lat"]))
+        at = np.flatnonzero(~region)
+        if len(at) and len(open_.ids):
+            at = at[np.argsort(lon[at], kind="stable")]
+            x, y = lon[at], lat[at]
+            near = np.flatnonzero((open_.north >= y.min()) & (open_.south <= y.max()))
+            first, last = np.searchsorted(x, open_.west[near], "left"), np.searchsorted(x, open_.east[near], "right")
+            for r, p in _spread(first, last):
+                ring = near[r]
+                tall = (y[p] >= open_.south[ring]) & (y[p] <= open_.north[ring])
+                ring, p = ring[tall], p[tall]
+                held = inside_rings(x[p], y[p], open_, ring)
+                yield pa.RecordBatch.from_arrays([pa.array(open_.ids[ring[held]], pa.int64()), pa.array(ids[at[p[held]]], pa.int64())], ["region_id", "point_id"])
+        open_ = open_.where(open_.north >= lat[-1])
+
+
+def regions_of_points(points: DataFrame, regions: DataFrame, key: str, ring: str, bounds: np.ndarray | None = None) -> DataFrame:
     """Distinct (region_id, point_id) where the point lies in the ring (ARRAY of STRUCT with lon and lat).
 
     Edges are straight in lon/lat; rings do not wrap at the antimeridian. A region without key, with fewer than three
-    vertices or with any missing coordinate holds nothing. A region goes to every strip that its latitudes meet.
+    vertices or with any missing coordinate holds nothing. A region goes to every strip that its latitudes meet. bounds: those of
+    strip_bounds(), where they are known.
     """
-    bounds = strip_bounds(points)
+    bounds = strip_bounds(points) if bounds is None else bounds
     xs, ys = F.col(f"{ring}.lon"), F.col(f"{ring}.lat")
     whole = (F.size(ring) >= 3) & ~F.exists(xs, lambda v: v.isNull() | F.isnan(v)) & ~F.exists(ys, lambda v: v.isNull() | F.isnan(v))
     zones = regions.where(F.col(key).isNotNull() & whole).select(F.col(key).cast("long").alias("id"), F.array_min(ys).alias("lat"), F.lit(0.0).alias("lon"), F.array_max(ys).alias("top"), xs.alias("ring_lon"), ys.alias("ring_lat"))

@@ -14,8 +14,9 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     poi = proximity.usable(table(spark, sf, "poi"), "poi_id")
     node = proximity.usable(table(spark, sf, "osm_node"), "id")
     rules = [proximity.Near("poi_poi", "poi", "poi", 100.0), proximity.Near("poi_node", "poi", "node", 25.0)]
-    pairs = proximity.near_pairs({"poi": poi, "node": node}, rules).select("kind", "first_id", "second_id")
-    held = proximity.regions_of_points(poi, table(spark, sf, "city_zone"), "zone_id", "ring")
+    bounds = proximity.strip_bounds(poi.unionByName(node))
+    pairs = proximity.near_pairs({"poi": poi, "node": node}, rules, bounds).select("kind", "first_id", "second_id")
+    held = proximity.regions_of_points(poi, table(spark, sf, "city_zone"), "zone_id", "ring", bounds)
     return pairs.unionByName(held.select(F.lit("poi_zone").alias("kind"), F.col("region_id").alias("first_id"), F.col("point_id").alias("second_id")))
 
 
