@@ -355,7 +355,7 @@ def volume_delay(spark: SparkSession, sf: str) -> DataFrame:
 def _works(spark: SparkSession, sf: str, spots: DataFrame) -> DataFrame:
     """The workplaces of each bridge graph: its vertices with a POI, or all."""
     on = poi_snap(spark, sf).select("node_id").distinct()
-    return traffic.work_pool(spots, spots.join(on, "node_id", "left_semi"))
+    return cut(traffic.work_pool(spots, spots.join(on, "node_id", "left_semi")))
 
 
 def commuter_trips(spark: SparkSession, sf: str) -> DataFrame:

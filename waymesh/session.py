@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,7 +26,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The folder checkpoints go to: the session's, or, only in local mode where none is set, an own temporary one."""
+    """The folder checkpoints go to: the session's, or, only in local mode where none is set, an own temporary one that goes with the process."""
     sc = spark.sparkContext
     have = sc.getCheckpointDir() if hasattr(sc, "getCheckpointDir") else None
     if have:
@@ -34,6 +36,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         if not sc.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         conf = tempfile.mkdtemp(prefix="waymesh-ck-")
+        atexit.register(shutil.rmtree, conf, ignore_errors=True)
     sc.setCheckpointDir(conf)
     return conf
 
