@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from waymesh.functions import geo
 from waymesh.functions.scalars import DEMAND_BANDS, ROUTE_SIZE_BANDS, capacity_for, uniform, whole_between
+from waymesh.operators.graph import numbered_by
 
 
 def first_n(df: DataFrame, by: list[str], order: list[Column | str], n: Column | int) -> DataFrame:
@@ -91,21 +92,23 @@ def demands(customers: DataFrame, kind: int, band: int, seed: int) -> DataFrame:
     """customers (city, i from 1, lat, lon) with demand and route_size.
 
     Kinds: 1 unit; 2 to 5 uniform in a band; 6 large (51..100) in the quadrants south-west and north-east of the mean, else 1..50;
-    7 a few bulky (50..100), about 1.5 * n / route_size of them, in random order, the rest 1..10.
+    7 a few bulky (50..100), about 1.5 * n / route_size of them, in random order, the rest 1..10. Kinds 6 and 7 leave out customers
+    without city.
     """
     key = (F.col("city"), F.col("i"))
     u = uniform(seed, f"demand{kind}", *key)
-    by_city = Window.partitionBy("city")
     sized = customers.withColumn("route_size", route_size(seed, F.col("city"), band))
     if kind == 6:
-        south, west = F.col("lat") < F.avg("lat").over(by_city), F.col("lon") < F.avg("lon").over(by_city)
+        mean = customers.groupBy("city").agg(F.avg("lat").alias("_y"), F.avg("lon").alias("_x"))
+        south, west = F.col("lat") < F.col("_y"), F.col("lon") < F.col("_x")
         d = F.when(south == west, whole_between(51, 100, u)).otherwise(whole_between(1, 50, u))
-    elif kind == 7:
-        rank = F.row_number().over(by_city.orderBy(uniform(seed, "bulky", *key), "i"))
-        d = F.when(rank < F.count(F.lit(1)).over(by_city) / F.col("route_size") * 1.5, whole_between(50, 100, u)).otherwise(whole_between(1, 10, u))
-    else:
-        d = whole_between(*DEMAND_BANDS[kind], u)
-    return sized.withColumn("demand", d)
+        return sized.join(mean, "city").withColumn("demand", d).drop("_y", "_x")
+    if kind == 7:
+        many = customers.groupBy("city").agg(F.count(F.lit(1)).alias("_n"))
+        ranked = numbered_by(sized.withColumn("_u", uniform(seed, "bulky", *key)), "city", ["_u", "i"], start=1, name="_rank").join(many, "city")
+        d = F.when(F.col("_rank") < F.col("_n") / F.col("route_size") * 1.5, whole_between(50, 100, u)).otherwise(whole_between(1, 10, u))
+        return ranked.withColumn("demand", d).drop("_u", "_rank", "_n")
+    return sized.withColumn("demand", whole_between(*DEMAND_BANDS[kind], u))
 
 
 def fleet(with_demand: DataFrame) -> DataFrame:

@@ -35,11 +35,17 @@ def route_pairs(routes: DataFrame) -> DataFrame:
 
 
 def set_differences(things: DataFrame, versus: DataFrame, name: str) -> DataFrame:
-    """(candidate, reference, <name>_added, <name>_removed) of two runs' sets; things: run_id, a, b; versus: candidate, reference."""
-    c = versus.join(things, versus.candidate == things.run_id).select("candidate", "reference", "a", "b", F.lit(1).alias("side"))
-    r = versus.join(things, versus.reference == things.run_id).select("candidate", "reference", "a", "b", F.lit(2).alias("side"))
-    per = c.unionByName(r).groupBy("candidate", "reference", "a", "b").agg(F.sum("side").alias("s"))
-    return per.groupBy("candidate", "reference").agg(F.count_if(F.col("s") == 1).alias(f"{name}_added"), F.count_if(F.col("s") == 2).alias(f"{name}_removed"))
+    """(candidate, reference, <name>_added, <name>_removed) of two runs' sets; things: distinct run_id, a, b; versus: distinct candidate, reference.
+
+    What the two share is counted by a join on (reference, a, b), so a reference that many are compared with is never copied for each of
+    them; the rest follows from the sizes.
+    """
+    size = things.groupBy("run_id").agg(F.count(F.lit(1)).alias("n"))
+    mine = versus.join(things, versus.candidate == things.run_id).select("candidate", "reference", "a", "b")
+    both = mine.join(things.withColumnRenamed("run_id", "reference"), ["reference", "a", "b"]).groupBy("candidate", "reference").agg(F.count(F.lit(1)).alias("_both"))
+    sized = versus.join(size.select(F.col("run_id").alias("candidate"), F.col("n").alias("_c")), "candidate", "left").join(size.select(F.col("run_id").alias("reference"), F.col("n").alias("_r")), "reference", "left")
+    all_ = sized.join(both, ["candidate", "reference"], "left").na.fill(0, ["_c", "_r", "_both"])
+    return all_.select("candidate", "reference", (F.col("_c") - F.col("_both")).alias(f"{name}_added"), (F.col("_r") - F.col("_both")).alias(f"{name}_removed"))
 
 
 def best_references(runs: DataFrame) -> DataFrame:

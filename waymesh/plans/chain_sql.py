@@ -175,7 +175,17 @@ x AS (SELECT *, CASE WHEN top IS NULL THEN 'no depot' WHEN NOT places AND NOT id
 SELECT run_id, CAST(route_idx AS BIGINT) AS route_idx, problem, CAST(generate_subscripts(route, 1) - 1 AS BIGINT) AS place, CAST(unnest(route) + CASE WHEN places THEN 1 ELSE 0 END AS BIGINT) AS node FROM x WHERE problem IS NULL
 UNION ALL SELECT run_id, route_idx, problem, NULL, NULL FROM x WHERE problem IS NOT NULL"""
 
+_RANKED = " UNION ALL ".join(f"SELECT l.city, l.place, {k} AS rank, t.hops + 1 AS points FROM legs l JOIN t{k} t ON t.city = l.city AND t.source = l.source AND t.node = l.target" for k in range(4))
+_DEPOT_SOURCES = "SELECT city, source FROM depot"
+CANDIDATES = f"""WITH RECURSIVE {FALLBACK}, spot_ AS (SELECT DISTINCT city, node_id, lat, lon FROM step),
+aim AS (SELECT city, avg(lat) AS y, avg(lon) AS x FROM spot_ GROUP BY city), depot AS (SELECT spot_.city, arg_min(node_id, (round({_HAV}, 6), node_id)) AS source FROM spot_ JOIN aim ON aim.city = spot_.city GROUP BY spot_.city),
+legs AS (SELECT a.city, d.source, a.node_id AS target, row_number() OVER (PARTITION BY a.city ORDER BY {u('random', 'a.node_id')}, a.node_id) AS place FROM spot_ a JOIN depot d ON d.city = a.city WHERE a.node_id <> d.source QUALIFY place <= 8),
+g0 AS (SELECT city, u, v, length_m AS w FROM sg_t), g1 AS (SELECT city, u, v, length_m AS w FROM edge_t), g2 AS (SELECT city, u, v, length_m AS w FROM sg_f), g3 AS (SELECT city, u, v, length_m AS w FROM edge),
+{', '.join(trees(f't{k}', _DEPOT_SOURCES, f'g{k}') for k in range(4))}
+SELECT city, place AS to_node, rank, CAST(points AS INT) AS points FROM ({_RANKED}) QUALIFY row_number() OVER (PARTITION BY city, place ORDER BY rank) = 1"""
+
 ORACLES = {
+    "candidate_lines": CANDIDATES,
     "road_crop": CROP,
     "road_graph": f"WITH RECURSIVE {FALLBACK} SELECT city, u, v, class, round(length_m, 3) AS length_m, oi AS only_intersections, tr AS trim FROM built",
     "trimmed_sidecar": f"""WITH RECURSIVE {BRIDGE}, {TIMED}, {USED}, ids AS (SELECT city, id, row_number() OVER (PARTITION BY city ORDER BY id) - 1 AS k FROM (SELECT city, u AS id FROM used UNION SELECT city, v FROM used))
