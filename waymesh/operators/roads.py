@@ -81,12 +81,17 @@ def full_edges(pathed: DataFrame) -> DataFrame:
     return edges.groupBy("city", F.col("e.u").alias("u"), F.col("e.v").alias("v")).agg(F.max_by("class", place).alias("class"), F.min("length_m").alias("length_m"), F.min(place).alias("first_pos"))
 
 
-def intersections(pathed: DataFrame) -> DataFrame:
-    """(city, node_id) of nodes that end a road or lie inside roads at least twice."""
+def node_roles(pathed: DataFrame) -> DataFrame:
+    """(city, node_id, crossing) of every node on a road: whether it ends a road or lies inside roads at least twice."""
     seen = pathed.select("city", F.posexplode("path").alias("i", "p"), F.size("path").alias("n"))
     ends = (F.col("i") == 0) | (F.col("i") == F.col("n") - 1)
     per = seen.groupBy("city", F.col("p.node_id").alias("node_id")).agg(F.max(ends).alias("end"), F.sum((~ends).cast("int")).alias("inside"))
-    return per.where(F.col("end") | (F.col("inside") >= 2)).select("city", "node_id")
+    return per.select("city", "node_id", (F.col("end") | (F.col("inside") >= 2)).alias("crossing"))
+
+
+def intersections(pathed: DataFrame) -> DataFrame:
+    """(city, node_id) of nodes that end a road or lie inside roads at least twice."""
+    return node_roles(pathed).where("crossing").select("city", "node_id")
 
 
 def segments(pathed: DataFrame, crossings: DataFrame) -> DataFrame:

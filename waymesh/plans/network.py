@@ -166,12 +166,11 @@ def _pois(spark: SparkSession, sf: str) -> DataFrame:
 
 def poi_snap(spark: SparkSession, sf: str) -> DataFrame:
     """Each POI's nearest road node in the 100 m box, if that node is a vertex."""
-    p = _paths(spark, sf)
-    used = p.select("city", F.explode("path.node_id").alias("node_id")).distinct()
+    roles = cut(roads.node_roles(_paths(spark, sf)))
     n = _nodes(spark, sf)
     box = roads.city_bounds(n)
-    on = nearest.in_city_frame(used.join(n.select("node_id", "lat", "lon"), "node_id"), box)
-    snapped = nearest.snapped(nearest.in_city_frame(_pois(spark, sf), box), on, roads.intersections(p))
+    on = nearest.in_city_frame(roles.select("city", "node_id").join(n.select("node_id", "lat", "lon"), "node_id"), box)
+    snapped = nearest.snapped(nearest.in_city_frame(_pois(spark, sf), box), on, roles.where("crossing"))
     return snapped.select("city", "point_id", "node_id", F.round(F.sqrt("d2"), 3).alias("metres"))
 
 
@@ -354,7 +353,7 @@ def volume_delay(spark: SparkSession, sf: str) -> DataFrame:
 
 def _works(spark: SparkSession, sf: str, spots: DataFrame) -> DataFrame:
     """The workplaces of each bridge graph: its vertices with a POI, or all."""
-    on = poi_snap(spark, sf).select("node_id").distinct()
+    on = cut(poi_snap(spark, sf).select("node_id").distinct())
     return cut(traffic.work_pool(spots, spots.join(on, "node_id", "left_semi")))
 
 
