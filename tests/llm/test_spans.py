@@ -72,8 +72,10 @@ def test_sliding_least(w):
     assert spans.sliding_least(v, w).tolist() == [min(v[i : i + w]) for i in range(41 - w)]
 
 
-@pytest.mark.parametrize("subtree", [20_000, 50])
-def test_header_in_a_third_of_the_records(spark, subtree):
+@pytest.mark.parametrize("subtree, small", [(20_000, True), (50, False)])
+def test_header_in_a_third_of_the_records(spark, monkeypatch, subtree, small):
+    if not small:
+        monkeypatch.setattr(spans, "broadcast_if_small", lambda df, n: df)
     r = random.Random(5)
     word = lambda k: "".join(r.choice("abcdefgh ") for _ in range(k))
     header, phrase = word(60), word(25)
@@ -95,3 +97,10 @@ def test_suffix_array():
     order, common = spans.suffix_array(group, texts)
     assert order.tolist() == [1, 0, 2, 3, 4] and common.tolist() == [-1, 2, 2, -1, 0]
     assert [len(x) for x in spans.suffix_array(np.empty(0, np.int64), [])] == [0, 0]
+
+
+def test_hot_join(spark):
+    many = spark.createDataFrame([(1, i) for i in range(600)] + [(k, k) for k in range(2, 2000)], "k long, v long")
+    few = many.groupBy("k").count().where("k % 2 = 1")
+    got = spans._hot_join(many, few, ["k"], "count", many.count())
+    assert sorted(map(tuple, got.select("k", "v").collect())) == sorted((k, v) for k, v in map(tuple, many.collect()) if k % 2)

@@ -29,8 +29,8 @@ from waymesh.session import broadcast_if_small, cut
 
 #: Characters hashed at a time (at most 2**24); distinct bodies of a subtree that is built in memory.
 CHUNK_CHARS, SUBTREE = 1_000_000, 20_000
-#: A key with at least this share of all rows is joined without a shuffle: there are at most so many of them.
-HOT_KEYS = 1_000
+#: A key with this part of all rows or more is hot (there are at most so many of them); salts that spread the rows of a hot key.
+HOT_KEYS, SALTS = 1_000, 64
 
 _BASE, _ADD = np.uint64(0x9E3779B97F4A7C15 | 1), np.uint64(0xD1B54A32D192ED03)
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -256,14 +256,15 @@ def _subtree_kernel(least: int, size: int):
 
 
 def _hot_join(many: DataFrame, few: DataFrame, keys: list[str], size: str, total: int) -> DataFrame:
-    """many joined with few (unique by keys; size: the rows of many that have them) without shuffling a hot key.
+    """many joined with few (unique by keys; size: the rows of many that have them), the rows of hot keys spread by a salt, in one pass over many.
 
-    Keys with a HOT_KEYS-th of all rows or more, at most HOT_KEYS of them, are broadcast; the others have no hot key left.
+    Hot are keys with a HOT_KEYS-th of all rows or more: at most HOT_KEYS, so they are broadcast; their rows of few are repeated for each salt.
     """
-    hot = few.where(F.col(size) * HOT_KEYS >= F.lit(max(total, HOT_KEYS)))
-    rest = few.where(F.col(size) * HOT_KEYS < F.lit(max(total, HOT_KEYS)))
-    cold = many.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
-    return many.join(F.broadcast(hot), keys).unionByName(cold.join(rest, keys))
+    hot = F.broadcast(few.where(F.col(size) * HOT_KEYS >= F.lit(max(total, HOT_KEYS))).select(*keys, F.lit(True).alias("_hot")))
+    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(*many.columns), F.lit(SALTS))).otherwise(F.lit(0).cast("long")).alias("_salt")
+    salts = F.when(F.col("_hot"), F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))
+    spread = many.join(hot, keys, "left").select(*many.columns, salt)
+    return spread.join(few.join(hot, keys, "left").select(*few.columns, F.explode(salts).alias("_salt")), [*keys, "_salt"]).drop("_salt")
 
 
 def _halves(leaves: DataFrame, least: int) -> DataFrame:
