@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 from waymesh.functions.scalars import DEMAND_BANDS, FREE_KMH
-from waymesh.plans.network_sql import _COMMUTERS, _POI, BRIDGE, EDGES, N, ROADS, SEGMENTS, STOPS, between, case, frame, g, u, wave
+from waymesh.plans.network_sql import _COMMUTERS, _POI, BRIDGE, EDGES, N, ROADS, SEGMENTS, STEPS, STOPS, between, case, frame, g, u, wave
 
 TIMED = f"te AS (SELECT city, u, v, class, length_m, length_m * 3.6 / {case(FREE_KMH, 'class')} AS w FROM be), le AS (SELECT city, u, v, length_m AS w FROM be), ve AS (SELECT city, v AS u, u AS v, w FROM te)"
 
@@ -186,6 +186,7 @@ SELECT city, place AS to_node, rank, CAST(points AS INT) AS points FROM ({_RANKE
 
 ORACLES = {
     "candidate_lines": CANDIDATES,
+    "road_parallel_min": f"WITH RECURSIVE {STEPS}, {SEG('_f')} SELECT city, u, v, class, round(length_m, 3) AS length_m FROM sg_f",
     "road_crop": CROP,
     "road_graph": f"WITH RECURSIVE {FALLBACK} SELECT city, u, v, class, round(length_m, 3) AS length_m, oi AS only_intersections, tr AS trim FROM built",
     "trimmed_sidecar": f"""WITH RECURSIVE {BRIDGE}, {TIMED}, {USED}, ids AS (SELECT city, id, row_number() OVER (PARTITION BY city ORDER BY id) - 1 AS k FROM (SELECT city, u AS id FROM used UNION SELECT city, v FROM used))

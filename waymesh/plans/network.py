@@ -77,7 +77,7 @@ def road_segments(spark: SparkSession, sf: str) -> DataFrame:
 def road_parallel_min(spark: SparkSession, sf: str) -> DataFrame:
     """The shortest of parallel stretches."""
     p = _paths(spark, sf)
-    return roads.shortest_parallel(roads.segments(p, roads.intersections(p))).select("city", "u", "v", F.round("length_m", 3).alias("length_m"))
+    return roads.shortest_parallel(roads.segments(p, roads.intersections(p))).select("city", "u", "v", "class", F.round("length_m", 3).alias("length_m"))
 
 
 def road_crop(spark: SparkSession, sf: str) -> DataFrame:
@@ -293,7 +293,8 @@ def route_checks(spark: SparkSession, sf: str) -> DataFrame:
 def route_coverage(spark: SparkSession, sf: str) -> DataFrame:
     """Customers missing, repeated or unknown in each run."""
     s = _stops(spark, sf)
-    return schedules.coverage(_runs(s).where("NOT (run = 'b' AND route_idx = 2)"), s)
+    more = s.select("city").distinct().select("city", F.lit("a").alias("run"), F.lit(9).alias("route_idx"), F.expr("array(1L, 1L, 99L)").alias("route"))
+    return schedules.coverage(_runs(s).where("NOT (run = 'b' AND route_idx = 2)").unionByName(more), s)
 
 
 def nearest_tours(spark: SparkSession, sf: str) -> DataFrame:

@@ -225,7 +225,9 @@ c AS (SELECT *, CAST(CASE WHEN n < 2 THEN greatest(most, w) ELSE least(greatest(
     "waiting_times": f"WITH {STOPS} SELECT city, run, route_idx, leg, t AS node, arrival, begin FROM beg",
     "route_checks": f"""WITH {STOPS}, s AS (SELECT city, run, route_idx, CAST(sum(CASE WHEN t <> 0 THEN demand END) AS BIGINT) AS load, count(*) FILTER (WHERE t <> 0 AND begin > latest) AS late_stops, CAST(sum(cost) AS DOUBLE) AS cost, max(CASE WHEN t = 0 THEN begin END) AS returned FROM beg GROUP BY ALL)
 SELECT *, load <= 40 AND late_stops = 0 AND returned <= 86400 AS ok FROM s""",
-    "route_coverage": f"WITH {STOPS}, v AS (SELECT * FROM visit WHERE NOT (run = 'b' AND route_idx = 2)) SELECT s.city, r.run, count(*) FILTER (WHERE v.node IS NULL) AS missing, CAST(0 AS BIGINT) AS repeated, CAST(0 AS BIGINT) AS unknown FROM stop s CROSS JOIN (VALUES ('a'), ('b')) r(run) LEFT JOIN v ON v.city = s.city AND v.run = r.run AND v.node = s.node WHERE s.node <> 0 GROUP BY ALL",
+    "route_coverage": f"""WITH {STOPS}, v AS (SELECT city, run, node FROM visit WHERE NOT (run = 'b' AND route_idx = 2) UNION ALL SELECT city, 'a', x FROM (SELECT DISTINCT city FROM stop), (VALUES (1), (1), (99)) t(x)),
+seen AS (SELECT city, run, node, count(*) AS k FROM v GROUP BY ALL), want AS (SELECT DISTINCT s.city, r.run, s.node FROM stop s JOIN (SELECT DISTINCT city, run FROM v) r ON r.city = s.city WHERE s.node <> 0)
+SELECT city, run, count(*) FILTER (WHERE k IS NULL) AS missing, count(*) FILTER (WHERE k > 1) AS repeated, count(*) FILTER (WHERE w IS NULL) AS unknown FROM (SELECT *, 1 AS w FROM want) FULL JOIN seen USING (city, run, node) GROUP BY ALL""",
     "service_times": f"WITH {STOPS}, {SERVICE} SELECT city, node, srv AS service FROM srv",
     "windows_reachable_interval": f"""WITH {STOPS}, {SERVICE}, w AS (SELECT *, CAST({width('reachable_interval')} AS BIGINT) AS w, t AS lo, 86400 - srv - k AS hi FROM tb),
 c AS (SELECT *, CASE WHEN lo + w // 2 > hi - w // 2 THEN (lo + hi) // 2 ELSE CAST(lo + w // 2 + floor({u('center', 'city', 'node')} * (hi - w // 2 - lo - w // 2 + 1)) AS BIGINT) END - w // 2 AS s FROM w),
