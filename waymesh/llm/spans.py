@@ -19,6 +19,7 @@ prefix with the windows that name it, at most L - k + 1 of them, is an anchor; i
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +44,12 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+@cache
+def _of_code() -> np.ndarray:
+    """The scrambled number of every code point."""
+    return _mix(np.arange(0x110000, dtype=np.uint64) + _ADD)
+
+
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers 0..n of the base and of its inverse modulo 2**64."""
     size = 1 << max(10, n.bit_length())
@@ -74,10 +81,14 @@ def anchors_of(codes: np.ndarray, text_of: np.ndarray, least: int, k: int) -> tu
         return none
     up, down = _powers(n + 1)
     total = np.zeros(n + 1, np.uint64)
-    np.cumsum(_mix(codes.astype(np.uint64) + _ADD) * up[:n], out=total[1:])
-    prefix = _mix((total[k:] - total[:-k]) * down[: n - k + 1])
+    np.cumsum(_of_code()[codes] * up[:n], out=total[1:])
+    prefix = total[k:] - total[:-k]
+    prefix *= down[: n - k + 1]
+    prefix = _mix(prefix)
     place = np.uint64(0xFFFFFF)
-    chosen = (sliding_least((prefix & ~place) | np.arange(len(prefix), dtype=np.uint64), least - k + 1) & place).astype(np.int64)
+    ranked = prefix & ~place
+    ranked |= np.arange(len(prefix), dtype=np.uint64)
+    chosen = (sliding_least(ranked, least - k + 1) & place).astype(np.int64)
     at = np.flatnonzero(text_of[: n - least + 1] == text_of[least - 1 :])
     if not len(at):
         return none
