@@ -59,6 +59,13 @@ def paths(roads: DataFrame, nodes: DataFrame, removed: DataFrame | None = None)
     return steps.groupBy("city", "way_id", "class", "one_way", "backward").agg(path)
 
 
+def without(pathed: DataFrame, removed: DataFrame) -> DataFrame:
+    """paths() without the removed nodes (city, node_id), whose neighbours become adjacent; a road that loses all its nodes drops out."""
+    keys = ["city", "way_id", "class", "one_way", "backward"]
+    steps = pathed.select(*keys, F.explode("path").alias("p")).select("*", F.col("p.node_id").alias("node_id"))
+    return steps.join(removed, ["city", "node_id"], "left_anti").groupBy(*keys).agg(F.array_sort(F.collect_list("p")).alias("path"))
+
+
 def _length(a: Column, b: Column) -> Column:
     return geo.span3((a["x"], a["y"], a["z"]), (b["x"], b["y"], b["z"]))
 

@@ -33,10 +33,11 @@ def road_graph(road_ways: DataFrame, nodes: DataFrame, options: Options = Option
     """
     pathed = roads.paths(road_ways, nodes)
     if options.trim:
+        pathed = cut(pathed)
         full = roads.full_edges(pathed)
         ends = full.select("city", F.explode(F.array("u", "v")).alias("node_id")).distinct()
         removed = cut(ends.join(graph.largest_component(full), ["city", "node_id"], "left_anti"))
-        pathed = roads.paths(road_ways, nodes, removed)
+        pathed = roads.without(pathed, removed)
     if not options.only_intersections:
         return roads.full_edges(pathed)
     return roads.shortest_parallel(roads.segments(pathed, roads.intersections(pathed)))
