@@ -2,9 +2,10 @@
 
 import random
 from datetime import datetime
-from itertools import pairwise
+from itertools import combinations, pairwise
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -380,6 +381,48 @@ def test_solutions(spark):
     assert [r.run_id for r in solutions.recent(runs, 2, objective_function="MonoCost").collect()] == ["a", "b"]
 
 
+RUN = "run_id string, instance_id string, cost double, objective_function string, metric string, valid boolean, routes array<array<int>>"
+
+
+def _changes(c, r):
+    """Edges and pairs that c adds to r and leaves out, by sets."""
+    found = []
+    for routes in (c, r):
+        own = [[x for x in route or [] if x] for route in routes or []]
+        found.append(({e for x in own if x for e in pairwise([0, *x, 0])}, {p for x in own for p in combinations(sorted(set(x)), 2)}))
+    (ce, cp), (re, rp) = found
+    return (len(ce - re), len(re - ce), len(cp - rp), len(rp - cp))
+
+
+def _random_routes(draw):
+    if draw.random() < 0.3:
+        nodes = draw.sample(range(1, 15), 14)
+        return [nodes[k::3] for k in range(3)]
+    return None if draw.random() < 0.1 else [None if draw.random() < 0.1 else [draw.choice([None, 0, -3, 2**31 - 1, *range(1, 9)]) for _ in range(draw.randrange(7))] for _ in range(draw.randrange(5))]
+
+
+def test_compared_routes_by_brute_force(spark):
+    draw = random.Random(5)
+    runs = {f"r{k:03}": _random_routes(draw) for k in range(60)}
+    df = spark.createDataFrame([(k, "i", 10.0, "MonoCost", None, True, x) for k, x in runs.items()], RUN)
+    versus = spark.createDataFrame([(k, r) for k in runs for r in ("r000", "r007", "gone")], "candidate string, reference string")
+    want = sorted((k, r, *_changes(runs[k], runs[r])) for k in runs for r in ("r000", "r007"))
+    assert rows(solutions.compared(df, versus, most=7).select("candidate", "reference", "edges_added", "edges_removed", "pairs_added", "pairs_removed")) == want
+    kind = pa.list_(pa.list_(pa.int32()))
+    batch = pa.RecordBatch.from_arrays([pa.array([k for k, _, *_ in want]), pa.array([runs[k] for k, *_ in want], kind), pa.array([runs[r] for _, r, *_ in want], kind)], ["candidate", "c_routes", "r_routes"])
+    for limit in (1, 50):
+        parts = [tuple(x.values())[3:] for b in solutions._change_kernel(limit)([batch.slice(0, 0), batch, batch.slice(3, 9)]) for x in b.to_pylist()]
+        assert parts == [x[2:] for x in want] + [x[2:] for x in want[3:12]]
+
+
+def test_compared_runs_never_turn_pairs_into_rows(spark):
+    n = 20_000  # 200 million pairs
+    df = spark.createDataFrame([("a", "i", 1.0, "MonoCost", "m", True, [list(range(1, n + 1))]), ("b", "i", 2.0, "MonoCost", "m", True, [list(range(1, n + 1, 2)), list(range(2, n + 1, 2))])], RUN)
+    out = solutions.compared(df, solutions.best_references(df))
+    assert "Generate" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert rows(out) == [("b", "a", 1.0, 100.0, 1, "worse", n, n - 1, 0, n * n // 4)]
+
+
 def test_bad_requests():
     for bad in ({"n": 0}, {"method": "x"}, {"demand_kind": 8}, {"poi_share": 1.5}, {"decay_m": 0}):
         with pytest.raises(ValueError):
